@@ -5,17 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchrank.llm import exact, pii
+from matchrank.llm import exact, packing, pieces, pii, secret_scan, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_docs(spark, sf_dir), _vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_token_files(token_files.write_token_files(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_duplicates(_docs(spark, sf_dir), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_docs(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii_spans")
     count = lambda name: F.size(F.filter("pii_spans", lambda x: x["kind"] == name)).cast("long")
@@ -34,5 +56,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op10_pii": op10_pii}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op5_exact_dedup, op8_secrets, op9_packing, op10_pii)}
 ORACLES = {"op5_exact_dedup": OP5_SQL}
