@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchrank.llm import exact, packing, pieces, pii, secret_scan, token_files
+from matchrank.llm import exact, packing, pieces, pii, secret_scan, simhash, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json")))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_docs(spark, sf_dir), words=4)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_duplicates(_docs(spark, sf_dir), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -56,5 +60,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op5_exact_dedup, op8_secrets, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op8_secrets, op9_packing, op10_pii)}
 ORACLES = {"op5_exact_dedup": OP5_SQL}
