@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchrank.llm import exact, packing, pieces, pii, secret_scan, simhash, token_files
+from matchrank.llm import exact, packing, pieces, pii, quality, secret_scan, simhash, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_docs(spark, sf_dir), _vocabulary("piece_bpe_32k.model"), with_ids=False)
 
@@ -60,5 +65,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op8_secrets, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op8_secrets, op9_packing, op10_pii)}
 ORACLES = {"op5_exact_dedup": OP5_SQL}
