@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchrank.llm import exact, packing, pieces, pii, quality, secret_scan, simhash, token_files
+from matchrank.llm import exact, licenses, packing, pieces, pii, quality, secret_scan, simhash, token_files, url_lists
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,41 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_duplicates(_docs(spark, sf_dir), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of ``pages`` (fetched on a day that follows from the id) against a dated list over
+    all their hosts: of each host's registered name, an entry is added on one day, removed on a
+    later one and, for some, added again; path rules cover the language folders of some hosts."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    later = lambda days: start + F.make_interval(days=days.cast("int"))
+    captures = pages.withColumn("fetched_at", later(F.col("page_id") * 37 % 365))
+    name = F.regexp_extract(url_lists.host(F.col("url")), r"([^.]+\.[^.]+\.[^.]+)$", 1)
+    names = pages.select(name.alias("name")).where("name <> ''").distinct()
+    code = F.length("name") * 31 + F.ascii("name") * 7
+    log = names.select("name", code.alias("code")).select(
+        F.explode(
+            F.array(
+                *[
+                    F.when(when, F.struct(F.concat("name", F.lit(path)).alias("rule"), F.lit(category).alias("category"), F.lit(action).alias("action"), later(day).alias("listed_at")))
+                    for when, path, category, action, day in (
+                        (F.col("code") % 3 < 2, "", "spam", "add", F.col("code") % 200),
+                        (F.col("code") % 3 < 2, "", "spam", "remove", F.col("code") % 200 + 60),
+                        (F.col("code") % 3 == 0, "", "spam", "add", F.col("code") % 200 + 120),
+                        (F.col("code") % 4 == 1, "/en", "adult", "add", F.col("code") % 100),
+                    )
+                ]
+            )
+        ).alias("e")
+    )
+    entries = log.where("e IS NOT NULL").select("e.*")
+    found = url_lists.evaluate(captures, url_lists.intervals(entries))
+    return found.select("page_id", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "blocked", "rule", "categories")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir)).drop("places")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_docs(spark, sf_dir))
 
@@ -65,5 +100,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op8_secrets, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op6_url_lists, op7_licenses, op8_secrets, op9_packing, op10_pii)}
 ORACLES = {"op5_exact_dedup": OP5_SQL}
