@@ -94,11 +94,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP5_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op6_url_lists, op7_licenses, op8_secrets, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op6_url_lists, op7_licenses, op8_secrets, op9_packing, op10_pii, pipeline)}
 ORACLES = {"op5_exact_dedup": OP5_SQL}

@@ -131,6 +131,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
 
 
 def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their component's; columns stay. Rows with a null id stay."""
-    kept = near_duplicates(docs, words, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """The rows whose id is their component's; all columns stay.
+
+    Rows with a null id stay; of rows that repeat an id all stay if any does. The ids that go are
+    written first, so that a short list of them meets the texts without a shuffle of the texts.
+    """
+    gone = near_duplicates(docs, words, id_col, text_col).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone")
+    return docs.join(materialize(gone.select(F.col("doc_id").alias(id_col)), "simhash-gone"), id_col, "left_anti").select(*docs.columns)
