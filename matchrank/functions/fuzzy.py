@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _masks(a: str) -> dict[str, int]:
@@ -54,7 +55,7 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def _udf(ratio):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], float] = {}
         return pd.Series([known[p] if p in known else known.setdefault(p, ratio(*p)) for p in zip(a.fillna(""), b.fillna(""), strict=True)], dtype="float64")

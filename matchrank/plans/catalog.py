@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from matchrank.plans import text_queries
+
+QUERIES: dict = dict(text_queries.QUERIES)
+ORACLES: dict[str, str] = dict(text_queries.ORACLES)
