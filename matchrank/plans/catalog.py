@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from matchrank.plans import text_queries
+from matchrank.plans import rank_queries, text_queries
 
-QUERIES: dict = dict(text_queries.QUERIES)
-ORACLES: dict[str, str] = dict(text_queries.ORACLES)
+MODULES = (text_queries, rank_queries)
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
