@@ -146,17 +146,19 @@ def rate_suffix(rate: Column) -> Column:
     return F.format_string("r%02d", F.bround(rate * 100).cast("int"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; interpreted lambdas evaluate what isn't bound anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def word_ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """Adjacent tokens joined by one space, all lengths from ``low`` to ``high``."""
-    grams = []
-    for n in range(low, high + 1):
-        places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(_grams(tokens, places, n))
-    return F.concat(*grams)
 
+    def of(t: Column, n: int) -> Column:
+        places = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda k: F.array_join(F.slice(t, k, F.lit(n)), " "))
 
-def _grams(tokens: Column, places: Column, n: int) -> Column:
-    return F.transform(places, lambda k: F.array_join(F.slice(tokens, k, F.lit(n)), " "))
+    return let(tokens, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
 
 
 def char_ngrams(normalized: Column, low: int = 2, high: int = 5) -> Column:
