@@ -2,17 +2,17 @@
 
 A fingerprint's 64 bits fall into 32 segments of two bits; the vector of their bit counts is its
 embedding. The Manhattan distance of two embeddings never exceeds the Hamming distance of the
-fingerprints, so a grid range-join on embeddings finds every pair within ``distance`` bits:
-
-* of two halves of 16 segments, one has Manhattan distance at most ``distance // 2 = 2``;
-* two lattice points within 2 have a point within 1 of both, so each fingerprint stands in its own
-  cell and in those one step away, per half: about 50 rows, and related pairs share a cell.
-
-Only different fingerprints are joined: copies collapse before. Cells of up to ``dense`` members are
-compared pair by pair, exactly. A cell above that (a family of thousands of near copies) is settled
-without pairs: each member stands at every fingerprint within 2 bits of itself, two members share
-such a point if and only if they differ in 4 bits or fewer, and a point never has more than 2,081
-members, which are linked to their least one. Nothing is capped and no link is lost.
+fingerprints, and the join runs on that lower bound: the segments form 9 blocks, and if the
+Manhattan distance is at most 4, at most 4 blocks differ, so 5 blocks have equal counts throughout.
+Each fingerprint stands in one grid cell per choice of 5 blocks (126 cells); candidates share a cell
+and are then verified exactly. More blocks make cells more selective for larger corpora.
+
+Only different fingerprints are joined: copies collapse before. A cell with two members is a pair as
+soon as it is counted; cells of up to ``dense`` members are compared pair by pair. A cell above that
+(a family of thousands of near copies) is settled without pairs: each member stands at every
+fingerprint within 2 bits of itself, two members share such a point if and only if they differ in 4
+bits or fewer, and a point never has more than 2,081 members, which are linked to their least one.
+Nothing is capped and no link is lost.
 """
 
 from __future__ import annotations
@@ -29,9 +29,12 @@ from matchrank.llm.arrow import per_document, text_rows
 from matchrank.llm.components import components
 from matchrank.llm.storage import materialize
 
-#: The grid is laid out for this distance: a half within 2, and a meeting point within 1 of both.
 DISTANCE = 4
-SEGMENT_BITS, HALF = 2, 32
+#: Blocks of the grid; at 9 blocks 5 must agree.
+BLOCKS = 9
+SEGMENTS, SEGMENT_BITS = 32, 2
+#: Up to so many cells (of 16 bytes) are broadcast; above it Spark chooses the join.
+BROADCAST_CELLS = 500_000
 
 
 def fingerprint(text: str, words: int, digest: Callable[[bytes, int], int]) -> int:
@@ -64,55 +67,70 @@ def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
     return per_document(rows, make, pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]), "doc_id long, fp long")
 
 
-def embedding(fp: Column, half: int) -> Column:
-    """Bit counts of a half's 16 segments at once, each in the place of its segment's two bits."""
-    bits = F.shiftrightunsigned(fp, HALF * half).bitwiseAND(F.lit(0xFFFFFFFF))
-    return bits - F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(0x55555555))
+def embedding(fp: Column) -> Column:
+    """Bit counts of all 32 segments, each in the place of its segment's two bits."""
+
+    def half(at: int) -> Column:
+        bits = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(0xFFFFFFFF))
+        return bits - F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(0x55555555))
+
+    return F.shiftleft(half(32), 32).bitwiseOR(half(0))
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
 
 
-def _half_cells(embedded: Column, half: int) -> Column:
-    own = embedded + F.lit(half << 40)
-    place = F.sequence(F.lit(0), F.lit(HALF - SEGMENT_BITS), F.lit(SEGMENT_BITS))
-    count = lambda k: F.call_function("shiftright", own, k).bitwiseAND(F.lit(3))
-    unit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    up = F.transform(F.filter(place, lambda k: count(k) < SEGMENT_BITS), lambda k: own + unit(k))
-    down = F.transform(F.filter(place, lambda k: count(k) > 0), lambda k: own - unit(k))
-    return F.concat(F.array(own), up, down)
+def cell_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+    """For each choice of ``blocks - distance`` blocks the bits of their segments."""
+    edges = [round(k * SEGMENTS / blocks) * SEGMENT_BITS for k in range(blocks + 1)]
+    own = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [_signed(sum(own[k] for k in chosen)) for chosen in combinations(range(blocks), blocks - distance)]
 
 
-def cells(low: Column, high: Column) -> Column:
-    """Cells of an embedded fingerprint: per half its own and those one step away in one count."""
-    return F.concat(_half_cells(low, 0), _half_cells(high, 1))
+def cells(nodes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """``rep, cell``: a cell is the hash of the chosen blocks' counts; a collision of two cells only
+    adds candidates."""
+    masks = F.array(*[F.lit(m).cast("long") for m in cell_masks(blocks)])
+    spread = nodes.select("rep", embedding(F.col("fp")).alias("e")).select("rep", "e", F.explode(masks).alias("mask"))
+    return spread.select("rep", F.xxhash64(F.col("e").bitwiseAND(F.col("mask")), "mask").alias("cell"))
 
 
 def _ball(radius: int = DISTANCE // 2) -> list[int]:
     masks = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(64), k)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_signed(m) for m in masks]
 
 
-def links(nodes: DataFrame, dense: int = 64) -> DataFrame:
+def links(nodes: DataFrame, dense: int = 64, blocks: int = BLOCKS) -> DataFrame:
     """Edges ``a, b`` between nodes ``(fp, rep)`` that connect all pairs within 4 bits.
 
     Pairs from small cells are themselves within 4 bits; from dense cells come stars whose members
     are within 4 bits of their centre.
     """
-    cell_rows = nodes.withColumns({"low": embedding(F.col("fp"), 0), "high": embedding(F.col("fp"), 1)}).select("fp", "rep", F.explode(cells(F.col("low"), F.col("high"))).alias("cell"))
-    sizes = cell_rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(cell_rows.join(sizes, "cell"), "simhash-cells")
+    every = cells(nodes, blocks)
+    sizes = every.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1")
+    sizes = materialize(sizes, "simhash-cells")
+    many = sizes.where("n > 2").select("cell", "n")
+    if many.count() <= BROADCAST_CELLS:
+        many = F.broadcast(many)
+    shared = materialize(every.join(many, "cell").join(nodes, "rep"), "simhash-shared")
     node = F.struct("fp", "rep").alias("node")
-    close = lambda x, y: F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= DISTANCE
-    pairs = (
+    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= DISTANCE
+    two = sizes.where("n = 2").select("a", "b").distinct()
+    of = lambda c: nodes.select(F.col("rep").alias(c), F.col("fp").alias(f"fp_{c}"))
+    two = two.join(of("a"), "a").join(of("b"), "b").where(close(F.col("fp_a"), F.col("fp_b"))).select("a", "b")
+    some = (
         shared.where(F.col("n") <= dense)
         .groupBy("cell")
         .agg(F.collect_list(node).alias("all"))
         .select(F.explode("all").alias("x"), "all")
-        .select("x", F.explode(F.filter("all", lambda y: (y["rep"] > F.col("x.rep")) & close(F.col("x"), y))).alias("y"))
+        .select("x", F.explode(F.filter("all", lambda y: (y["rep"] > F.col("x.rep")) & close(F.col("x.fp"), y["fp"]))).alias("y"))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     )
     masks = F.array(*[F.lit(m).cast("long") for m in _ball()])
     around = shared.where(F.col("n") > dense).select("fp", "rep").distinct().select("rep", F.explode(masks).alias("mask"), "fp").select("rep", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
     stars = around.select(F.min("rep").over(Window.partitionBy("point")).alias("a"), F.col("rep").alias("b")).where("a <> b")
-    return pairs.unionByName(stars).distinct()
+    return two.unionByName(some).unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", dense: int = 64) -> DataFrame:
