@@ -85,12 +85,12 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 4096,
     in one matrix product, and only a block pair's best ``k`` go on, so the shuffle carries
     k rows per query and item block. Block pairs are tasks; nothing else is broadcast.
     """
-    blocked = lambda df, key: df.select(key, "vector", F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // block)))).alias(f"b_{key}"))
-    q, i = blocked(queries, "query_id"), blocked(items, "item_id")
-    nq = q.select("b_query_id").distinct()
-    ni = i.select("b_item_id").distinct()
-    qx = q.crossJoin(F.broadcast(ni))  # a query row goes to each item block
-    ix = i.crossJoin(F.broadcast(nq))
+    nq, ni = (max(1, -(-df.count() // block)) for df in (queries, items))
+    of = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n)).alias(f"b_{key}")
+    all_ = lambda key, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(f"b_{key}")
+    # a query row goes to each item block and an item row to each query block
+    qx = queries.select("query_id", "vector", of(queries, "query_id", nq), all_("item_id", ni))
+    ix = items.select("item_id", "vector", of(items, "item_id", ni), all_("query_id", nq))
 
     def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
