@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-Each document's bag of words is projected, by hashed signs per word, to a few dimensions; the
-direction of that vector, quantized, gets a Hilbert key. Documents are range-sorted by the key (ties
+Each document's hashed vector of four-byte grams is projected, by signs that the hash gives, to a few
+dimensions; the direction of that vector, quantized, gets a Hilbert key. Documents are range-sorted by the key (ties
 by id, so a key that a third of all rows shares still spreads), encoded in that order, and laid end
 to end; the line is cut every ``length`` ids. Neighbours on the curve share sequences and only the
 very last sequence needs padding.
@@ -22,30 +22,24 @@ from matchrank.llm.arrow import STEP, text_rows
 from matchrank.llm.storage import materialize
 
 DIMS, BITS = 4, 12
-_LANE = 40
-_MASK = (1 << _LANE) - 1
+#: Odd multiplier of the gram hash; its product's top bits are the signs of a gram.
+_MULTIPLIER = np.uint32(2654435761)
+#: Sign of dimension d in a histogram bin: bit d of the bin's number.
+_SIGNS = np.array([[1 if k >> d & 1 else -1 for d in range(DIMS)] for k in range(1 << DIMS)], np.int64)
 
 
-class _Signs(dict):
-    """word -> the number of positive signs per dimension, in lanes of one integer."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = zlib.crc32(word)
-        v = sum(((h >> d) & 1) << (_LANE * d) for d in range(DIMS))
-        if len(self) > 300_000:
-            self.clear()
-        if len(word) <= 128:
-            self[word] = v
-        return v
-
-
-def project(texts: list[str], signs: _Signs) -> np.ndarray:
-    """Signed projections of the texts' word counts, one row each."""
+def project(texts: list[str]) -> np.ndarray:
+    """Signed projections of the texts' gram counts, one row each; all bytes count."""
     out = np.zeros((len(texts), DIMS))
     for k, t in enumerate(texts):
-        words = t.encode().split()
-        total = sum(map(signs.__getitem__, words))
-        out[k] = [2 * ((total >> (_LANE * d)) & _MASK) - len(words) for d in range(DIMS)]
+        raw = t.encode()
+        bins = np.zeros(1 << DIMS, np.int64)
+        for at in range(4):
+            n = (len(raw) - at) // 4
+            if n > 0:
+                grams = np.frombuffer(raw, "<u4", n, at) * _MULTIPLIER
+                bins += np.bincount(grams >> np.uint32(32 - DIMS), minlength=1 << DIMS)
+        out[k] = bins @ _SIGNS
     return out
 
 
@@ -83,11 +77,10 @@ def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``doc_id, text, curve_key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs = _Signs()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                keys = hilbert_keys(project(part.column(1).to_pylist(), signs))
+                keys = hilbert_keys(project(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys)], names=["doc_id", "text", "curve_key"])
 
     rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
