@@ -77,11 +77,11 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.tfidf_top_k(*_sides(spark, sf), _grams(F.col("text")), 100).withColumnRenamed("query_id", "term_id")
+    return retrieval.tfidf_top_k(*_sides(spark, sf), _grams(F.col("text")), 100).withColumnRenamed("query_id", "term_id").persist()
 
 
 def _second(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.tfidf_top_k(*_sides(spark, sf), text.char_ngrams(text.normalize_text(F.col("text")), 3, 4), 100).withColumnRenamed("query_id", "term_id")
+    return retrieval.tfidf_top_k(*_sides(spark, sf), text.char_ngrams(text.normalize_text(F.col("text")), 3, 4), 100).withColumnRenamed("query_id", "term_id").persist()
 
 
 _base = with_("items", "terms", "positives")
