@@ -106,5 +106,19 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+             regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^?#]*)', 1) AS path, DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS d FROM pages),
+n AS (SELECT *, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS name FROM p),
+names AS (SELECT DISTINCT name, length(name) * 31 + ascii(name) * 7 AS code FROM n WHERE name <> ''),
+e AS (SELECT name, name AS rule, 'spam' AS category, TRUE AS listed, code % 200 AS day FROM names WHERE code % 3 < 2
+  UNION ALL SELECT name, name, 'spam', FALSE, code % 200 + 60 FROM names WHERE code % 3 < 2
+  UNION ALL SELECT name, name, 'spam', TRUE, code % 200 + 120 FROM names WHERE code % 3 = 0
+  UNION ALL SELECT name, name || '/en', 'adult', TRUE, code % 100 FROM names WHERE code % 4 = 1),
+h AS (SELECT n.page_id, e.rule, e.category, arg_max(listed, day) AS listed FROM n JOIN e ON e.name = n.name AND DATE '2024-01-01' + CAST(day AS INTEGER) <= n.d AND (e.rule = n.name OR split_part(path, '/', 1) = 'en') GROUP BY ALL),
+b AS (SELECT page_id, list(rule ORDER BY length(rule) DESC, rule)[1] AS rule, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM h WHERE listed GROUP BY page_id)
+SELECT n.page_id, strftime(d, '%Y-%m-%d') AS fetched_on, b.page_id IS NOT NULL AS blocked, coalesce(rule, '') AS rule, coalesce(categories, '') AS categories FROM n LEFT JOIN b ON b.page_id = n.page_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op6_url_lists, op7_licenses, op8_secrets, op9_packing, op10_pii, pipeline)}
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_url_lists": OP6_SQL}
