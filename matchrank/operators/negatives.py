@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import jaccard, stable_hash
+from matchrank.operators.lineage import cut
 from matchrank.operators.splits import sample_at_most
 from matchrank.sources.contracts import ContractError, require_disjoint, require_range, require_unique
 
@@ -103,21 +104,21 @@ def rank_band_negatives(lexical: DataFrame, embedding: DataFrame, positives: Dat
     """Uniform rows first if asked, then ``each`` from the lexical band, then from the embedding band,
     each stage without what came before; bands that fall short are filled uniformly per family.
 
-    A stage is kept once computed, as the next ones refer to it several times."""
+    Each stage is checkpointed, as the next ones refer to it several times."""
     safe = lambda pool: without_near_duplicates(minus_positives(pool, positives), positives, items)
     terms = positives.select("term_id").distinct()
     base = positives.select("term_id", "item_id")
     blank = lambda rows, source: rows.select("term_id", "item_id", F.lit(source).alias("negative_source"), F.lit(0).alias("source_rank"), F.lit(0.0).alias("source_score"))
     out = None
     if uniform_rows:
-        out = blank(uniform(base, items, uniform_rows, seed + "-uniform"), "uniform").persist()
+        out = cut(blank(uniform(base, items, uniform_rows, seed + "-uniform"), "uniform"))
     for family, pool in (("lexical", lexical), ("embedding", embedding)):
-        some = rank_band(safe(pool), out, low, high, each, family, f"{seed}-{family}").persist()
+        some = cut(rank_band(safe(pool), out, low, high, each, family, f"{seed}-{family}"))
         out_now = some if out is None else out.unionByName(some)
         have = terms.join(some.groupBy("term_id").agg(F.count(F.lit(1)).alias("n")), "term_id", "left").select("term_id", (each - F.coalesce("n", F.lit(0))).alias("gap")).where("gap > 0")
         taken = base.unionByName(out_now.select("term_id", "item_id")).distinct().join(have.select("term_id"), "term_id", "left_semi")
         fill = uniform(taken, items, each, f"{seed}-fill-{family}").join(have, "term_id").where("pick <= gap")
-        out = out_now.unionByName(blank(fill, f"uniform_backfill_{family}")).persist()
+        out = cut(out_now.unionByName(blank(fill, f"uniform_backfill_{family}")))
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchrank.functions import text
 from matchrank.operators import category, metrics, models, negatives, retrieval, slates, splits
+from matchrank.operators.lineage import cut
 from matchrank.plans import sqltext as q
 from matchrank.plans.adapters import items, positives, scored, table, terms, with_
 from matchrank.plans.rank_queries import _folds_sql
@@ -77,11 +78,11 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.tfidf_top_k(*_sides(spark, sf), _grams(F.col("text")), 100).withColumnRenamed("query_id", "term_id").persist()
+    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _grams(F.col("text")), 100).withColumnRenamed("query_id", "term_id"))
 
 
 def _second(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.tfidf_top_k(*_sides(spark, sf), text.char_ngrams(text.normalize_text(F.col("text")), 3, 4), 100).withColumnRenamed("query_id", "term_id").persist()
+    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), text.char_ngrams(text.normalize_text(F.col("text")), 3, 4), 100).withColumnRenamed("query_id", "term_id"))
 
 
 _base = with_("items", "terms", "positives")
