@@ -2,7 +2,7 @@
 
 A list is a log of dated entries ``(rule, action, listed_at)``: ``add`` puts a rule in force from that
 moment, ``remove`` ends it. Rules are host suffixes (``example.com`` covers its subdomains) or host
-and path prefixes (``example.com/ads``). Intervals are cut at time-bucket borders, so that the
+and path prefixes (``example.com/ads``) of any depth; hosts match in any case, paths in their own. Intervals are cut at time-bucket borders, so that the
 as-of join is an equality on (rule, bucket) with a range test inside; a hot host splits over its
 buckets and AQE splits what is still hot. A list of unknown size is never broadcast by force.
 """
@@ -23,7 +23,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     Entries with a null rule or time are ignored; a null category counts as ``listed``.
     """
     clean = entries.where("rule IS NOT NULL AND listed_at IS NOT NULL").select(
-        F.lower("rule").alias("rule"), F.coalesce("category", F.lit("listed")).alias("category"), (F.col("action") == "add").alias("on"), "listed_at"
+        F.concat(F.lower(F.substring_index("rule", "/", 1)), F.regexp_extract("rule", "(?s)/.*", 0)).alias("rule"), F.coalesce("category", F.lit("listed")).alias("category"), (F.col("action") == "add").alias("on"), "listed_at"
     )
     # the last state at each moment, then only changes of state
     state = clean.groupBy("rule", "category", "listed_at").agg(F.max("on").alias("on"))
@@ -39,14 +39,16 @@ def host(url: Column) -> Column:
     return F.when(found != "", F.lower(F.rtrim(found, F.lit("."))))
 
 
-def rule_keys(url: Column) -> Column:
-    """All rules that could cover a URL: its host's suffixes, each alone and with path prefixes."""
+def rule_keys(url: Column, deepest: Column | None = None) -> Column:
+    """All rules that could cover a URL: its host's suffixes, each alone and with path prefixes, of
+    every length or of up to ``deepest`` steps."""
     name = host(url)
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^?#]*)", 1)
     labels = F.split(name, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     steps = F.filter(F.split(path, "/"), lambda s: s != "")
-    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(steps), F.lit(3))), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), k), "/"))))
+    most = F.size(steps) if deepest is None else F.least(F.size(steps), deepest)
+    prefixes = F.transform(F.sequence(F.lit(0), most), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), k), "/"))))
     return F.when(name.isNotNull(), F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))))
 
 
@@ -54,13 +56,14 @@ def evaluate(captures: DataFrame, valid: DataFrame, id_col: str = "page_id", url
     """Per capture: ``<id_col>, fetched_at, blocked, rule, categories``.
 
     ``rule`` is the longest rule in force at fetch time (ties: the smallest), ``categories`` all
-    categories in force, sorted and comma-joined. Path rules reach three steps deep. Captures
+    categories in force, sorted and comma-joined. Path rules reach as deep as the list has them. Captures
     without a host or a time match nothing; rows that repeat an id are merged by id, time and URL;
     an empty list blocks nothing. Other columns are ignored, whatever their names.
     """
     day = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / (86_400 * bucket_days))
     seen = captures.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(time_col).cast("timestamp").alias("_at")).distinct()
-    asked = seen.select("_id", "_url", "_at", day(F.col("_at")).alias("bucket"), F.explode(rule_keys(F.col("_url"))).alias("rule"))
+    deepest = valid.agg(F.coalesce(F.max(F.size(F.split("rule", "/")) - 1), F.lit(0)).alias("deepest"))
+    asked = seen.crossJoin(F.broadcast(deepest)).select("_id", "_url", "_at", day(F.col("_at")).alias("bucket"), F.explode(rule_keys(F.col("_url"), F.col("deepest"))).alias("rule"))
     horizon = captures.agg(F.max(F.col(time_col).cast("timestamp")).alias("last"))
     span = valid.join(F.broadcast(horizon), F.col("valid_from") <= F.col("last")).select(
         "rule", "category", "valid_from", "valid_to", F.explode(F.sequence(day(F.col("valid_from")), day(F.least("valid_to", "last")))).alias("bucket")

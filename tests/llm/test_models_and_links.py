@@ -157,3 +157,12 @@ def test_url_lists_as_of(spark):
     }
     assert url_lists.evaluate(captures.where("false"), url_lists.intervals(entries)).count() == 0
     assert not any(r.blocked for r in url_lists.evaluate(captures, url_lists.intervals(entries.where("false"))).collect())
+
+
+def test_url_rules_of_any_depth_and_case(spark):
+    log = [("deep.org/a/b/c/d/e", "spam"), ("Case.COM/Ads", "spam"), ("deep.org/a/b/c/d", "adult")]
+    entries = spark.createDataFrame(log, "rule string, category string").withColumn("action", F.lit("add")).withColumn("listed_at", F.to_timestamp(F.lit("2024-01-01")))
+    seen = [(1, "http://www.deep.org/a/b/c/d/e/f?x"), (2, "http://deep.org/a/b/c/d/g"), (3, "http://deep.org/a/b/c"), (4, "http://case.com/Ads/1"), (5, "http://CASE.com/ads/1")]
+    captures = spark.createDataFrame(seen, "page_id long, url string").withColumn("fetched_at", F.to_timestamp(F.lit("2024-02-01")))
+    got = {r.page_id: (r.rule, r.categories) for r in url_lists.evaluate(captures, url_lists.intervals(entries)).collect()}
+    assert got == {1: ("deep.org/a/b/c/d/e", "adult,spam"), 2: ("deep.org/a/b/c/d", "adult"), 3: ("", ""), 4: ("case.com/Ads", "spam"), 5: ("", "")}
