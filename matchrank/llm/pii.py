@@ -60,13 +60,30 @@ def _iban(m: Column) -> Column:
     return F.length(bare).between(15, 34) & (rest == 1)
 
 
+#: Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A known country's match ends at its length; another's runs on, though not into a next IBAN."""
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    exact = [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]|\x20(?![A-Z]{{2}}[0-9]{{2}})[A-Z0-9]){{11,30}}"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*exact, other])})(?![A-Za-z0-9])"
+
+
 #: Order is the order of report. The first four are the base kinds; a failing match isn't retried.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.9, "mail|contact|write|kontakt|correo|courriel"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", _ip, 0.6, "ip|host|server|address|adresse|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", _card, 0.8, "card|visa|master|credit|karte|tarjeta|carte|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", _phone, 0.6, "phone|tel|call|mobile|fax|anruf|llam"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", _iban, 0.8, "iban|bank|account|konto|cuenta|compte"),
+    Kind("iban", _iban_pattern(), "", _iban, 0.8, "iban|bank|account|konto|cuenta|compte"),
 )
 BASE = ("email", "ip", "card", "phone")
 

@@ -122,3 +122,16 @@ def test_embedded_checksums():
     good = f"x ghp_{body}{secret_scan.crc_suffix(body)} y"
     kinds = lambda t: [k for _, _, k in secret_scan.scanner().scan(t)]
     assert "checked" in kinds(good) and "checked" not in kinds(good.replace("a1B2", "a1B3"))
+
+
+def test_ibans_before_capitals_and_digits(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    after = ["", " EUR 500", " BIC COBADEFF", " LONDON", " 500", ", x", " DE89 3704 0044 0532 0130 00"]
+    rows = [(k, f"{before}{i}{a}") for k, (before, i, a) in enumerate((b, i, a) for b in ("", "to AB12 ") for i in ibans for a in after)]
+    want = {k: f"iban:{len(b)}:{len(b) + len(i)}" for k, (b, i, _) in enumerate((b, i, a) for b in ("", "to AB12 ") for i in ibans for a in after)}
+    found = F.filter("pii_spans", lambda x: x["kind"] == "iban")
+    got = {r.doc_id: r.s for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.listed(found).alias("s")).collect()}
+    assert {k: v.split(",")[0] for k, v in got.items()} == want
+    wrong = spark.createDataFrame([(1, "DE88370400440532013000 EUR"), (2, "DE8937040044053201300 EUR"), (3, "DE893704004405320130001 EUR")], "doc_id long, text string")
+    assert not any(r.pii_spans for r in pii.find_spans(wrong.select("doc_id", F.col("text"))).collect() if any(x.kind == "iban" for x in r.pii_spans))
+    assert "[IBAN] EUR 500" in [r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
