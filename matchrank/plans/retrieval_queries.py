@@ -77,12 +77,12 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return t, items(spark, sf).select("item_id", F.concat_ws(" ", "title", "brand", "category", "attributes").alias("text"))
 
 
-def _lexical(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _grams(F.col("text")), 100).withColumnRenamed("query_id", "term_id"))
+def _lexical(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
+    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _grams(F.col("text")), k).withColumnRenamed("query_id", "term_id"))
 
 
-def _second(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), text.char_ngrams(text.normalize_text(F.col("text")), 3, 4), 100).withColumnRenamed("query_id", "term_id"))
+def _second(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
+    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), text.char_ngrams(text.normalize_text(F.col("text")), 3, 4), k).withColumnRenamed("query_id", "term_id"))
 
 
 _base = with_("items", "terms", "positives")
@@ -196,6 +196,24 @@ def rank_band_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.rank_band_negatives(_lexical(spark, sf), _second(spark, sf), positives(spark, sf), _item_facts(spark, sf), 21, 60, 10, uniform_rows=5)
 
 
+@register()
+def tfidf_band_negatives_300(spark: SparkSession, sf: str) -> DataFrame:
+    """N5 at its whole size: bands over the first 300 rows of each term."""
+    return negatives.tfidf_bands(_lexical(spark, sf, 300), positives(spark, sf), items(spark, sf))
+
+
+@register()
+def contrastive_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """N7's contrastive recipe: 10 rows of each family from ranks 101 to 500."""
+    return negatives.rank_band_negatives(_lexical(spark, sf, 500), _second(spark, sf, 500), positives(spark, sf), _item_facts(spark, sf), 101, 500, 10)
+
+
+@register()
+def reranker_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """N7's reranker recipe: 20 uniform rows, then 15 of each family from ranks 21 to 200."""
+    return negatives.rank_band_negatives(_lexical(spark, sf, 500), _second(spark, sf, 500), positives(spark, sf), _item_facts(spark, sf), 21, 200, 15, uniform_rows=20)
+
+
 _slate = f"""{_base}, {_lex}, {_folds_sql}, x AS (SELECT coalesce(l.query_id, p.term_id) AS term_id, coalesce(l.item_id, p.item_id) AS item_id, CAST(p.term_id IS NOT NULL AS INTEGER) AS label, coalesce(l.rank, 0) AS retrieval_rank, coalesce(l.score, 0.0) AS retrieval_score, CAST(l.rank IS NOT NULL AS INTEGER) AS is_retrieved FROM lex l FULL JOIN positives p ON p.term_id = l.query_id AND p.item_id = l.item_id)
 SELECT 'OOF_' || lpad(CAST(row_number() OVER (ORDER BY term_id, 1 - is_retrieved, retrieval_rank, item_id) - 1 AS VARCHAR), 10, '0') AS slate_id, term_id, item_id, fold, label, count(*) OVER (PARTITION BY term_id) AS candidate_count, is_retrieved, retrieval_rank, retrieval_score FROM x JOIN folds USING (term_id)"""
 
