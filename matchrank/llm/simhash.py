@@ -7,17 +7,17 @@ Manhattan distance is at most 4, at most 4 blocks differ, so 5 blocks have equal
 Each fingerprint stands in one grid cell per choice of 5 blocks (126 cells); candidates share a cell
 and are then verified exactly. More blocks make cells more selective for larger corpora.
 
-Only different fingerprints are joined: copies collapse before. A cell with two members is a pair as
-soon as it is counted; cells of up to ``dense`` members are compared pair by pair. A cell above that
-(a family of thousands of near copies) is settled without pairs: each member stands at every
-fingerprint within 2 bits of itself, two members share such a point if and only if they differ in 4
-bits or fewer, and a point never has more than 2,081 members, which are linked to their least one.
-Nothing is capped and no link is lost.
+Only different fingerprints are joined: copies collapse before. A cell never gives pairs, only links:
+each member with the least member that verified pairs of the cell lead to, at most one row a member.
+Cells of up to ``HELD`` members are settled in memory; of a larger one (a family of thousands of near
+copies, which no task should hold) each member stands at every fingerprint within 2 bits of itself,
+two members share such a point if and only if they differ in 4 bits or fewer, and a point, which
+never has more than 2,081 members, links them to its least one. Nothing is capped, no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,14 +27,16 @@ from pyspark.sql import functions as F
 
 from matchrank.llm.arrow import per_document, text_rows
 from matchrank.llm.components import components
-from matchrank.llm.storage import materialize
+from matchrank.llm.storage import delete, materialize, path_of
 
 DISTANCE = 4
 #: Blocks of the grid; at 9 blocks 5 must agree.
 BLOCKS = 9
 SEGMENTS, SEGMENT_BITS = 32, 2
-#: Up to so many cells (of 16 bytes) are broadcast; above it Spark chooses the join.
-BROADCAST_CELLS = 500_000
+#: Members of a cell that are held together in memory; larger cells go by points.
+HELD = 64
+#: Fingerprints a task spreads over their cells.
+PER_TASK = 16_384
 
 
 def fingerprint(text: str, words: int, digest: Callable[[bytes, int], int]) -> int:
@@ -89,11 +91,11 @@ def cell_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
 
 
 def cells(nodes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``rep, cell``: a cell is the hash of the chosen blocks' counts; a collision of two cells only
+    """``rep, fp, cell``: a cell is the hash of the chosen blocks' counts; a collision of two cells only
     adds candidates."""
     masks = F.array(*[F.lit(m).cast("long") for m in cell_masks(blocks)])
-    spread = nodes.select("rep", embedding(F.col("fp")).alias("e")).select("rep", "e", F.explode(masks).alias("mask"))
-    return spread.select("rep", F.xxhash64(F.col("e").bitwiseAND(F.col("mask")), "mask").alias("cell"))
+    spread = nodes.select("rep", "fp", embedding(F.col("fp")).alias("e")).select("rep", "fp", "e", F.explode(masks).alias("mask"))
+    return spread.select("rep", "fp", F.xxhash64(F.col("e").bitwiseAND(F.col("mask")), "mask").alias("cell"))
 
 
 def _ball(radius: int = DISTANCE // 2) -> list[int]:
@@ -101,39 +103,61 @@ def _ball(radius: int = DISTANCE // 2) -> list[int]:
     return [_signed(m) for m in masks]
 
 
-def links(nodes: DataFrame, dense: int = 64, blocks: int = BLOCKS) -> DataFrame:
-    """Edges ``a, b`` between nodes ``(fp, rep)`` that connect all pairs within 4 bits.
-
-    Pairs from small cells are themselves within 4 bits; from dense cells come stars whose members
-    are within 4 bits of their centre.
+def roots(prints: np.ndarray) -> np.ndarray:
+    """For each print the place of the first one that pairs within ``DISTANCE`` bits lead to."""
+    n = len(prints)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= DISTANCE
+    least = np.arange(n)
+    while True:
+        new = np.where(near, least[None, :], n).min(axis=1)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def _stars(held: DataFrame) -> DataFrame:
+    """Links ``a, b`` of cells ``all: array<struct<rep, fp>>``, one row a linked member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            column = batch.column(0)
+            ends = column.offsets.to_numpy()
+            reps, prints = (column.values.field(k).to_numpy() for k in (0, 1))
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                order = np.argsort(reps[lo:hi])
+                at = roots(prints[lo:hi][order].view("<u8"))
+                own = reps[lo:hi][order]
+                moved = at != np.arange(len(at))
+                found.update(zip(own[at[moved]].tolist(), own[moved].tolist(), strict=True))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return held.mapInArrow(run, "a long, b long")
+
+
+def links(nodes: DataFrame, blocks: int = BLOCKS, spent: list[str] | None = None) -> DataFrame:
+    """Edges ``a, b`` between nodes ``(fp, rep)`` that connect exactly what pairs within 4 bits connect.
+
+    ``spent`` receives the paths of tables that the result reads and nothing needs after it.
     """
+    spent = [] if spent is None else spent
+    nodes = nodes.repartition(max(1, -(-nodes.count() // PER_TASK)), "rep")
     every = cells(nodes, blocks)
-    sizes = every.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1")
-    sizes = materialize(sizes, "simhash-cells")
-    many = sizes.where("n > 2").select("cell", "n")
-    if many.count() <= BROADCAST_CELLS:
-        many = F.broadcast(many)
-    shared = materialize(every.join(many, "cell").join(nodes, "rep"), "simhash-shared")
-    node = F.struct("fp", "rep").alias("node")
-    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= DISTANCE
-    two = sizes.where("n = 2").select("a", "b").distinct()
-    of = lambda c: nodes.select(F.col("rep").alias(c), F.col("fp").alias(f"fp_{c}"))
-    two = two.join(of("a"), "a").join(of("b"), "b").where(close(F.col("fp_a"), F.col("fp_b"))).select("a", "b")
-    some = (
-        shared.where(F.col("n") <= dense)
-        .groupBy("cell")
-        .agg(F.collect_list(node).alias("all"))
-        .select(F.explode("all").alias("x"), "all")
-        .select("x", F.explode(F.filter("all", lambda y: (y["rep"] > F.col("x.rep")) & close(F.col("x.fp"), y["fp"]))).alias("y"))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    )
+    sizes = materialize(every.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-cells")
+    # one plan at every size: a merge join, whose hot cells Spark splits
+    shared = materialize(every.join(sizes.hint("merge"), "cell"), "simhash-shared")
+    spent += [path_of(sizes), path_of(shared)]
+    node = F.struct("rep", "fp").alias("node")
+    held = shared.where(F.col("n") <= HELD).groupBy("cell").agg(F.collect_list(node).alias("all")).select("all")
     masks = F.array(*[F.lit(m).cast("long") for m in _ball()])
-    around = shared.where(F.col("n") > dense).select("fp", "rep").distinct().select("rep", F.explode(masks).alias("mask"), "fp").select("rep", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
-    stars = around.select(F.min("rep").over(Window.partitionBy("point")).alias("a"), F.col("rep").alias("b")).where("a <> b")
-    return two.unionByName(some).unionByName(stars).distinct()
+    around = shared.where(F.col("n") > HELD).select("fp", "rep").distinct().select("rep", F.explode(masks).alias("mask"), "fp").select("rep", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
+    points = around.select(F.min("rep").over(Window.partitionBy("point")).alias("a"), F.col("rep").alias("b")).where("a <> b")
+    return _stars(held).unionByName(points).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", dense: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, fingerprint, component_id``: linked at 4 or fewer differing bits.
 
     ``component_id`` is the least id reachable over links, itself included. Null text counts as
@@ -143,7 +167,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     """
     prints = materialize(fingerprints(docs, words, id_col, text_col), "simhash-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-nodes")
-    found = components(links(nodes, dense))
+    spent: list[str] = []
+    found = components(links(nodes, spent=spent))
+    for path in spent:
+        delete(docs.sparkSession, path)
     of = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -102,9 +102,26 @@ def test_simhash_rows(docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 5, 7, 10}
 
 
-@pytest.mark.parametrize("dense", [2, 64])
-def test_links_lose_nothing(spark, dense):
-    """Random prints, planted chains and a tight family, with and without the dense path."""
+def _nodes(spark, prints):
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return spark.createDataFrame([(signed(p), i) for i, p in prints.items()], "fp long, rep long")
+
+
+def _family(rng, size):
+    """Fingerprints of one text's near copies: few bits from a common one, far from it in all."""
+    centre, out = rng.getrandbits(64), set()
+    while len(out) < size:
+        p = centre
+        for b in rng.sample(range(64), rng.randint(1, 7)):
+            p ^= 1 << b
+        out.add(p)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("held", [2, 64])
+def test_links_lose_nothing(spark, monkeypatch, held):
+    """Random prints, planted chains and a tight family, mostly in memory and mostly by points."""
+    monkeypatch.setattr(simhash, "HELD", held)
     rng = random.Random(1)
     prints = [rng.getrandbits(64) for _ in range(60)]
     for _ in range(120):
@@ -113,10 +130,18 @@ def test_links_lose_nothing(spark, dense):
             p ^= 1 << b
         prints.append(p)
     prints = {100 + i: p for i, p in enumerate(dict.fromkeys(prints))}
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    nodes = spark.createDataFrame([(signed(p), i) for i, p in prints.items()], "fp long, rep long")
-    found = {r.node: r.component for r in components.components(simhash.links(nodes, dense)).collect()}
+    found = {r.node: r.component for r in components.components(simhash.links(_nodes(spark, prints))).collect()}
+    assert {i: found.get(i, i) for i in prints} == _brute(prints)
+
+
+def test_links_of_a_family_grow_with_its_size(spark):
+    """A thousand near copies: all classes right, and the cells give rows in proportion to members."""
+    prints = {7 * i: p for i, p in enumerate(_family(random.Random(5), 1000))}
+    found = {r.node: r.component for r in components.components(simhash.links(_nodes(spark, prints))).collect()}
     assert {i: found.get(i, i) for i in prints} == _brute(prints)
+    cells = [[(i, p) for i, p in prints.items()][k : k + 64] for k in range(0, 1000, 64)]
+    held = spark.createDataFrame([([(i, p - (1 << 64) if p >> 63 else p) for i, p in c],) for c in cells], "all array<struct<rep:long,fp:long>>")
+    assert simhash._stars(held).count() < 1000
 
 
 def test_components_of_a_long_chain(spark):
