@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchrank.llm import similar
 from matchrank.llm.arrow import per_document, text_rows
 from matchrank.llm.components import components
 from matchrank.llm.storage import delete, materialize, path_of
@@ -175,11 +176,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", tex
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is their component's; all columns stay.
 
-    Rows with a null id stay; of rows that repeat an id all stay if any does. The ids that go are
-    written first, so that a short list of them meets the texts without a shuffle of the texts.
+    Links are fingerprints within 4 bits or, where ``similarity`` is given, texts whose sets of word
+    shingles have that Jaccard similarity or more, most of which lie beyond 4 bits (``similar.py``).
+    Null text counts as empty, and texts without words are alike. Rows with a null id stay; of rows
+    that repeat an id all stay if any does. An empty table stays empty; columns may have any names. The
+    ids that go are written first, so that a short list of them meets the texts without a shuffle of the texts.
     """
-    gone = near_duplicates(docs, words, id_col, text_col).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone")
+    if similarity is None:
+        of = near_duplicates(docs, words, id_col, text_col)
+    else:
+        of = similar.classes(docs, words, similarity, id_col, text_col)
+    gone = of.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone")
     return docs.join(materialize(gone.select(F.col("doc_id").alias(id_col)), "simhash-gone"), id_col, "left_anti").select(*docs.columns)

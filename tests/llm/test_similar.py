@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from matchrank.llm import similar
+from matchrank.llm import simhash, similar
 
 
 def _set(t):
@@ -52,9 +52,32 @@ def test_stage_keeps_one_of_all_pairs_at_080(spark):
     assert len(got) == len(set(got)) and set(got) == want | {None} and len(want) < 200
 
 
-def test_order_of_shingles_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(similar, "ONE_IN", 1)  # many shingles are common
-    texts = _world()
+def test_classes_of_a_chain_and_a_common_passage(spark):
+    """A chain whose ends are unlike, many texts that share half their words, one family, all copied."""
+    rng = random.Random(9)
+    word = lambda: "v" + str(rng.randrange(10**6))
+    texts, chain = {}, [word() for _ in range(200)]
+    for k in range(12):
+        chain = list(chain)
+        for at in rng.sample(range(16 * k, 16 * k + 16), 2):
+            chain[at] = word()
+        texts[k] = chain
+    passage = [word() for _ in range(80)]
+    texts |= {100 + k: passage + [word() for _ in range(80)] for k in range(60)}
+    centre = [word() for _ in range(150)]
+    for k in range(300):
+        one = list(centre)
+        one[rng.randrange(150)] = word()
+        texts[1000 + k] = one
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    texts |= {5000 + k: t for k, t in texts.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id for r in similar.keep_one(df).collect()} == _kept(texts)
-    assert similar.keep_one(df.where("false")).count() == 0
+    got = {r.doc_id: r.component_id for r in similar.classes(df).collect()}
+    kept = _kept(texts)
+    assert {i for i, c in got.items() if i == c} == kept and set(got) == set(texts) and set(got.values()) == kept
+
+
+def test_empty_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a b c", 1), (1, "x y z", 2), (2, "x y z", 3), (3, None, 4), (4, " ", 5), (None, "a b c", 6)], "doc_id long, text string, n int")
+    assert simhash.keep_one(df.where("false"), similarity=0.8).count() == 0
+    assert sorted(r.n for r in simhash.keep_one(df, similarity=0.8).collect()) == [1, 2, 4, 6]
