@@ -18,14 +18,17 @@ def _masks(a: str) -> dict[str, int]:
     return masks
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    masks, full = _masks(a), (1 << len(a)) - 1
-    row = full
+def _common(masks: dict[str, int], n: int, b: str) -> int:
+    full = row = (1 << n) - 1
     for c in b:
         hit = row & masks.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def lcs_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return _common(_masks(a), len(a), b)
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -34,12 +37,20 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text against windows of its length in the longer, edges included."""
+    """Best ratio of the shorter text against windows of its length in the longer, edges included.
+
+    The shorter text's masks serve all windows, and windows that couldn't beat the best even if they
+    matched whole are skipped.
+    """
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
-    n = len(short)
-    return max(indel_ratio(short, long[max(0, k) : k + n]) for k in range(1 - n, len(long)))
+    n, masks, best = len(short), _masks(short), 0.0
+    for k in range(1 - n, len(long)):
+        window = long[max(0, k) : k + n]
+        if 200.0 * len(window) / (n + len(window)) > best:
+            best = max(best, 200.0 * _common(masks, n, window) / (n + len(window)))
+    return best
 
 
 def token_set_ratio(a: str, b: str) -> float:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,6 +18,22 @@ SUFFIXES = ("larin", "lerin", "lari", "leri", "lara", "lere", "larda", "lerde",
 GENDER_ALLOWED = {"kadin": ("kadin", "unisex", "unknown"), "bayan": ("kadin", "unisex", "unknown"), "erkek": ("erkek", "unisex", "unknown"), "unisex": ("kadin", "erkek", "unisex", "unknown")}
 AGE_ALLOWED = {"bebek": ("bebek", "unknown"), "cocuk": ("cocuk", "bebek", "unknown"), "kiz": ("cocuk", "bebek", "unknown")}
 
+
+
+def _plain_letters() -> dict[str, str]:
+    """Latin letters that decompose to one ASCII letter and marks (NFKD), by rule, plus those with a stroke."""
+    out = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ƒ": "f"}
+    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)):
+        base = "".join(ch for ch in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(ch))
+        if len(base) == 1 and "!" <= base <= "~":
+            out[chr(code)] = base
+    return out
+
+
+#: What remains after the fold table; its own entries come first.
+PLAIN = {k: v for k, v in _plain_letters().items() if k not in FOLD_FROM}
+_PLAIN_FROM, _PLAIN_TO = "".join(PLAIN), "".join(PLAIN.values())
+
 _empty = "array<string>"
 
 
@@ -29,9 +46,17 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\s+", " "))
 
 
+def _text(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _without_marks(c: Column) -> Column:
+    return F.regexp_replace(c, "[\\u0300-\\u036f]", "")
+
+
 def fold(c: Column) -> Column:
-    """Letters of the fold table to ASCII, then lower case."""
-    return F.lower(F.replace(F.translate(F.coalesce(c.cast("string"), F.lit("")), FOLD_FROM, FOLD_TO), F.lit("ß"), F.lit("ss")))
+    """Letters of the fold table, then other Latin letters, to ASCII, then lower case."""
+    return F.lower(F.replace(F.translate(_text(c), FOLD_FROM + _PLAIN_FROM, FOLD_TO + _PLAIN_TO), F.lit("ß"), F.lit("ss")))
 
 
 def normalize_text(c: Column) -> Column:
@@ -44,6 +69,24 @@ def normalize_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
 
 
+def normalize_hybrid(c: Column) -> Column:
+    """Cleaned, lowered, dotless i to i, marks dropped by decomposition, the rest to single spaces."""
+    plain = F.translate(F.lower(clean_text(c)), "ı" + FOLD_FROM + _PLAIN_FROM, "i" + FOLD_TO + _PLAIN_TO)
+    return F.trim(F.regexp_replace(_without_marks(plain), "[^a-z0-9]+", " "))
+
+
+def normalize_vector(c: Column) -> Column:
+    """I and İ to i first, then as for ``fold``; ampersands, plus signs and all else to single spaces."""
+    plain = F.lower(F.translate(F.translate(_text(c), "Iİı", "iii"), FOLD_FROM + _PLAIN_FROM, FOLD_TO + _PLAIN_TO))
+    return F.trim(F.regexp_replace(_without_marks(plain), "[^0-9a-z]+", " "))
+
+
+def normalize_kept(c: Column) -> Column:
+    """As ``normalize_vector`` but punctuation stays; only ampersands become spaces."""
+    plain = F.lower(F.translate(F.translate(_text(c), "Iİı", "iii"), FOLD_FROM + _PLAIN_FROM, FOLD_TO + _PLAIN_TO))
+    return F.trim(F.regexp_replace(F.replace(_without_marks(plain), F.lit("&"), F.lit(" ")), r"\s+", " "))
+
+
 def lower_turkish(c: Column) -> Column:
     """Turkish lower case: dotted and dotless i stay apart; the combining dot is dropped."""
     return F.replace(F.lower(F.translate(F.coalesce(c.cast("string"), F.lit("")), "İI", "iı")), F.lit("̇"), F.lit(""))
@@ -142,8 +185,9 @@ def source_family(source: Column) -> Column:
     return F.when(F.contains(name, F.lit("tfidf")) | F.endswith(name, F.lit("lexical")), "lexical").when(F.contains(name, F.lit("embedding")), "embedding").otherwise("uniform")
 
 
-def rate_suffix(rate: Column) -> Column:
-    return F.format_string("r%02d", F.bround(rate * 100).cast("int"))
+def rate_suffix(rate: float) -> str:
+    """``r22`` for .22: the suffix of a decision's files and columns, halves to even."""
+    return f"r{round(rate * 100):02d}"
 
 
 def let(value: Column, body) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchrank.functions.numeric import macro_f1
+from matchrank.functions.numeric import macro_f1, simplex_weights
 from matchrank.operators.decisions import mandatory_rows
-from matchrank.operators.ranking import rank_pct
+from matchrank.operators.ranking import place, rank_pct
 from matchrank.sources.contracts import ContractError, require_rows, require_unique
 
 
@@ -62,22 +63,23 @@ def grid_scores(aligned: DataFrame, weights: list[dict[str, float]]) -> DataFram
 def grid_curve(long: DataFrame, rates: list[float], bases: list[int], tie: str = "id", label: str = "label") -> DataFrame:
     """Per weighting, base and rate: ``weight_id, base, rate, macro_f1, mandatory_count``.
 
-    All weightings are judged side by side; a weighting's order is one sort of the table, as many
-    tasks as weightings and bases. Feasible points only.
+    All weightings are judged side by side in one range-partitioned order by weighting, base and then
+    decision order, so a weighting is spread over tasks however many rows it has. Feasible points only.
     """
     spark = long.sparkSession
-    parts = []
-    for base in bases:
-        keyed = long.withColumn("_wt", F.concat_ws("\t", F.col("weight_id").cast("string"), F.col("term_id").cast("string")))
-        parts.append(mandatory_rows(keyed, base, "_wt", "score", tie).withColumn("base", F.lit(base)))
-    marked = reduce(lambda a, b: a.unionByName(b), parts)
+    keyed = long.withColumn("_wt", F.concat_ws("\t", F.col("weight_id").cast("string"), F.col("term_id").cast("string")))
+    parts = [mandatory_rows(keyed, base, "_wt", "score", tie).withColumn("base", F.lit(base)) for base in bases]
+    marked = reduce(lambda a, b: a.unionByName(b), parts).select("weight_id", "base", "mandatory", "score", tie, label)
     group = ["weight_id", "base"]
-    order = Window.partitionBy(*group).orderBy(F.col("mandatory").desc(), F.col("score").desc(), F.col(tie))
-    totals = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.sum(F.col("mandatory").cast("long")).alias("mandatory_count"))
+    placed = place(marked, F.col("weight_id").asc(), F.col("base").asc(), F.col("mandatory").desc(), F.col("score").desc(), F.col(tie).asc(), out="place")
+    totals = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.sum(F.col("mandatory").cast("long")).alias("mandatory_count"), F.min("place").alias("first"))
+    # a row per weighting, base and rate: the true positives of a budget are the labels placed before its end
     grid = spark.createDataFrame([(float(r),) for r in rates], "rate double")
     asked = totals.crossJoin(F.broadcast(grid)).withColumn("predicted", F.bround(F.col("n") * F.col("rate")).cast("long")).where("predicted >= mandatory_count AND predicted <= n")
-    placed = marked.withColumn("p", F.row_number().over(order)).withColumn("tp", F.sum(F.col(label).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    at = asked.join(placed.select(*group, F.col("p").cast("long").alias("predicted"), "tp"), [*group, "predicted"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+    hits = placed.where(F.col(label) == 1).select(*group, "place")
+    inside = F.broadcast(asked.select(*group, "rate", (F.col("first") + F.col("predicted")).alias("end")))
+    tp = hits.join(inside, group).where("place < end").groupBy(*group, "rate").agg(F.count(F.lit(1)).alias("tp"))
+    at = asked.join(tp, [*group, "rate"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     at = at.withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("positives") - F.col("tp")).withColumn("tn", F.col("n") - F.col("predicted") - F.col("positives") + F.col("tp"))
     return at.select(*group, "rate", macro_f1(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).alias("macro_f1"), "mandatory_count")
 
@@ -96,3 +98,28 @@ def combine_folds(parts: list[DataFrame], extra: DataFrame | None = None) -> Dat
             raise ContractError(f"{n} rows without extra scores")
         out = out.join(extra, "slate_id")
     return out
+
+
+def best_recipe(aligned: DataFrame, names: list[str], rates: list[float], step: float, required: tuple[str, ...] = (), scope: str = "fold", tie: str = "id") -> DataFrame:
+    """The best weighting of the named scores in one row: ``macro_f1, positive_rate, weights`` (JSON).
+
+    Scores are ranked per ``scope``; weightings run over the simplex in multiples of ``step``, those that give
+    a required score no weight are left out. Ties go to the first weighting, then the smallest rate.
+    """
+    weights = [w for w in simplex_weights(names, step) if all(w[r] > 0 for r in required)]
+    if not weights:
+        raise ContractError("no weighting is left")
+    curve = grid_curve(grid_scores(ranked(aligned, names, scope), weights), rates, [0], tie)
+    listed = F.create_map(*[x for k, w in enumerate(weights) for x in (F.lit(k), F.lit(json.dumps(w, sort_keys=True)))])
+    return best_point(curve).select("macro_f1", F.col("rate").alias("positive_rate"), F.try_element_at(listed, F.col("weight_id")).alias("weights"))
+
+
+def select_recipe(recipes: DataFrame) -> DataFrame:
+    """Of ``recipe, macro_f1, recall, ...`` the best macro-F1, then the best recall, then the first name."""
+    return recipes.orderBy(F.col("macro_f1").desc(), F.col("recall").desc(), "recipe").limit(1)
+
+
+def blend_two(first: DataFrame, second: DataFrame, share: float = 0.65, scope: str | None = None) -> DataFrame:
+    """``id, term_id, score``: percentile ranks of two score tables, mixed ``share`` to the first."""
+    out = ranked(align({"first": first, "second": second}), ["first", "second"], scope)
+    return out.select("id", "term_id", weighted({"first": share, "second": 1 - share}).alias("score"))

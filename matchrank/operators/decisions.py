@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import budget
-from matchrank.operators.ranking import first_rank, positions
+from matchrank.functions.text import rate_suffix
+from matchrank.operators.lineage import cut
+from matchrank.operators.ranking import first_rank, positions, quantiles
 from matchrank.sources.contracts import ContractError
 
 
@@ -38,15 +40,16 @@ def _rate(rate: float) -> None:
 def rate(df: DataFrame, share: float, score: str = "score", tie: str = "id") -> DataFrame:
     """Exactly round(rows * share) positives: the best by score, then id."""
     _rate(share)
-    n = F.broadcast(df.agg(budget(F.count(F.lit(1)), F.lit(share)).alias("_budget")))
-    return positions(df, score, tie, "_p").crossJoin(n).withColumn("prediction", (F.col("_p") <= F.col("_budget")).cast("int")).drop("_p", "_budget")
+    placed = positions(df, score, tie, "_p")
+    n = F.broadcast(placed.agg(budget(F.count(F.lit(1)), F.lit(share)).alias("_budget")))
+    return placed.crossJoin(n).withColumn("prediction", (F.col("_p") <= F.col("_budget")).cast("int")).drop("_p", "_budget")
 
 
 def rate_quantile(df: DataFrame, share: float, score: str = "score") -> DataFrame:
     """Positive from the exact (1 - share) quantile up; ties there can exceed the share."""
     _rate(share)
-    cut = F.broadcast(df.agg(F.percentile(score, F.lit(1 - share)).alias("_cut")))
-    return df.crossJoin(cut).withColumn("prediction", (F.col(score) >= F.col("_cut")).cast("int")).drop("_cut")
+    at = F.broadcast(quantiles(df, score, {"_cut": 1 - share}))
+    return df.crossJoin(at).withColumn("prediction", (F.col(score) >= F.col("_cut")).cast("int")).drop("_cut")
 
 
 def mandatory_rows(df: DataFrame, base: int, key: str = "term_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -59,7 +62,7 @@ def rate_constrained(df: DataFrame, share: float, base: int, key: str = "term_id
     """Mandatory rows first, the rest of the budget by global score among the others; more
     mandatory rows than budget is an error."""
     _rate(share)
-    marked = mandatory_rows(df, base, key, score, tie)
+    marked = cut(mandatory_rows(df, base, key, score, tie))
     n, needed, allowed = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("mandatory").cast("long")), F.lit(0)), budget(F.count(F.lit(1)), F.lit(share))).first()
     if needed > allowed:
         raise ContractError(f"{needed} mandatory rows, budget {allowed}; the least rate is {needed / n:.6f}")
@@ -68,5 +71,5 @@ def rate_constrained(df: DataFrame, share: float, base: int, key: str = "term_id
 
 
 def many_rates(df: DataFrame, rates: list[float], base: int = 0, **names: str) -> dict[str, DataFrame]:
-    """One decision table per rate, by suffix ``r22`` and the like."""
-    return {f"r{round(r * 100):02d}": rate_constrained(df, r, base, **names) if base else rate(df, r) for r in rates}
+    """One decision table per rate, by suffix ``r22`` and the like; ``names`` go to each decision."""
+    return {rate_suffix(r): rate_constrained(df, r, base, **names) if base else rate(df, r, **{k: v for k, v in names.items() if k != "key"}) for r in rates}

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from matchrank.functions import fuzzy, text
 from matchrank.functions.text import coverage
+from matchrank.operators.category import lookup_arrays
+from matchrank.operators.retrieval import pair_similarity
 from matchrank.sources.contracts import require_known
 
 FIELDS = ("title", "category", "brand", "attributes")
@@ -35,12 +37,26 @@ def item_dimension(items: DataFrame) -> DataFrame:
     return base.withColumn("full_tokens", F.array_distinct(F.concat(*[F.col(f"{f}_tokens") for f in FIELDS])))
 
 
-def join_pairs(pairs: DataFrame, terms: DataFrame, items: DataFrame, strict: bool = False) -> DataFrame:
-    """Pairs with both dimensions; ``strict`` raises for unknown ids, else such pairs drop out."""
+def item_meta(items: DataFrame) -> DataFrame:
+    """``item_id, item_cat_l1, item_cat_l2, item_gender, item_age_group``: what models take as categories."""
+    levels = text.category_levels(F.col("category"))
+    known = lambda c: F.coalesce(F.nullif(text.normalize_text(F.col(c)), F.lit("")), F.lit("unknown")).alias(f"item_{c}")
+    return items.select("item_id", levels["cat_l1"].alias("item_cat_l1"), levels["cat_l2"].alias("item_cat_l2"), known("gender"), known("age_group"))
+
+
+def join_pairs(pairs: DataFrame, terms: DataFrame, items: DataFrame, strict: bool = False, how: str = "inner") -> DataFrame:
+    """Pairs with both dimensions; ``strict`` raises for unknown ids, else they drop out or, with
+    ``how="left"``, keep nulls."""
     if strict:
         require_known(pairs, terms, "term_id")
         require_known(pairs, items, "item_id")
-    return pairs.join(term_dimension(terms), "term_id").join(item_dimension(items), "item_id")
+    return pairs.join(term_dimension(terms), "term_id", how).join(item_dimension(items), "item_id", how)
+
+
+def lookup(rows: DataFrame, other: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """``rows`` with the columns of ``other`` that ``defaults`` names, which stand where the key is unknown."""
+    found = rows.join(other.select(key, *defaults), key, "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
 
 
 def _flag(c: Column) -> Column:
@@ -117,3 +133,71 @@ def category_prior_features(labels: Column, probs: Column, category: Column, pre
         f"{prefix}_top1_prob": F.coalesce(F.get(probs, F.lit(0)), F.lit(0.0)),
         f"{prefix}_rank": rank.cast("double"),
     }
+
+
+# fixed values: the weights of the score over vector and lexical features
+VECTOR_WEIGHTS = {
+    "word_sim_full": 1.75, "char_sim_full": 1.20, "word_sim_title": 0.95, "word_sim_category": 0.55, "word_sim_brand": 0.65, "word_sim_attributes": 0.35,
+    "full_cov": 2.05, "title_cov": 1.35, "category_cov": 0.90, "brand_cov": 0.95, "attr_cov": 0.45, "query_in_title": 0.80, "query_in_category": 0.65, "query_in_brand": 0.85,
+    "full_complete": 0.95, "title_complete": 0.65, "category_complete": 0.50, "brand_complete": 0.55, "short_complete": 0.40,
+    "gender_mismatch": -0.80, "age_mismatch": -0.70, "color_mismatch": -0.60, "weak_match": -0.85,
+}
+PRIOR_LEVELS = ("cat_l1", "cat_l2")
+
+
+def model_frame(pairs: DataFrame, terms: DataFrame, items: DataFrame, priors: dict[str, DataFrame], ratios: bool = True) -> DataFrame:
+    """``pairs`` with everything a model takes: pair features, the linear score, six prior features
+    per category level, four categories.
+
+    ``priors`` maps a level to its ranked classes (``term_id, label, prob, rank``), which become one row of
+    arrays per term. Terms without a prior have zeros, items without a category are ``unknown``.
+    """
+    out = pair_features(join_pairs(pairs, terms, items), ratios).withColumn("lexical_score", linear_score(ratios))
+    out = out.drop("gender", "age_group", *[c for c in out.columns if c.endswith("_tokens") and c != "n_query_tokens"], "q_colors", *FIELDS, "query")
+    out = lookup(out, item_meta(items), "item_id", {"item_cat_l1": "unknown", "item_cat_l2": "unknown", "item_gender": "unknown", "item_age_group": "unknown"})
+    for level, ranked in priors.items():
+        arrays = lookup_arrays(ranked, level)
+        out = out.join(arrays, "term_id", "left")
+        labels, probs = (F.coalesce(F.col(f"{level}_{n}"), F.array().cast(f"array<{kind}>")) for n, kind in (("labels", "string"), ("probs", "double")))
+        out = out.withColumns(category_prior_features(labels, probs, F.col(f"item_{level}"), level)).drop(f"{level}_labels", f"{level}_probs")
+    return out
+
+
+def vector_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, word, char) -> DataFrame:
+    """``id, term_id, item_id``, eight similarities, the lexical features, ``vector_score`` and item categories.
+
+    ``word`` and ``char`` are fitted spaces; each field is transformed with the corpus vocabulary
+    when it is asked for. ``weak_match`` here looks at coverages: below .34 over all fields and below .40 in each.
+    """
+    t, i = terms.select(F.col("term_id").alias("query_id"), text.normalize_text(F.col("query")).alias("text")), items.select("item_id", *[text.normalize_text(F.col(f)).alias(f) for f in FIELDS])
+    full = i.select("item_id", F.concat_ws(" ", *[F.col(f) for name, times in text.VECTOR_WEIGHTS.items() for f in [name] * times]).alias("text"))
+    texts = {"full": full, **{f: i.select("item_id", F.col(f).alias("text")) for f in FIELDS}}
+    asked = pairs.select(F.col("term_id").alias("query_id"), "item_id")
+    out = pair_features(join_pairs(pairs, terms, items), ratios=False)
+    best = F.greatest("title_cov", "category_cov", "brand_cov", "attr_cov")
+    shared = lambda f: F.size(F.filter("q_tokens", lambda x: F.array_contains(F.col(f"{f}_tokens"), x))).cast("double")
+    out = out.withColumns(
+        {
+            "query_len_chars": F.length("query").cast("double"),
+            "max_field_cov": best,
+            **{f"shared_{'attr' if f == 'attributes' else f}_tokens": shared(f) for f in FIELDS},
+            "weak_match": _flag((F.col("full_cov") < 0.34) & (best < 0.40)),
+            "category_depth": F.when(F.col("category") == "", 0.0).otherwise(F.size(F.filter(F.split("category", "/"), lambda p: F.trim(p) != "")).cast("double")),
+        }
+    )
+    for space, name, fields in ((word, "word", ("full", *FIELDS)), (char, "char", ("full", "title", "attributes"))):
+        query = space.transform(t, "query_id")
+        for f in fields:
+            sim = pair_similarity(asked, query, space.transform(texts[f], "item_id")).select(F.col("query_id").alias("term_id"), "item_id", F.col("similarity").alias(f"{name}_sim_{f}"))
+            out = out.join(sim, ["term_id", "item_id"])
+    score = sum(F.col(k) * w for k, w in VECTOR_WEIGHTS.items())
+    keep = ["id", "term_id", "item_id", *[c for c in out.columns if "_sim_" in c], *VECTOR_LEXICAL]
+    return out.withColumn("vector_score", score).select(*keep, "vector_score").join(item_meta(items), "item_id")
+
+
+# fixed value: the lexical features beside the similarities
+VECTOR_LEXICAL = (
+    "n_query_tokens", "query_len_chars", "title_len", "category_len", "brand_len", "attr_len", "title_cov", "category_cov", "brand_cov", "attr_cov", "full_cov", "max_field_cov",
+    "shared_title_tokens", "shared_category_tokens", "shared_brand_tokens", "shared_attr_tokens", "query_in_title", "query_in_category", "query_in_brand",
+    "full_complete", "title_complete", "category_complete", "brand_complete", "short_complete", "gender_mismatch", "age_mismatch", "color_mismatch", "weak_match", "category_depth",
+)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the folder that the cluster names, or in a temporary one
-    where none is named, as in tests."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="matchrank-"))
+    """A reliable checkpoint of ``df`` in the folder that ``spark.checkpoint.dir`` names. In local mode
+    a temporary folder stands in where none is named; on a cluster, which wouldn't share it, that is an error."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="matchrank-"))
     return df.checkpoint()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import budget, macro_f1
 from matchrank.operators.decisions import mandatory_rows
-from matchrank.operators.ranking import positions
+from matchrank.operators.lineage import cut
+from matchrank.operators.ranking import describe, positions
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -24,7 +25,7 @@ def rate_curve(df: DataFrame, rates: list[float], base: int = 0, key: str = "ter
     among the first positions, summed per rate in one aggregation over a short list of budgets.
     """
     spark = df.sparkSession
-    marked = mandatory_rows(df, base, key, score, tie)
+    marked = cut(mandatory_rows(df, base, key, score, tie))
     totals = marked.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("positives"),
@@ -82,3 +83,34 @@ def share_by(df: DataFrame, key: str) -> DataFrame:
 def pos_weight(df: DataFrame, label: str = "label") -> DataFrame:
     pos, neg = (F.sum((F.col(label) == v).cast("long")) for v in (1, 0))
     return df.agg((neg / F.greatest(pos, F.lit(1))).alias("pos_weight"), F.avg(F.col(label).cast("double")).alias("positive_rate"))
+
+
+def value_counts(df: DataFrame, key: str) -> DataFrame:
+    """Rows per value, the most frequent first, then by value."""
+    return group_sizes(df, key).orderBy(F.col("n").desc(), key)
+
+
+def recall_variants(lexical: DataFrame, embedding: DataFrame, positives: DataFrame, k: int) -> DataFrame:
+    """``variant, hits, positives, recall`` at rank ``k`` of either retrieval and of their union."""
+    first = lambda df: df.where(F.col("rank") <= k).select("term_id", "item_id").distinct()
+    pools = {"tfidf": first(lexical), "embedding": first(embedding)}
+    marked = positives.select("term_id", "item_id").distinct()
+    for name, pool in pools.items():
+        marked = marked.join(pool.withColumn(name, F.lit(1)), ["term_id", "item_id"], "left")
+    hits = {"tfidf": F.col("tfidf"), "embedding": F.col("embedding"), "hybrid": F.coalesce("tfidf", "embedding")}
+    sums = marked.agg(F.count(F.lit(1)).alias("positives"), *[F.count(c).alias(n) for n, c in hits.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("hits")) for n in hits])).alias("x")
+    return sums.select(rows, "positives").select("x.variant", "x.hits", "positives", (F.col("x.hits") / F.greatest("positives", F.lit(1))).alias("recall"))
+
+
+def weighted_mean_loss(batches: DataFrame, loss: str = "loss", rows: str = "rows") -> DataFrame:
+    """The mean of batch losses weighted by their rows, in one row; 0 without rows."""
+    return batches.agg((F.coalesce(F.sum(F.col(loss) * F.col(rows)), F.lit(0.0)) / F.greatest(F.coalesce(F.sum(rows), F.lit(0)), F.lit(1))).alias("mean_loss"))
+
+
+def score_summary(df: DataFrame, thresholds: list[float], score: str = "score", key: str = "term_id") -> DataFrame:
+    """``what, value``: the table's describe, rows at or above each threshold, and the describe of rows per term."""
+    facts = lambda d, c, prefix: describe(d, c, (0.25, 0.5, 0.75)).select(*[F.col(n).cast("double").alias(f"{prefix}{n}") for n in ("n", "mean", "std", "lowest", "p25", "p50", "p75", "highest")])
+    above = df.agg(*[F.coalesce(F.sum((F.col(score) >= t).cast("double")), F.lit(0.0)).alias(f"at_least_{t:g}") for t in thresholds])
+    wide = facts(df, score, "score_").crossJoin(above).crossJoin(facts(group_sizes(df, key), "n", "per_term_"))
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(f"`{c}`").alias("value")) for c in wide.columns])).alias("x")).select("x.*")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import dot
+from matchrank.operators.features import model_frame
 from matchrank.operators.metrics import best_rate, rate_curve
 from matchrank.operators.splits import inner_split
 
@@ -23,11 +24,17 @@ def _balanced(rows: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("_w", weight)
 
 
-def train_trees(rows: DataFrame, numeric: list[str], categorical: list[str] = (), label: str = "label", trees: int = 30, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """Balanced boosted trees over numeric columns and indexed categories (unseen ones kept apart)."""
+def train_trees(rows: DataFrame, numeric: list[str], categorical: list[str] = (), label: str = "label", trees: int = 30, depth: int = 4, seed: int = 42, valid: str | None = None, tolerance: float = 0.001) -> PipelineModel:
+    """Balanced boosted trees over numeric columns and indexed categories (unseen ones kept apart).
+
+    With ``valid``, a boolean column, those rows are held out and boosting stops once a further tree
+    betters their error by less than ``tolerance``.
+    """
     indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical]
     vector = VectorAssembler(inputCols=[*numeric, *(f"{c}_i" for c in categorical)], outputCol="_x", handleInvalid="keep")
     gbt = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", maxIter=trees, maxDepth=depth, maxBins=256, seed=seed)
+    if valid:
+        gbt = gbt.setValidationIndicatorCol(valid).setParams(validationTol=tolerance)
     return Pipeline(stages=[*indexers, vector, gbt]).fit(_balanced(rows, label))
 
 
@@ -90,6 +97,34 @@ def out_of_fold(rows: DataFrame, folds: int, numeric: list[str], categorical: li
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def fold_with_prior(pairs: DataFrame, fold: int, terms: DataFrame, items: DataFrame, priors, numeric: list[str], categorical: list[str] = (), **options) -> DataFrame:
+    """Scores of one fold: ``id, fold, label, prob``. Nothing of the held-out terms is learned from.
+
+    ``pairs`` is ``id, term_id, item_id, label, fold``. ``priors`` maps positives of the other folds to
+    ranked classes per level; model frames of both sides are made with them, an inner part of the
+    training terms stops the boosting.
+    """
+    train, held = pairs.where(F.col("fold") != fold), pairs.where(F.col("fold") == fold)
+    ranked = priors(train.where("label = 1").select("term_id", "item_id"))
+    frame = lambda rows: model_frame(rows, terms, items, ranked, ratios=False)
+    model = train_trees(inner_split(frame(train)), numeric, categorical, valid="is_valid", **options)
+    return predict(model, frame(held)).select("id", "fold", "label", "prob")
+
+
+def out_of_fold_with_prior(pairs: DataFrame, folds: int, terms: DataFrame, items: DataFrame, priors, numeric: list[str], categorical: list[str] = (), **options) -> DataFrame:
+    """All folds of ``fold_with_prior`` in one table."""
+    return reduce(lambda a, b: a.unionByName(b), [fold_with_prior(pairs, k, terms, items, priors, numeric, categorical, **options) for k in range(folds)])
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted pipeline as an artifact; ``load_model`` reads it anywhere."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def validated_rate(rows: DataFrame, rates: list[float], share: float = 0.2) -> DataFrame:
     """The best rate on an inner grouped validation part of scored rows."""
     return best_rate(rate_curve(inner_split(rows, share).where("is_valid").drop("is_valid"), rates))

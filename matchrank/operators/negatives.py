@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import jaccard, stable_hash
 from matchrank.operators.lineage import cut
+from matchrank.operators.ranking import quantiles
 from matchrank.operators.splits import sample_at_most
-from matchrank.sources.contracts import ContractError, require_disjoint, require_range, require_unique
+from matchrank.operators.walks import walk
+from matchrank.sources.contracts import ContractError, require_columns, require_disjoint, require_range, require_unique
 
 # fixed values: half-open score bands and their sizes
 SCORE_BANDS = {"low": (float("-inf"), 2.0, 350_000), "mid": (2.0, 4.5, 350_000), "hard": (4.5, 6.5, 150_000)}
@@ -33,12 +35,26 @@ def score_bands(scored: DataFrame, bands: dict[str, tuple[float, float, int]] =
 
 def calibrated_bounds(positive_scores: DataFrame, score: str = "score") -> DataFrame:
     """Band borders from the positives' 10, 25 and 50 % quantiles, each at least .01 above the last."""
-    q = positive_scores.agg(*[F.percentile(score, F.lit(p)).alias(n) for n, p in (("q10", 0.10), ("q25", 0.25), ("q50", 0.50))])
+    q = quantiles(positive_scores, score, {"q10": 0.10, "q25": 0.25, "q50": 0.50})
     low = q.withColumn("low", F.greatest(F.lit(0.005), 0.6 * F.col("q10")))
     mid = low.withColumn("mid", F.greatest(F.col("low") + 0.01, 0.8 * F.col("q25")))
     return mid.withColumn("hard", F.greatest(F.col("mid") + 0.01, 0.9 * F.col("q50")))
 
 
+def calibrated_bands(scored: DataFrame, positive_scores: DataFrame, positives: DataFrame, targets: dict[str, int], seed: str = "calibrated", key: str = "id", score: str = "score") -> DataFrame:
+    """``key, term_id, item_id, score, negative_band``: at most ``targets[band]`` rows per band in hash order.
+
+    Bands are (0, low], (low, mid], (mid, hard] with the borders of ``calibrated_bounds``; no row is a
+    positive pair or comes twice.
+    """
+    borders = F.broadcast(calibrated_bounds(positive_scores, score).select("low", "mid", "hard"))
+    free = minus_positives(scored, positives).crossJoin(borders)
+    s = F.col(score)
+    band = F.when((s > 0) & (s <= F.col("low")), "low").when((s > F.col("low")) & (s <= F.col("mid")), "mid").when((s > F.col("mid")) & (s <= F.col("hard")), "hard")
+    named = free.withColumn("negative_band", band).where("negative_band IS NOT NULL").select(key, "term_id", "item_id", score, "negative_band")
+    return reduce(lambda a, b: a.unionByName(b), [sample_at_most(named.where(F.col("negative_band") == b), n, key, f"{seed}+{b}") for b, n in targets.items()])
+
+
 def _order(term: str, item: str, seed: str) -> Column:
     return stable_hash(seed, F.col(term).cast("string"), F.col(item).cast("string"))
 
@@ -64,17 +80,10 @@ def tfidf_bands(ranked: DataFrame, positives: DataFrame, items: DataFrame, hard:
 
 
 def uniform(taken: DataFrame, items: DataFrame, n: int, seed: str) -> DataFrame:
-    """Per term of ``taken`` the first ``n`` items, in catalog hash order from the term's own start,
+    """Per term of ``taken`` the first ``n`` items on its walk through the catalog (``walks.walk``)
     that ``taken`` doesn't hold; ``term_id, item_id, pick``. Fewer if the catalog is too small."""
-    catalog = items.select("item_id").distinct().withColumn("h", stable_hash(seed, F.col("item_id").cast("string")))
-    size = F.broadcast(catalog.agg(F.count(F.lit(1)).alias("size")))
-    numbered = catalog.withColumn("place", F.row_number().over(Window.orderBy("h", "item_id")) - 1)
-    terms = taken.groupBy("term_id").agg(F.count(F.lit(1)).alias("t")).crossJoin(size)
-    begin = F.conv(F.substring(stable_hash(seed, F.lit("start"), F.col("term_id").cast("string")), 1, 8), 16, 10).cast("long") % F.greatest("size", F.lit(1))
-    steps = terms.withColumn("begin", begin).where("size > 0").select("term_id", "begin", "size", F.explode(F.sequence(F.lit(0), F.least(F.col("t") + n, F.col("size")).cast("int") - 1)).alias("step"))
-    walk = steps.withColumn("place", ((F.col("begin") + F.col("step")) % F.col("size")).cast("int")).join(numbered.select("place", "item_id"), "place")
-    open_ = walk.join(taken.select("term_id", "item_id"), ["term_id", "item_id"], "left_anti")
-    return open_.withColumn("pick", F.row_number().over(Window.partitionBy("term_id").orderBy("step"))).where(F.col("pick") <= n).select("term_id", "item_id", "pick")
+    terms = taken.groupBy("term_id").agg((F.count(F.lit(1)) + n).alias("steps"))
+    return walk(terms, taken, items, seed).where(F.col("pick") <= n)
 
 
 def near_duplicates_of_positives(candidates: DataFrame, positives: DataFrame, items: DataFrame, least: float = 0.9) -> DataFrame:
@@ -130,6 +139,22 @@ def check_negatives(rows: DataFrame, positives: DataFrame, low: int, high: int)
     return rows
 
 
+def negative_audit(rows: DataFrame) -> DataFrame:
+    """One row ``value``: a JSON document of rows, terms, rows per source, rank span, score span."""
+    by_source = rows.groupBy("negative_source").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("negative_source", "n")))).alias("by_source"))
+    ranked = F.when(F.col("source_rank") > 0, F.col("source_rank"))
+    facts = rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("term_id").alias("terms"), F.min(ranked).alias("least_rank"), F.max(ranked).alias("greatest_rank"), F.round(F.min("source_score"), 9).alias("least_score"), F.round(F.max("source_score"), 9).alias("greatest_score"))
+    return facts.crossJoin(F.broadcast(by_source)).select(F.to_json(F.struct("*")).alias("value"))
+
+
+def external_negatives(rows: DataFrame, positives: DataFrame) -> DataFrame:
+    """Distinct pairs of a file of negatives that aren't positive; none left is an error."""
+    out = minus_positives(require_columns(rows, "term_id", "item_id"), positives)
+    if out.limit(1).count() == 0:
+        raise ContractError("no negatives are left")
+    return out
+
+
 def candidate_batch(batch: DataFrame, pool: DataFrame, uniform_items: DataFrame, epoch: int) -> DataFrame:
     """A training batch's candidates: its targets, one hard item per row that alternates between the
     lexical and embedding families with (row + epoch), and three shared uniform items per row.
@@ -147,9 +172,12 @@ def candidate_batch(batch: DataFrame, pool: DataFrame, uniform_items: DataFrame,
     return targets.unionByName(hard).unionByName(shared)
 
 
-def known_positive_mask(rows: DataFrame, candidates: DataFrame, positives: DataFrame) -> DataFrame:
-    """``row_index, item_id, masked``: a candidate that is another positive of the row's term."""
-    pairs = rows.select("row_index", "term_id", F.col("item_id").alias("target")).crossJoin(F.broadcast(candidates.select("item_id").distinct()))
+def known_positive_mask(rows: DataFrame, candidates: DataFrame, positives: DataFrame, batch: str = "batch") -> DataFrame:
+    """``row_index, item_id, masked``: a candidate that is another positive of the row's term.
+
+    Rows meet the candidates of their own ``batch`` (a column of both): a batch's size bounds the pairs.
+    """
+    pairs = rows.select(batch, "row_index", "term_id", F.col("item_id").alias("target")).join(candidates.select(batch, "item_id").distinct(), batch)
     known = pairs.join(positives.select("term_id", "item_id", F.lit(True).alias("k")), ["term_id", "item_id"], "left")
     return known.select("row_index", "item_id", (F.coalesce("k", F.lit(False)) & (F.col("item_id") != F.col("target"))).alias("masked"))
 
@@ -159,8 +187,18 @@ def negative_pool(negatives: DataFrame, family: Column) -> DataFrame:
     return negatives.groupBy("term_id", family.alias("family")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 
-def training_frame(positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """Positives as 1 and the negatives that aren't positive as 0; both must be there."""
-    ones = positives.select("term_id", "item_id").distinct().withColumn("label", F.lit(1))
-    zeros = minus_positives(negatives.select("term_id", "item_id"), positives).withColumn("label", F.lit(0))
-    return ones.unionByName(zeros)
+def training_frame(positives: DataFrame, negatives: DataFrame, most_positives: int | None = None, most_negatives: int | None = None, seed: str | None = None) -> DataFrame:
+    """Positives as 1 and the negatives that aren't positive as 0.
+
+    Limits keep the first pairs in hash order; with a ``seed`` a column ``shuffle`` gives each row its
+    place's key in a repeatable random order.
+    """
+    key = F.concat_ws("\x1f", F.col("term_id").cast("string"), F.col("item_id").cast("string"))
+
+    def some(df: DataFrame, most: int | None, name: str) -> DataFrame:
+        return df if most is None else sample_at_most(df.withColumn("_k", key), most, "_k", name).drop("_k")
+
+    ones = some(positives.select("term_id", "item_id").distinct(), most_positives, "positives").withColumn("label", F.lit(1))
+    zeros = some(minus_positives(negatives.select("term_id", "item_id"), positives), most_negatives, "negatives").withColumn("label", F.lit(0))
+    out = ones.unionByName(zeros)
+    return out if seed is None else out.withColumn("shuffle", stable_hash(seed, key))

@@ -1,56 +1,78 @@
 """Ranks, quantile bins and positions that hold in a total order over the whole table.
 
-A window without a key would sort the table in one task. ``positions`` instead cuts the order into
-buckets at approximate quantiles (a bounded list on the driver), counts per bucket, and numbers rows
-inside buckets; a value that many rows share gets buckets of its own, cut by id.
+A window without a key would sort the table in one task. ``place`` instead range-partitions the rows
+by the whole order, ties included, so a value that many rows share is cut by its ties; each row's
+place in its partition plus the sizes of earlier partitions is its position. ``value_counts`` does the same
+for distinct values with their counts, of which percentile ranks and exact quantiles are read.
 """
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchrank.operators.lineage import cut
+
 
-def _bucket(c: Column, bounds: list[float]) -> Column:
-    """How many bounds lie below the value."""
-    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < c)) if bounds else F.lit(0)
+def place(df: DataFrame, *order: Column, out: str = "position") -> DataFrame:
+    """``df`` with 1-based positions in ``order``, which must be total for the result to be unique.
 
+    The input is evaluated once, as range partitioning samples it before it moves it. Keys may be of
+    any type that sorts.
+    """
+    ordered = cut(cut(df).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range partition
+    sizes = ordered.groupBy(part.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_b", "_off")
+    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn("_b", part).join(F.broadcast(sizes), "_b").withColumn(out, F.col("_off") + inside + 1).drop("_b", "_m", "_off")
 
-def positions(df: DataFrame, score: str, tie: str, out: str = "position", buckets: int = 64) -> DataFrame:
-    """``df`` with 1-based positions by score descending, then ``tie`` (a unique number) ascending."""
-    probs = [k / buckets for k in range(1, buckets)]
-    cuts = df.select(F.col(score).cast("double").alias("s"), F.col(tie).cast("double").alias("t")).stat.approxQuantile(["s", "t"], probs, 0.001)
-    bounds, tie_bounds = sorted(set(cuts[0])), sorted(set(cuts[1]))
-    heavy = sorted({b for b in bounds if cuts[0].count(b) > 1})
-    s, t = F.col(score).cast("double"), F.col(tie).cast("double")
-    is_heavy = s.isin(*heavy) if heavy else F.lit(False)
-    keyed = df.withColumn("_b", -(2 * _bucket(s, bounds) + F.when(is_heavy, 0).otherwise(-1).cast("int"))).withColumn("_t", F.when(is_heavy, _bucket(t, tie_bounds)).otherwise(0))
-    before = Window.orderBy("_b", "_t").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy("_b", "_t").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_b", "_t", "_off")
-    inside = Window.partitionBy("_b", "_t").orderBy(F.col(score).desc(), F.col(tie).asc())
-    # at most 2 * buckets * buckets rows: a bound that doesn't depend on the table
-    return keyed.join(F.broadcast(sizes), ["_b", "_t"]).withColumn(out, (F.col("_off") + F.row_number().over(inside)).cast("long")).drop("_b", "_t", "_off")
+
+def positions(df: DataFrame, score: str, tie: str, out: str = "position") -> DataFrame:
+    """``df`` with 1-based positions by score descending, then ``tie`` (unique, of any type) ascending."""
+    return place(df, F.col(score).desc(), F.col(tie).asc(), out=out)
+
+
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """``value, _c, _before, _all``: rows of each distinct value, of smaller ones, and of all; no nulls."""
+    values = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c")))
+    ordered = cut(values.repartitionByRange(value).withColumn("_b", F.spark_partition_id()))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range partition
+    sizes = ordered.groupBy("_b").agg(F.sum("_c").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy())).drop("_n")
+    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counted = ordered.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    return counted.join(F.broadcast(sizes), "_b").select(value, "_c", (F.col("_off") + F.col("_in")).alias("_before"), "_all")
+
+
+def quantiles(df: DataFrame, value: str, named: dict[str, float]) -> DataFrame:
+    """Exact linear quantiles in one row, a column per name; nulls without values."""
+    n = df.select(F.count(value)).first()[0]
+    counts = value_counts(df, value)
+    at = lambda k: F.min(F.when(F.col("_before") + F.col("_c") > k, F.col(value))).cast("double")
+
+    def one(p: float) -> Column:
+        x = (n - 1) * p
+        low = at(floor(x))
+        return low + (at(ceil(x)) - low) * (x - floor(x))
+
+    return counts.agg(*[(one(p) if n else F.lit(None).cast("double")).alias(name) for name, p in named.items()])
 
 
 def rank_pct(df: DataFrame, score: str, out: str, *keys: str) -> DataFrame:
-    """Average-tie percentile rank, ascending, over the table or per key.
+    """Average-tie percentile rank, ascending, over the table or per key; a null score has a null rank.
 
-    Counted per distinct value first, so ties never meet in one task row by row; the running sum over
-    distinct values of the whole table is bucketed like ``positions``.
+    Over the table, rows are counted per distinct value first, so ties never meet in one task.
     """
     if keys:
         peers, group = Window.partitionBy(*keys, score), Window.partitionBy(*keys)
-        return df.withColumn(out, (F.rank().over(group.orderBy(score)) + (F.count(F.lit(1)).over(peers) - 1) / 2) / F.count(F.lit(1)).over(group))
-    values = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = df.select(F.col(score).cast("double").alias("s")).stat.approxQuantile("s", [k / 64 for k in range(1, 64)], 0.001)
-    keyed = values.withColumn("_b", _bucket(F.col(score).cast("double"), sorted(set(cuts))))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy("_b").agg(F.sum("_c").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    total = F.sum("_n").over(Window.partitionBy())
-    sizes = sizes.withColumn("_all", total).drop("_n")
-    inside = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = keyed.join(F.broadcast(sizes), "_b").withColumn(out, (F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0)) + (F.col("_c") + 1) / 2) / F.col("_all"))
-    return df.join(ranked.select(score, out), score)
+        rank = (F.rank().over(group.orderBy(F.col(score).asc_nulls_last())) + (F.count(F.lit(1)).over(peers) - 1) / 2) / F.count(score).over(group)
+        return df.withColumn(out, F.when(F.col(score).isNotNull(), rank))
+    ranked = value_counts(df, score).select(score, ((F.col("_before") + (F.col("_c") + 1) / 2) / F.col("_all")).alias(out))
+    return df.join(ranked, score, "left").select(*df.columns, out)
 
 
 def first_rank(df: DataFrame, key: str, score: str, tie: str, out: str = "rank_in_term") -> DataFrame:
@@ -65,9 +87,10 @@ def quantile_bins(df: DataFrame, value: str, tie: str, bins: int, out: str = "bi
         w = Window.partitionBy(*keys)
         df = df.withColumn("_r", F.row_number().over(w.orderBy(value, tie))).withColumn("_n", F.count(F.lit(1)).over(w))
     else:
-        df = positions(df.withColumn("_neg", -F.col(value)), "_neg", tie, "_r").drop("_neg").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
-    place = F.ceil((F.col("_r") - 1) * bins / F.greatest(F.col("_n") - 1, F.lit(1))) - 1
-    return df.withColumn(out, F.greatest(place, F.lit(0)).cast("int")).drop("_r", "_n")
+        placed = place(df, F.col(value).asc(), F.col(tie).asc(), out="_r")
+        df = placed.crossJoin(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_n"))))
+    bin_ = F.ceil((F.col("_r") - 1) * bins / F.greatest(F.col("_n") - 1, F.lit(1))) - 1
+    return df.withColumn(out, F.greatest(bin_, F.lit(0)).cast("int")).drop("_r", "_n")
 
 
 def top_k(df: DataFrame, key: str, score: str, tie: str, k: int, out: str = "rank") -> DataFrame:
@@ -82,8 +105,9 @@ def top_n(df: DataFrame, score: str, tie: str, n: int) -> DataFrame:
 
 def describe(df: DataFrame, value: str, percentiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact linear percentiles in one row."""
-    named = [F.percentile(value, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in percentiles]
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lowest"), *named, F.max(value).alias("highest"))
+    facts = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
+    cuts = quantiles(df, value, {f"p{round(p * 100):02d}": p for p in percentiles})
+    return facts.crossJoin(F.broadcast(cuts)).select("n", "mean", "std", "lowest", *cuts.columns, "highest")
 
 
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:

@@ -1,22 +1,28 @@
 """Exact retrieval in sparse TF-IDF and dense cosine spaces.
 
-Sparse similarity is an equality join on features followed by a sum per pair. Document features are
-first cut to the queries' vocabulary by the join itself; norms are computed over all features, per
-document, and joined after the dot products. Document frequencies and norms are aggregates, never
-collected.
+Both are block products: queries and items are dealt into blocks, a pair of blocks is scored in
+memory and passes on its best rows. A sparse space is fitted once (document frequencies are
+aggregates, never collected) and transforms any corpus later; given pairs are scored by joining two
+gathered vectors. Norms are over all known features of a document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
-from matchrank.functions.numeric import dot, smooth_idf, sublinear_tf
+from matchrank.functions.numeric import dot, mix, smooth_idf, sublinear_tf
+from matchrank.operators.lineage import cut
 from matchrank.operators.ranking import top_k
+from matchrank.operators.walks import walk
 
 
 def term_counts(docs: DataFrame, key: str, features: Column) -> DataFrame:
@@ -40,27 +46,128 @@ def vocabulary(counts: list[DataFrame], sizes: list[DataFrame], min_df: int = 2,
     return kept.crossJoin(F.broadcast(n)).select("feature", smooth_idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``key, feature, w`` with sublinear tf times idf, and ``key, norm`` over all features."""
-    w = counts.join(vocab, "feature").select(key, "feature", (sublinear_tf(F.col("tf")) * F.col("idf")).alias("w"))
-    return w, w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+@dataclass
+class Tfidf:
+    """A fitted space: ``vocab`` is ``feature, idf, fid``, a written table, so that any number of
+    transforms later use the same vocabulary and ids."""
 
+    vocab: DataFrame
+    features: Callable[[Column], Column]
 
-def sparse_similarity(queries: tuple[DataFrame, DataFrame], items: tuple[DataFrame, DataFrame], digits: int = 9) -> DataFrame:
-    """``query_id, item_id, score`` of all pairs that share a feature, rounded for stable ties."""
-    qw, qn = queries
-    iw, inorm = items
-    dots = qw.withColumnRenamed("w", "qw").join(iw.withColumnRenamed("w", "iw"), "feature").groupBy("query_id", "item_id").agg(F.sum(F.col("qw") * F.col("iw")).alias("d"))
-    scored = dots.join(qn.withColumnRenamed("norm", "qn"), "query_id").join(inorm.withColumnRenamed("norm", "inorm"), "item_id")
-    return scored.select("query_id", "item_id", F.round(F.col("d") / (F.col("qn") * F.col("inorm")), digits).alias("score"))
+    def transform(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """``key, fid, w``: unit vectors of the documents' known features, long form."""
+        counts = term_counts(docs, key, self.features(F.col(text))).join(self.vocab, "feature")
+        w = counts.select(key, "fid", (sublinear_tf(F.col("tf")) * F.col("idf")).alias("w"))
+        norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return w.join(norms, key).select(key, "fid", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def tfidf_top_k(queries: DataFrame, items: DataFrame, features: Column, k: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
+def fit_tfidf(corpora: list[tuple[DataFrame, str]], features: Callable[[Column], Column], min_df: int = 2, max_features: int | None = None, text: str = "text") -> Tfidf:
+    """The space of the union of ``(docs, key)`` corpora; ``features`` maps a text to its features."""
+    counts = [term_counts(d, key, features(F.col(text))) for d, key in corpora]
+    vocab = vocabulary(counts, [d for d, _ in corpora], min_df, max_features)
+    return Tfidf(cut(vocab.withColumn("fid", F.monotonically_increasing_id())), features)
+
+
+def pair_similarity(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``query_id, item_id, similarity`` of given pairs: the sum over shared features, 0 if there are none.
+
+    Each side's vector is gathered to one row first, so a pair moves two rows and not its features;
+    vectors are as long as their documents.
+    """
+    vector = lambda df, key, name: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("fid", "w"))).alias(name))
+    once = pairs.select("query_id", "item_id").distinct()
+    both = once.join(vector(queries, "query_id", "_q"), "query_id", "left").join(vector(items, "item_id", "_i"), "item_id", "left")
+    shared = F.aggregate(F.map_keys("_q"), F.lit(0.0), lambda s, k: s + F.coalesce(F.try_element_at("_q", k) * F.try_element_at("_i", k), F.lit(0.0)))
+    return both.select("query_id", "item_id", F.coalesce(shared, F.lit(0.0)).alias("similarity"))
+
+
+def two_space_similarity(pairs: DataFrame, word: tuple[DataFrame, DataFrame], char: tuple[DataFrame, DataFrame], share: float = 0.65) -> DataFrame:
+    """``query_id, item_id, word, char, similarity``: both spaces' similarities and their weighted mean."""
+    w = pair_similarity(pairs, *word).withColumnRenamed("similarity", "word")
+    c = pair_similarity(pairs, *char).withColumnRenamed("similarity", "char")
+    return w.join(c, ["query_id", "item_id"]).withColumn("similarity", mix(F.col("word"), F.col("char"), share))
+
+
+#: Products held at once in a block pair; larger ones are worked off in parts.
+_PRODUCTS = 1 << 22
+
+
+def sparse_top_k(queries: DataFrame, items: DataFrame, k: int, q_block: int = 512, i_block: int = 8192, digits: int = 9) -> DataFrame:
+    """Exact top ``k`` of sparse unit vectors in long form (``<key>, fid, w``), blockwise.
+
+    Like ``dense_top_k``: blocks of query vectors meet blocks of item vectors, the products of shared
+    features add up in one dense block of scores (4 million numbers at these sizes), and only a block pair's best
+    ``k`` go on. A feature that most items have costs products in memory, no rows.
+    """
+    vector = lambda df, key: df.groupBy(key).agg(F.collect_list("fid").alias("f"), F.collect_list("w").alias("w"))
+    qv, iv = cut(vector(queries, "query_id")), cut(vector(items, "item_id"))
+    qx, ix = _block_pairs(qv, iv, q_block, i_block)
+    q_kind, i_kind = (pa_type(df.schema[key].dataType) for df, key in ((queries, "query_id"), (items, "item_id")))
+    schema = pa.schema([("query_id", q_kind), ("item_id", i_kind), ("score", pa.float64())])
+
+    def flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = t.column("f").combine_chunks()
+        sizes = np.diff(f.offsets.to_numpy())
+        rows = np.repeat(np.arange(t.num_rows), sizes)
+        ids, w = f.flatten().to_numpy(), t.column("w").combine_chunks().flatten().to_numpy()
+        order = np.argsort(ids, kind="stable")
+        return rows[order], ids[order], w[order]
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        b = b.sort_by("item_id")
+        (qr, qf, qw), (ir, if_, iw) = flat(a), flat(b)
+        scores = np.zeros(a.num_rows * b.num_rows)
+        low, high = np.searchsorted(if_, qf, "left"), np.searchsorted(if_, qf, "right")
+        n = high - low
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):  # each query posting meets the item postings of its feature
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + _PRODUCTS, "right")))
+            some = n[at:to]
+            left = np.repeat(np.arange(at, to), some)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some) + low[left]
+            scores += np.bincount(qr[left] * b.num_rows + ir[right], qw[left] * iw[right], len(scores))
+            at = to
+        scores = np.round(scores.reshape(a.num_rows, b.num_rows), digits)
+        rows, cols = _best_columns(scores, k)
+        hit = scores[rows, cols] > 0
+        rows, cols = rows[hit], cols[hit]
+        return pa.table([a.column("query_id").take(pa.array(rows)), b.column("item_id").take(pa.array(cols)), pa.array(scores[rows, cols])], schema=schema)
+
+    near = qx.groupBy("b_query_id", "b_item_id").cogroup(ix.groupBy("b_query_id", "b_item_id")).applyInArrow(best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double")
+    return top_k(near, "query_id", "score", "item_id", k)
+
+
+def _best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's ``k`` largest, ties to the smaller column: all above the k-th value, then
+    as many equal to it as are left."""
+    n, width = scores.shape
+    if width <= k:
+        return np.repeat(np.arange(n), width), np.tile(np.arange(width), n)
+    edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = scores > edge, scores == edge
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))
+
+
+def _block_pairs(queries: DataFrame, items: DataFrame, q_block: int, i_block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into blocks by a hash of the id; a query row goes to each item block and an
+    item row to each query block."""
+    nq, ni = max(1, -(-queries.count() // q_block)), max(1, -(-items.count() // i_block))
+    of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).alias(f"b_{key}")
+    every = lambda key, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(f"b_{key}")
+    return queries.select("*", of("query_id", nq), every("item_id", ni)), items.select("*", of("item_id", ni), every("query_id", nq))
+
+
+def tfidf_top_k(queries: DataFrame, items: DataFrame, features: Callable[[Column], Column], k: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
     """Best ``k`` items per query, score descending, then item id. Inputs have ``query_id``/``item_id``
-    and whatever ``features`` needs; the vocabulary spans both."""
-    qc, ic = term_counts(queries, "query_id", features), term_counts(items, "item_id", features)
-    vocab = vocabulary([qc, ic], [queries, items], min_df, max_features)
-    return top_k(sparse_similarity(weigh(qc, vocab, "query_id"), weigh(ic, vocab, "item_id")), "query_id", "score", "item_id", k)
+    and ``text``; the vocabulary spans both."""
+    space = fit_tfidf([(queries, "query_id"), (items, "item_id")], features, min_df, max_features)
+    return sparse_top_k(space.transform(queries, "query_id"), space.transform(items, "item_id"), k)
 
 
 def pad_with_zero_scores(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -78,6 +185,18 @@ def pad_with_zero_scores(ranked: DataFrame, queries: DataFrame, items: DataFrame
     return ranked.select("query_id", "item_id", "score", "rank").unionByName(fill.select("query_id", "item_id", F.lit(0.0).alias("score"), F.col("rank").cast("int").alias("rank")))
 
 
+def pad_with_random(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int, seed: str = "pad") -> DataFrame:
+    """Queries with fewer than ``k`` hits get unused items at score 0, chosen by hash and in its order.
+
+    A query walks through the catalog, which a hash orders, from a start of its own; the walk covers
+    as many items as could be taken. A catalog of fewer than ``k`` items gives fewer rows.
+    """
+    have = queries.select("query_id").join(ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("h")), "query_id", "left").select(F.col("query_id").alias("term_id"), F.coalesce("h", F.lit(0)).alias("h"))
+    fill = walk(have.where(F.col("h") < k).select("term_id", (F.col("h") + k).alias("steps")), ranked.select(F.col("query_id").alias("term_id"), "item_id"), items, seed)
+    rows = fill.join(have, "term_id").withColumn("rank", (F.col("h") + F.col("pick")).cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "item_id", "score", "rank").unionByName(rows.select(F.col("term_id").alias("query_id"), "item_id", F.lit(0.0).alias("score"), "rank"))
+
+
 def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 4096, digits: int = 9) -> DataFrame:
     """Exact cosine top ``k`` of unit vectors, blockwise.
 
@@ -85,21 +204,15 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 4096,
     in one matrix product, and only a block pair's best ``k`` go on, so the shuffle carries
     k rows per query and item block. Block pairs are tasks; nothing else is broadcast.
     """
-    nq, ni = (max(1, -(-df.count() // block)) for df in (queries, items))
-    of = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n)).alias(f"b_{key}")
-    all_ = lambda key, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(f"b_{key}")
-    # a query row goes to each item block and an item row to each query block
-    qx = queries.select("query_id", "vector", of(queries, "query_id", nq), all_("item_id", ni))
-    ix = items.select("item_id", "vector", of(items, "item_id", ni), all_("query_id", nq))
+    qx, ix = _block_pairs(queries.select("query_id", "vector"), items.select("item_id", "vector"), block, block)
 
     def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
         b = b.sort_values("item_id", kind="stable")
         s = np.round(np.stack(a["vector"]).astype(float) @ np.stack(b["vector"]).astype(float).T, digits)
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        ids = b["item_id"].to_numpy()
-        return pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), order.shape[1]), "item_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+        rows, cols = _best_columns(s, k)
+        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[rows], "item_id": b["item_id"].to_numpy()[cols], "score": s[rows, cols]})
 
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double"
     near = qx.groupBy("b_query_id", "b_item_id").cogroup(ix.groupBy("b_query_id", "b_item_id")).applyInPandas(best, kind)
@@ -112,8 +225,8 @@ def pair_cosine(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataF
     return joined.withColumn("cosine", dot(F.col("qv"), F.col("iv"))).drop("qv", "iv")
 
 
-def encode_once(pairs: DataFrame, texts: DataFrame, key: str, encoder, width: int) -> DataFrame:
-    """``key, vector`` of the different entities of ``pairs``, each encoded once.
+def encode_once(pairs: DataFrame | None, texts: DataFrame, key: str, encoder, width: int) -> DataFrame:
+    """``key, vector`` of the different entities of ``pairs`` (or of all ``texts``), each encoded once.
 
     ``encoder()`` is called once per task and returns a function from texts to an array of rows;
     rows are normalized to unit length.
@@ -126,5 +239,33 @@ def encode_once(pairs: DataFrame, texts: DataFrame, key: str, encoder, width: in
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             yield pd.DataFrame({key: f[key], "vector": list(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0))})
 
-    wanted = texts.join(pairs.select(key).distinct(), key, "left_semi")
+    wanted = texts if pairs is None else texts.join(pairs.select(key).distinct(), key, "left_semi")
     return wanted.select(key, "text").mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, vector array<double>")
+
+
+def encode_to_artifact(cache, stage: str, texts: DataFrame, key: str, encoder, width: int) -> DataFrame:
+    """``encode_once`` of all texts through a ``StageCache``: encoded, written with a manifest, and
+    read back; a later run of the same configuration only reads."""
+    return cache.get(stage, lambda: encode_once(None, texts, key, encoder, width))
+
+
+def score_pairs_by_entity(pairs: DataFrame, query_texts: DataFrame, item_texts: DataFrame, encoder, width: int) -> DataFrame:
+    """``pairs`` with ``cosine``: each different entity is encoded once, then pairs join their vectors."""
+    return pair_cosine(pairs, encode_once(pairs, query_texts, "query_id", encoder, width), encode_once(pairs, item_texts, "item_id", encoder, width))
+
+
+def hashed_trigrams(width: int = 64) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """An encoder without a model: signed counts of hashed letter trigrams, for tests and as a baseline."""
+
+    def make() -> Callable[[list[str]], np.ndarray]:
+        def encode(texts: list[str]) -> np.ndarray:
+            out = np.zeros((len(texts), width))
+            for k, t in enumerate(texts):
+                for at in range(max(0, len(t) - 2)):
+                    code = zlib.crc32(t[at : at + 3].encode())
+                    out[k, code % width] += 1 if code >> 31 else -1
+            return out
+
+        return encode
+
+    return make

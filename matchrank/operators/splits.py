@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import stable_hash
-from matchrank.operators.ranking import quantile_bins
+from matchrank.operators.ranking import place, quantile_bins
+from matchrank.sources.contracts import ContractError, require_binary, require_columns, require_unique
 
 # the group tables here have one row per term: windows over them see terms, not pairs
 
@@ -61,10 +62,14 @@ def hold_out(rows: DataFrame, manifest: DataFrame, fold: int, key: str = "term_i
 
 
 def stratified_rows(rows: DataFrame, share: float, key: str, label: str = "label", seed: str = "rows") -> DataFrame:
-    """``is_valid`` for round(share) of each label's rows in hash order."""
-    w = Window.partitionBy(label)
-    r = F.row_number().over(w.orderBy(_hash(key, seed), key))
-    return rows.withColumn("is_valid", r <= F.bround(F.count(F.lit(1)).over(w) * share))
+    """``is_valid`` for round(share) of each label's rows in hash order.
+
+    One order over label, hash and key; a label's rows begin where the smaller labels' end, so a label
+    that most rows have is spread over tasks. Labels are few: their counts are broadcast.
+    """
+    placed = place(rows, F.col(label).asc(), _hash(key, seed).asc(), F.col(key).asc(), out="_p")
+    counts = placed.groupBy(F.col(label).alias("_l")).agg((F.min("_p") - 1).alias("_before"), F.bround(F.count(F.lit(1)) * share).alias("_quota"))
+    return placed.join(F.broadcast(counts), F.col(label).eqNullSafe(F.col("_l"))).withColumn("is_valid", F.col("_p") - F.col("_before") <= F.col("_quota")).select(*rows.columns, "is_valid")
 
 
 def row_split(rows: DataFrame, share: float, key: str, seed: str = "rows") -> DataFrame:
@@ -74,14 +79,15 @@ def row_split(rows: DataFrame, share: float, key: str, seed: str = "rows") -> Da
 
 
 def labelled_sample(rows: DataFrame, most: int, key: str, label: str = "label", seed: str = "sample") -> DataFrame:
-    """At most ``most`` rows with the share of positives kept and one negative at least, hash order."""
-    w = Window.partitionBy(label)
-    total = F.count(F.lit(1)).over(Window.partitionBy())
-    own = F.count(F.lit(1)).over(w)
-    pos_n = F.least(F.bround(most * F.sum(F.col(label).cast("long")).over(Window.partitionBy()) / total), F.lit(most - 1))
-    quota = F.when(total <= most, own).when(F.col(label) == 1, pos_n).otherwise(most - pos_n)
-    r = F.row_number().over(w.orderBy(_hash(key, seed), key))
-    return rows.withColumn("_keep", r <= quota).where("_keep").drop("_keep")
+    """At most ``most`` rows with the share of positives kept and one negative at least, hash order.
+
+    The quotas come from two counts; each is then a top-k, of which every task keeps its own part.
+    """
+    total, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))).first()
+    if total <= most:
+        return rows
+    quota = min(round(most * positive / total), most - 1)
+    return sample_at_most(rows.where(F.col(label) == 1), quota, key, seed).unionByName(sample_at_most(rows.where(F.col(label) != 1), most - quota, key, seed))
 
 
 def stratified_audit(rows: DataFrame, n: int, buckets: int, band: str, score: str, key: str, seed: str = "audit") -> DataFrame:
@@ -93,3 +99,16 @@ def stratified_audit(rows: DataFrame, n: int, buckets: int, band: str, score: st
     some = binned.withColumn("_r", r).where(F.col("_r") <= each)
     cap = F.row_number().over(Window.partitionBy(band).orderBy("_r", "score_bucket"))
     return some.withColumn("_c", cap).where(F.col("_c") <= n).drop("_r", "_c")
+
+
+def slate_split(slate: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out rows of a slate by its own ``fold``, after its contract is checked: distinct
+    ``slate_id``, binary labels, one fold per term, both sides and both labels present."""
+    require_unique(require_columns(slate, "slate_id", "term_id", "item_id", "label", "fold"), "slate_id")
+    require_binary(slate, "label", both=True)
+    require_unique(slate.select("term_id", "fold").distinct(), "term_id")
+    train, held = slate.where(F.col("fold") != fold), slate.where(F.col("fold") == fold)
+    for name, side in (("training", train), ("held-out", held)):
+        if side.limit(1).count() == 0:
+            raise ContractError(f"no {name} rows for fold {fold}")
+    return train, held

@@ -1,0 +1,26 @@
+"""Uniform choice without a cross product: walks through a catalog that a hash orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from matchrank.functions.numeric import stable_hash
+from matchrank.operators.ranking import place
+
+
+def walk(terms: DataFrame, taken: DataFrame, items: DataFrame, seed: str) -> DataFrame:
+    """``term_id, item_id, pick``: the items on each term's walk that ``taken`` doesn't hold, in order.
+
+    ``terms`` is ``term_id, steps``. The catalog is one circle in hash order; a term walks ``steps``
+    items from a start that its own hash chooses, so terms with near starts meet the same items:
+    choices are uniform per term, not independent between terms.
+    """
+    catalog = items.select("item_id").distinct().withColumn("h", stable_hash(seed, F.col("item_id").cast("string")))
+    numbered = place(catalog, F.col("h").asc(), F.col("item_id").asc(), out="place").withColumn("place", F.col("place") - 1)
+    size = F.broadcast(numbered.agg(F.count(F.lit(1)).alias("size")))
+    begin = F.conv(F.substring(stable_hash(seed, F.lit("start"), F.col("term_id").cast("string")), 1, 8), 16, 10).cast("long") % F.greatest("size", F.lit(1))
+    steps = terms.crossJoin(size).withColumn("begin", begin).where("size > 0 AND steps > 0").select("term_id", "begin", "size", F.explode(F.sequence(F.lit(0), F.least(F.col("steps"), F.col("size")).cast("int") - 1)).alias("step"))
+    found = steps.withColumn("place", (F.col("begin") + F.col("step")) % F.col("size")).join(numbered.select("place", "item_id"), "place")
+    free = found.join(taken.select("term_id", "item_id"), ["term_id", "item_id"], "left_anti")
+    return free.withColumn("pick", F.row_number().over(Window.partitionBy("term_id").orderBy("step"))).select("term_id", "item_id", "pick")

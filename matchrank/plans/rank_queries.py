@@ -170,7 +170,7 @@ def _components(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
     parts = _components(spark, sf)
     labels = next(iter(parts.values())).select("id", "label")
-    return blend.align(parts, check=False).join(labels, "id")
+    return blend.align(parts).join(labels, "id")
 
 
 @register(f"WITH {_parts_sql} SELECT id, term_id, price, round(other, 6) AS other, round(third, 6) AS third FROM a")

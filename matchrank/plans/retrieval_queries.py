@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions import text
 from matchrank.operators import category, metrics, models, negatives, retrieval, slates, splits
 from matchrank.operators.lineage import cut
+from matchrank.operators.ranking import place
 from matchrank.plans import sqltext as q
 from matchrank.plans.adapters import items, positives, scored, table, terms, with_
 from matchrank.plans.rank_queries import _folds_sql
@@ -34,6 +35,10 @@ def _grams(c: F.Column) -> F.Column:
     return text.word_ngrams(_tokens(c), 1, 2)
 
 
+def _chars(c: F.Column) -> F.Column:
+    return text.char_ngrams(text.normalize_text(c), 3, 4)
+
+
 def _grams_sql(x: str) -> tuple[str, str]:
     """The tokens of a text, and the grams of a column ``tk`` of tokens."""
     return f"regexp_extract_all({q.words(x)}, '[a-z0-9]{{2,}}')", "(tk || list_transform(range(1, greatest(length(tk), 1)), lambda k: tk[k] || ' ' || tk[k + 1]))"
@@ -63,7 +68,7 @@ def tfidf_sql(name: str, queries: str, catalog: str, features, k: int, min_df: i
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return retrieval.tfidf_top_k(queries, docs, _grams(F.col("text")), 100)
+    return retrieval.tfidf_top_k(queries, docs, _grams, 100)
 
 
 _item_text = "SELECT item_id AS id, concat_ws(' ', title, brand, category, attributes) AS text FROM items"
@@ -78,11 +83,11 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _lexical(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
-    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _grams(F.col("text")), k).withColumnRenamed("query_id", "term_id"))
+    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _grams, k).withColumnRenamed("query_id", "term_id"))
 
 
 def _second(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
-    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), text.char_ngrams(text.normalize_text(F.col("text")), 3, 4), k).withColumnRenamed("query_id", "term_id"))
+    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _chars, k).withColumnRenamed("query_id", "term_id"))
 
 
 _base = with_("items", "terms", "positives")
@@ -99,7 +104,7 @@ SELECT query_id, item_id, score, rank FROM r UNION ALL SELECT * FROM (SELECT que
 def zero_padded_topk(spark: SparkSession, sf: str) -> DataFrame:
     t, _ = _sides(spark, sf)
     i = items(spark, sf).select("item_id", F.col("title").alias("text"))
-    return retrieval.pad_with_zero_scores(retrieval.tfidf_top_k(t, i, _grams(F.col("text")), 700), t, i, 700)
+    return retrieval.pad_with_zero_scores(retrieval.tfidf_top_k(t, i, _grams, 700), t, i, 700)
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -117,11 +122,18 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.dense_top_k(*_vectors(spark, sf), 50, digits=6)
 
 
-@register(f"WITH {_dense} SELECT query_id, item_id, round(cosine, 6) AS cosine FROM d WHERE ql = il")
+@register(f"""WITH n AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS same, lead(vec_id) OVER (ORDER BY vec_id) AS after FROM embeddings),
+p AS (SELECT vec_id AS query_id, same AS item_id FROM n WHERE same IS NOT NULL UNION SELECT vec_id, after FROM n WHERE after IS NOT NULL)
+SELECT query_id, item_id, round({_dot}, 6) AS cosine FROM p JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = item_id""")
 def pair_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector with the next one of its label and with the next one of all."""
     e = table(spark, sf, "embeddings")
-    pairs = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("item_id"), "label"), "label").drop("label")
-    return retrieval.pair_cosine(pairs, *_vectors(spark, sf)).select("query_id", "item_id", F.round("cosine", 6).alias("cosine"))
+    same = e.select(F.col("vec_id").alias("query_id"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("item_id")).where("item_id IS NOT NULL")
+    placed = place(e.select("vec_id"), F.col("vec_id").asc(), out="p")
+    after = placed.select(F.col("vec_id").alias("query_id"), (F.col("p") + 1).alias("p")).join(placed.select(F.col("vec_id").alias("item_id"), "p"), "p").drop("p")
+    v = e.select("vec_id", F.col("embedding").alias("vector"))
+    pairs = same.unionByName(after).distinct()
+    return retrieval.pair_cosine(pairs, v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "item_id")).select("query_id", "item_id", F.round("cosine", 6).alias("cosine"))
 
 
 @register(f"""WITH {_dense}, p AS (SELECT * FROM k WHERE ql = il), ks AS (SELECT unnest([10, 20, 50]) AS k)
@@ -251,7 +263,7 @@ def category_prior_topk(spark: SparkSession, sf: str) -> DataFrame:
     return category.count_prior(ex, asked, "cat_l2", text.raw_tokens(F.col("query_norm")))
 
 
-@register(f"""{_base}, {_examples}, c AS (SELECT cat_l2, count(*) AS n FROM ex GROUP BY cat_l2) SELECT query_norm, cat_l1, cat_l2 FROM ex WHERE cat_l2 IN (SELECT cat_l2 FROM c WHERE n >= 10)""")
+@register(f"""{_base}, {_examples}, c AS (SELECT cat_l2, count(*) AS n FROM ex GROUP BY cat_l2), k AS (SELECT cat_l2 FROM c WHERE n >= 10 UNION ALL (SELECT cat_l2 FROM c WHERE (SELECT max(n) FROM c) < 10 ORDER BY n DESC, cat_l2 LIMIT 1)) SELECT query_norm, cat_l1, cat_l2 FROM ex WHERE cat_l2 IN (SELECT cat_l2 FROM k)""")
 def class_filtered_examples(spark: SparkSession, sf: str) -> DataFrame:
     ex = category.category_examples(positives(spark, sf), terms(spark, sf), items(spark, sf))
     return category.class_filter(ex, "cat_l2", 10).select("query_norm", "cat_l1", "cat_l2")
@@ -259,9 +271,11 @@ def class_filtered_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def category_prior_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """Both category levels, at the operator's own sizes."""
     ex = category.category_examples(positives(spark, sf), terms(spark, sf), items(spark, sf))
     asked = terms(spark, sf).withColumn("query_norm", text.normalize_text(F.col("query")))
-    return category.logistic_prior(ex, asked, "cat_l1", features=1 << 10)
+    first, second = (category.logistic_prior(ex, asked, level).withColumn("level", F.lit(level)) for level in category.LEVELS)
+    return first.unionByName(second)
 
 
 def _event_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,7 +285,7 @@ def _event_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
-    out = models.out_of_fold(_event_rows(spark, sf), 3, ["score", "hour"], ["kind"], trees=5, depth=3)
+    out = models.out_of_fold(_event_rows(spark, sf), 3, ["score", "hour"], ["kind"])
     return out.select("id", "fold", "prob")
 
 
@@ -284,19 +298,16 @@ def pair_head_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labelled_pairs(e: DataFrame) -> DataFrame:
     """Each vector with the next one of its label and the next one by id."""
-    from pyspark.sql import Window
-
     nxt = e.select(F.col("vec_id").alias("b"), F.col("v").alias("i"))
     same = e.withColumn("b", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))).select(F.col("vec_id").alias("a"), F.col("v").alias("q"), "b", F.lit(1).alias("label"))
     near = e.select(F.col("vec_id").alias("a"), F.col("v").alias("q"), (F.col("vec_id") + 1).alias("b"), F.lit(0).alias("label"))
     return same.unionByName(near).where("b IS NOT NULL").join(nxt, "b")
 
 
-@register(f"""{_base}, b AS (SELECT row_number() OVER (ORDER BY term_id, item_id) - 1 AS row_index, term_id, item_id FROM (SELECT term_id, min(item_id) AS item_id FROM positives GROUP BY term_id)), c AS (SELECT DISTINCT item_id FROM b)
-SELECT row_index, c.item_id, c.item_id <> b.item_id AND EXISTS (SELECT 1 FROM positives p WHERE p.term_id = b.term_id AND p.item_id = c.item_id) AS masked FROM b, c""")
+@register(f"""{_base}, b AS (SELECT row_number() OVER (ORDER BY term_id, item_id) - 1 AS row_index, term_id, item_id FROM (SELECT term_id, min(item_id) AS item_id FROM positives GROUP BY term_id)), c AS (SELECT DISTINCT row_index // 64 AS batch, item_id FROM b)
+SELECT row_index, c.item_id, c.item_id <> b.item_id AND EXISTS (SELECT 1 FROM positives p WHERE p.term_id = b.term_id AND p.item_id = c.item_id) AS masked FROM b JOIN c ON c.batch = b.row_index // 64""")
 def known_positive_mask(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     p = positives(spark, sf)
-    b = p.groupBy("term_id").agg(F.min("item_id").alias("item_id")).withColumn("row_index", (F.row_number().over(Window.orderBy("term_id", "item_id")) - 1).cast("long"))
+    firsts = p.groupBy("term_id").agg(F.min("item_id").alias("item_id"))
+    b = place(firsts, F.col("term_id").asc(), F.col("item_id").asc(), out="row_index").withColumn("row_index", F.col("row_index") - 1).withColumn("batch", F.floor(F.col("row_index") / 64))
     return negatives.known_positive_mask(b, b, p)

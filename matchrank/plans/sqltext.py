@@ -8,7 +8,7 @@ _stop = ", ".join(f"'{s}'" for s in text.STOPWORDS)
 
 
 def fold(x: str) -> str:
-    return f"lower(replace(translate(coalesce({x}, ''), '{text.FOLD_FROM}', '{text.FOLD_TO}'), 'ß', 'ss'))"
+    return f"lower(replace(strip_accents(translate(coalesce({x}, ''), '{text.FOLD_FROM}', '{text.FOLD_TO}')), 'ß', 'ss'))"
 
 
 def normalize(x: str) -> str:

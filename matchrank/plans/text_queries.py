@@ -101,13 +101,11 @@ def lexical_score(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "term_id", "item_id", F.round("score", 6).alias("lexical_score_noratio"))
 
 
-@register(f"""{_pairs}, s AS (SELECT id, round({_score_sql}, 6) AS score, hash_order FROM (SELECT *, ('0x' || left(md5(id), 13))::BIGINT AS hash_order FROM f)),
-n AS (SELECT CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS n FROM s)
-SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, hash_order) <= (SELECT n FROM n) AS INTEGER) AS prediction FROM s""")
+@register(f"""{_pairs}, s AS (SELECT id, round({_score_sql}, 6) AS score FROM f), n AS (SELECT CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS n FROM s)
+SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) <= (SELECT n FROM n) AS INTEGER) AS prediction FROM s""")
 def lexical_rate_decision(spark: SparkSession, sf: str) -> DataFrame:
     out = features.score_pairs(candidate_pairs(spark, sf), terms(spark, sf), items(spark, sf), ratios=False)
-    tie = F.conv(F.left(F.md5("id"), F.lit(13)), 16, 10).cast("long")
-    return decisions.rate(out.select("id", F.round("score", 6).alias("score"), tie.alias("tie")), 0.2, tie="tie").select("id", "score", "prediction")
+    return decisions.rate(out.select("id", F.round("score", 6).alias("score")), 0.2).select("id", "score", "prediction")
 
 
 @register()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchrank.functions.text import clean_text, display_text
-from matchrank.sources.contracts import ContractError, require_columns, require_complete, require_unique
+from matchrank.operators.ranking import place
+from matchrank.sources.contracts import ContractError, require_columns, require_complete, require_rows, require_unique
 
 ITEMS = T.StructType([T.StructField(c, T.StringType()) for c in ("item_id", "title", "category", "brand", "gender", "age_group", "attributes")])
 TERMS = T.StructType([T.StructField(c, T.StringType()) for c in ("term_id", "query")])
@@ -54,6 +57,45 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """A row-limited scan: the first ``n`` rows in an explicit order, as files have none."""
+    return df.orderBy(*order).limit(n)
+
+
+def first_seen(df: DataFrame, key: str, at: str, n: int) -> DataFrame:
+    """The first ``n`` values of ``key`` by where they first appear."""
+    return df.groupBy(key).agg(F.min(at).alias("first_at")).orderBy("first_at", key).limit(n)
+
+
+def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Columns that are missing are added with their default; nulls and unreadable numbers become it."""
+    return df.withColumns({c: F.coalesce(F.col(c).try_cast("double") if isinstance(v, float) else F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
+
+
+def zip_by_position(a: DataFrame, b: DataFrame, a_order: str, b_order: str, columns: list[str]) -> DataFrame:
+    """``a`` with columns of ``b`` at equal positions in the two orders; unequal lengths are an error.
+
+    The orders are explicit, as tables have no row numbers; a join on an id is better where there is one.
+    """
+    left, right = place(a, F.col(a_order).asc(), out="_p"), place(b.select(b_order, *columns), F.col(b_order).asc(), out="_p").drop(b_order)
+    if (n := left.count()) != (m := right.count()):
+        raise ContractError(f"{n} rows against {m}")
+    return left.join(right, "_p").drop("_p")
+
+
+def enrich_audit(rows: DataFrame, terms: DataFrame, items: DataFrame, band: str, bucket: str, score: str) -> DataFrame:
+    """Sampled rows with query and item fields, left where unknown, by band, bucket, then best score."""
+    found = rows.join(terms.select("term_id", "query"), "term_id", "left").join(items, "item_id", "left")
+    return found.orderBy(F.col(band).asc(), F.col(bucket).asc(), F.col(score).desc(), "term_id", "item_id")
+
+
+def file_audit(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """``table_name, file_name, rows, megabytes`` of Parquet tables; sizes come with the scan."""
+    parts = [spark.read.parquet(p).select(F.lit(t).alias("table_name"), "_metadata.file_name", "_metadata.file_size") for t, p in paths.items()]
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    return every.groupBy("table_name", "file_name").agg(F.count(F.lit(1)).alias("rows"), (F.first("file_size") / 1e6).alias("megabytes"))
+
+
 def in_order_of(df: DataFrame, ids: DataFrame, key: str, order: str) -> DataFrame:
     """The table's rows in the given order of ids; an id without a row is an error."""
     out = ids.select(key, order).join(df, key, "left")
@@ -108,3 +150,13 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def json_document(df: DataFrame) -> DataFrame:
     """A table's rows as JSON texts."""
     return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
+def write_json_document(df: DataFrame, path: str) -> None:
+    """A one-row table as one JSON text in one file."""
+    require_rows(df, 1)
+    json_document(df).coalesce(1).write.text(path, mode="overwrite")
+
+
+def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("x")).select("x.*")
