@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchrank.llm import boosting
-from matchrank.llm.arrow import STEP, text_rows
+from matchrank.llm.arrow import slices, text_rows
 
 SYMBOLS = b"#*$%&|<>"
 _UPPER, _DIGIT, _MARKS = bytes(range(65, 91)), bytes(range(48, 58)), b"!?.,;:'\"()[]{}"
@@ -92,9 +92,10 @@ def _features(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [measure(t) for t in batch.column(1).to_pylist()]
-            failed = base_failed(np.array([c for c, _ in both]).reshape(-1, 5))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(failed), pa.array([f for _, f in both], pa.list_(pa.float64()))], schema=schema)
+            for part in slices(batch):
+                both = [measure(t) for t in part.column(1).to_pylist()]
+                failed = base_failed(np.array([c for c, _ in both]).reshape(-1, 5))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(failed), pa.array([f for _, f in both], pa.list_(pa.float64()))], schema=schema)
 
     return rows.mapInArrow(run, "doc_id long, failed boolean, feats array<double>")
 
@@ -136,8 +137,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
+            for part in slices(batch):
                 both = [measure(t) for t in part.column(1).to_pylist()]
                 counts = np.array([c for c, _ in both], np.int64)
                 failed = base_failed(counts)
@@ -154,8 +154,7 @@ def keep_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
+            for part in slices(batch, where):
                 both = [measure(t or "") for t in part.column(where).to_pylist()]
                 good = model.verdict(np.array([f for _, f in both]))[1] & ~base_failed(np.array([c for c, _ in both], np.int64))
                 yield part.filter(pa.array(good))
