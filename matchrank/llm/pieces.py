@@ -2,10 +2,10 @@
 
 The library escapes each space as the mark U+2581 and puts one in front of the text. If no piece
 holds a mark behind another character, no merge crosses the boundary before a mark, so a text is
-the concatenation of chunks ``marks + rest`` that segment independently. Each worker segments each
-distinct chunk once, keeps its ids in a bounded table and joins them back by position. The table
-belongs to the worker: a table of all chunks of a corpus has no size bound to broadcast, and joining
-occurrences to it would shuffle every position of every text.
+the concatenation of chunks ``marks + rest`` that segment independently. For each run of documents
+(a few megabytes of text) the distinct chunks form a table; the table is segmented once, in one
+call, and its ids are joined back to the chunks' positions. A table over a whole corpus has no size
+bound to broadcast, and joining every occurrence to it would shuffle all texts.
 """
 
 from __future__ import annotations
@@ -13,24 +13,25 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from matchrank.llm.arrow import per_document, text_rows
 
 MARK = "▁"
+#: Documents per table at most; their texts are also bounded in bytes (``arrow.slices``).
+RUN_ROWS = 4096
 
 
 class PieceCodec:
     """Encode to ids and decode, exactly as the library does without sampling or added ids."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         import sentencepiece
 
         self._lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        self._most = most
         pieces = [self._lib.id_to_piece(i) for i in range(self._lib.get_piece_size())]
         # the table is exact only if pieces respect marks and the library changes nothing else
         probe = "a  bÄﬁİ\t\n c "
@@ -40,31 +41,26 @@ class PieceCodec:
             and self._lib.encode("a", out_type=str)[0].startswith(MARK)
         )
         self._find = re.compile(f"{MARK}+[^{MARK}]*").findall
-        self._table: dict[str, tuple[tuple[int, ...], str]] = {}
         self._mark_id = self._lib.piece_to_id(MARK)
 
-    def _segment(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        ids = (self._mark_id,) if chunk == MARK else tuple(self._lib.encode(chunk[1:].replace(MARK, " ")))
-        made = (ids, ",".join(map(str, ids)))
-        if len(chunk) <= 128:
-            self._table[chunk] = made
-        return made
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids, and the same in decimal joined by commas."""
-        if not text:
-            return [], ""
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of chunks; a lone mark is a piece, which the library would drop as an empty text."""
+        found = self._lib.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
+        return [[self._mark_id] if c == MARK else x for c, x in zip(chunks, found, strict=True)]
+
+    def encode_run(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """Of each text its ids, and the same in decimal joined by commas."""
         if not self._split:
-            ids = self._lib.encode(text)
-            return ids, ",".join(map(str, ids))
-        table = self._table
-        if len(table) > self._most:
-            table.clear()
-        parts = [table.get(c) or self._segment(c) for c in self._find(MARK + text.replace(" ", MARK))]
-        return list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
+            return [(np.array(x, np.int32), ",".join(map(str, x))) for x in self._lib.encode(texts, num_threads=1)]
+        distinct: dict[str, int] = {}
+        places = [np.fromiter((distinct.setdefault(c, len(distinct)) for c in self._find(MARK + t.replace(" ", MARK))) if t else (), np.int64) for t in texts]
+        table = self.segment(list(distinct))
+        decimal = [",".join(map(str, x)) for x in table]
+        ids = pa.array(table, pa.list_(pa.int32()))
+        return [(ids.take(pa.array(at)).flatten().to_numpy(), ",".join([decimal[k] for k in at.tolist()])) for at in places]
 
-    def decode(self, ids: list[int]) -> str:
-        return self._lib.decode(ids) if ids else ""
+    def decode(self, ids: np.ndarray) -> str:
+        return self._lib.decode(ids.tolist()) if len(ids) else ""
 
 
 @lru_cache(maxsize=2)
@@ -91,11 +87,15 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
         def work(ids: list, texts: list[str]) -> dict:
-            coded = [c.encode(t) for t in texts]
-            back = [c.decode(x) for x, _ in coded]
-            out = {"doc_id": ids, "n_tokens": [len(x) for x, _ in coded], "ids_sha256": [sha(s) for _, s in coded], "decoded_sha256": [sha(t) for t in back]}
-            return out | ({"ids": [x for x, _ in coded], "decoded": back} if with_ids else {})
+            out: dict[str, list] = {name: [] for name, _ in schema}
+            out["doc_id"] = ids
+            for coded, decimal in c.encode_run(texts):
+                back = c.decode(coded)
+                row = {"n_tokens": len(coded), "ids_sha256": sha(decimal), "decoded_sha256": sha(back)}
+                for name, value in (row | ({"ids": coded, "decoded": back} if with_ids else {})).items():
+                    out[name].append(value)
+            return out
 
         return work
 
-    return per_document(text_rows(docs, id_col, text_col), make, pa.schema(schema), kind)
+    return per_document(text_rows(docs, id_col, text_col), make, pa.schema(schema), kind, rows=RUN_ROWS)
