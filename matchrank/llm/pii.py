@@ -1,5 +1,10 @@
 """Personal data: regular expressions propose spans, checksums confirm, nearby words adjust the score.
 
+A score starts at its kind's prior, rises where one of the kind's own words stands within 40
+characters before or after the span, and falls where a word does that speaks against it. Spans of the
+base kinds always stay; spans of the other kinds stay if their score reaches a threshold, which some
+of them can only with their context.
+
 Native throughout: each row is handled by itself with SQL functions, so nothing is shuffled.
 ``split`` and ``regexp_extract_all`` run the same Java matcher, so the pieces between matches and
 the matches alternate; running lengths of both give each match's place in code points. Patterns
@@ -13,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchrank.llm.native import let
+
 #: Elements per block of the two-level running sum; a work size, not a limit.
 _BLOCK = 256
 
@@ -27,6 +34,7 @@ class Kind:
     valid: object
     prior: float
     context: str
+    against: str = "(?!)"
 
 
 def _digits(m: Column) -> Column:
@@ -69,6 +77,15 @@ IBAN_LENGTHS = {
 }
 
 
+def _ssn(m: Column) -> Column:
+    """US social security number: no area 000, 666 or above 899, no group 00, no serial 0000."""
+    return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
+
+
+def _imei(m: Column) -> Column:
+    return F.call_function("luhn_check", _digits(m))
+
+
 def _iban_pattern() -> str:
     """A known country's match ends at its length; another's runs on, though not into a next IBAN."""
     known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
@@ -79,20 +96,20 @@ def _iban_pattern() -> str:
 
 #: Order is the order of report. The first four are the base kinds; a failing match isn't retried.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.9, "mail|contact|write|kontakt|correo|courriel"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", _ip, 0.6, "ip|host|server|address|adresse|login"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", _card, 0.8, "card|visa|master|credit|karte|tarjeta|carte|payment"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", _phone, 0.6, "phone|tel|call|mobile|fax|anruf|llam"),
-    Kind("iban", _iban_pattern(), "", _iban, 0.8, "iban|bank|account|konto|cuenta|compte"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.9, "mail|contact|write|kontakt|correo|courriel", "example|noreply|no-reply"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", _ip, 0.6, "ip|host|server|address|adresse|login", "version|release|section|v[0-9]"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", _card, 0.8, "card|visa|master|credit|karte|tarjeta|carte|payment", "isbn|order|serial|part"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", _phone, 0.6, "phone|tel|call|mobile|fax|anruf|llam", "score|sum|plus"),
+    Kind("iban", _iban_pattern(), "", _iban, 0.8, "iban|bank|account|konto|cuenta|compte", "hash|serial|licen[cs]e key"),
+    Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-", _ssn, 0.4, "ssn|social security|taxpayer|tax id", "phone|tel|fax|part|order|isbn"),
+    Kind("imei", r"(?<![0-9A-Za-z-])[0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{6}[ -]?[0-9](?![0-9A-Za-z-])", "", _imei, 0.3, "imei|handset|device|phone|telefon|móvil", "card|order|isbn|invoice"),
 )
+RAISED, LOWERED, NEAR = 0.2, 0.2, 40
+#: The score from which spans of kinds beyond the base ones stay.
+LEAST_SCORE = 0.5
 BASE = ("email", "ip", "card", "phone")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once; interpreted lambdas evaluate what isn't bound anew."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running_sum(lengths: Column) -> Column:
     """Inclusive prefix sums of an array in two levels, so that long arrays don't cost n squared."""
     grow = lambda items: F.aggregate(items, F.array(F.lit(0).cast("int")), lambda a, x: F.concat(a, F.array((F.element_at(a, -1) + x).cast("int"))))
@@ -128,28 +145,33 @@ def _spans(text: Column, kind: Kind) -> Column:
     if kind.hint:
         look = F.contains(text, F.lit(kind.hint))
     look = look & text.rlike(kind.pattern)
-    score = lambda before: F.lit(kind.prior) + F.when(F.lower(F.right(before, F.lit(40))).rlike(kind.context), F.lit(0.1)).otherwise(F.lit(0.0))
-    span = lambda m, end, before: F.struct(F.lit(kind.name).alias("kind"), (end - F.length(m)).alias("s"), end.alias("e"), score(before).alias("score"))
+    near = lambda before, after: F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit("\n"), F.left(after, F.lit(NEAR))))
+    points = lambda words: kind.prior + F.when(words.rlike(kind.context), RAISED).otherwise(0.0) - F.when(words.rlike(kind.against), LOWERED).otherwise(0.0)
+    score = lambda before, after: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), let(near(before, after), points))), 2)
+    span = lambda m, end, i, pieces: F.struct(F.lit(kind.name).alias("kind"), (end - F.length(m)).alias("s"), end.alias("e"), score(F.get(pieces, i), F.get(pieces, i + 1)).alias("score"))
     each = lambda matches, ends, pieces: F.filter(
-        F.transform(matches, lambda m, i: F.when(kind.valid(m), span(m, F.get(ends, i), F.get(pieces, i)))),
+        F.transform(matches, lambda m, i: F.when(kind.valid(m), span(m, F.get(ends, i), i, pieces))),
         lambda y: y.isNotNull(),
     )
     return F.when(look, proposals(text, kind.pattern, each)).otherwise(none)
 
 
-def find_spans(docs: DataFrame, text_col: str = "text", out: str = "pii_spans", min_score: float = 0.0) -> DataFrame:
+def span_array(text: Column, least: float = LEAST_SCORE) -> Column:
+    """``array<struct<kind,s,e,score>>`` of a text, without the spans of added kinds below ``least``."""
+    spans = F.concat(*[_spans(text, k) for k in KINDS])
+    return F.filter(spans, lambda x: x["kind"].isin(*BASE) | (x["score"] >= least)) if least > 0 else spans
+
+
+def find_spans(docs: DataFrame, text_col: str = "text", out: str = "pii_spans", least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` with ``out``: ``array<struct<kind,s,e,score>>`` in code points, end exclusive.
 
     Ordered by kind as in ``KINDS``, then by start. Null text counts as empty and has no spans; an
-    existing column called ``out`` is replaced. Spans of different kinds may overlap. A span's
-    score is its kind's prior, raised where one of the kind's context words stands among the last 40
-    characters between the previous match and it; ``min_score`` drops spans below it, by default none.
+    existing column called ``out`` is replaced. Spans of different kinds may overlap. Words near a span
+    change its score (between the previous match and the next one); spans of added kinds below
+    ``least`` are left out, base kinds stay. Rows are independent: repeated or null ids and any other
+    columns stay as they are, an empty table stays empty.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    spans = F.concat(*[_spans(text, k) for k in KINDS])
-    if min_score > 0:
-        spans = F.filter(spans, lambda x: x["score"] >= min_score)
-    return docs.withColumn(out, spans)
+    return docs.withColumn(out, span_array(F.coalesce(F.col(text_col).cast("string"), F.lit("")), least))
 
 
 def listed(spans: Column) -> Column:
@@ -157,17 +179,37 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+_CUT = 1024
+
+
+def _between(blocks: Column, s: Column, e: Column) -> Column:
+    """Characters s to e of a text that is cut in blocks; only the blocks in between are read."""
+    first, last = F.floor(s / _CUT).cast("int"), F.floor(e / _CUT).cast("int")
+    at = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    inner = F.when(last - first > 1, F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")).otherwise("")
+    apart = F.concat(F.substring(at(first), s % _CUT + 1, F.lit(_CUT)), inner, F.substring(at(last), F.lit(1), e % _CUT))
+    return F.when(e <= s, "").when(first == last, F.substring(at(first), s % _CUT + 1, e - s)).otherwise(apart)
+
+
+def redact(docs: DataFrame, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` with each span of the text replaced by its kind in brackets; rows and columns stay.
 
-    Overlapping spans become one replacement named after the first. A null text stays null.
+    Overlapping spans become one replacement named after the first. A null text stays null, a text
+    without spans as it was. Rows are independent, whatever their ids; columns may have any names; an
+    empty table stays empty. The text is cut in blocks once, so that many spans of a long text don't
+    each count its characters from the start.
     """
-    spans = F.sort_array(F.transform(F.col("_pii"), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    name = next(n for n in (f"_pii{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
     text = F.col(text_col)
-    step = lambda a, x: F.struct(
-        F.when(x["s"] >= a["at"], F.concat(a["out"], F.array(F.concat(F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))))).otherwise(a["out"]).alias("out"),
-        F.greatest(a["at"], -x["e"]).alias("at"),
-    )
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return find_spans(docs, text_col, "_pii", min_score).withColumn(text_col, F.when(F.size("_pii") > 0, whole).otherwise(text)).select(*docs.columns)
+    order = lambda spans: F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["kind"].alias("kind"))))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+
+    def rewritten(blocks: Column) -> Column:
+        step = lambda a, x: F.struct(
+            F.when(x["s"] >= a["at"], F.concat(a["out"], F.array(F.concat(_between(blocks, a["at"], x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))))).otherwise(a["out"]).alias("out"),
+            F.greatest(a["at"], -x["e"]).alias("at"),
+        )
+        return F.aggregate(order(F.col(name)), start, step, lambda a: F.concat(F.array_join(a["out"], ""), _between(blocks, a["at"], F.length(text))))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+    return find_spans(docs, text_col, name, least).withColumn(text_col, F.when(F.size(name) > 0, let(blocks, rewritten)).otherwise(text)).select(*docs.columns)

@@ -91,6 +91,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in pii.BASE],
         F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(F.col("pii_spans")).alias("spans"),
+        F.array_join(F.transform("pii_spans", lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
 
 

@@ -1,11 +1,13 @@
 import hashlib
 import io
+import itertools
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from matchrank.llm import bytebpe, packing, pieces, token_files
 
@@ -88,7 +90,7 @@ def test_frames_are_independent_and_checked():
 def test_packing_places_every_id_once(docs, empty):
     lib = _library()
     want = {i: [*lib.encode(t, add_special_tokens=False).ids, 0] for i, t in _texts(docs).items()}
-    rows = packing.pack(docs, BPE, length=64, docs_per_part=4, with_ids=True).collect()
+    rows = packing.pack(docs, BPE, length=64, with_ids=True, smallest=2000, largest=2000).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -111,15 +113,27 @@ def test_packing_places_every_id_once(docs, empty):
     assert packing.pack(empty, BPE).count() == 0
 
 
-def test_hilbert_keys_visit_neighbouring_cells():
-    bits = 3
-    axis = np.linspace(-1, 1, 1 << bits)
-    # points of the grid itself, not directions: undo the normalization by one extra check per key
-    keys = {}
-    for x in axis:
-        for y in axis:
-            if x or y:
-                keys.setdefault(int(packing.hilbert_keys(np.array([[x, y]]), bits)[0]), []).append((x, y))
-    assert max(keys) < 1 << (2 * bits)
+@pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
+def test_hilbert_index_steps_to_neighbouring_cells(dims, bits):
+    cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+    key = packing.hilbert_index(cells, bits)
+    assert sorted(key.tolist()) == list(range(len(cells)))
+    steps = np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1)
+    assert (steps == 1).all()
+
+
+def test_hilbert_keys_follow_directions():
     same = packing.hilbert_keys(np.array([[1.0, 2, 3, 4], [2.0, 4, 6, 8], [0, 0, 0, 0]]))
     assert same[0] == same[1]
+
+
+def test_stretches_hold_equal_bytes_and_deal_hot_cells(spark):
+    """A third of the rows are one text: its cell is dealt over several stretches, order stays inside."""
+    rows = [(k, "same text again " * 20 if k % 3 == 0 else f"text {k} of its own " * (1 + k % 40)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = packing.stretches(df, smallest=40_000, largest=40_000)
+    held = packing.with_keys(df, cut=cut).groupBy("stretch").agg(F.sum(F.length("text") + 64).alias("n")).collect()
+    assert max(r.stretch for r in held) < cut.count and (cut.several > 1).any()
+    assert max(r.n for r in held) < 3 * 40_000
+    pieces = packing.pack(df, BPE, smallest=40_000, largest=40_000).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert len(pieces) == 3000 and all(r.n == r.all for r in pieces)
