@@ -90,14 +90,14 @@ def scanner() -> Scanner:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_assign, n_access, n_hex, n_checked, base_sha256, spans``.
+    """Per row: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_checked``.
 
     ``base_sha256`` digests the spans of the first three kinds, ``spans`` lists all. Null and empty
     texts have no spans. Rows are independent: repeated ids give repeated rows, an empty table gives
     none, other columns are ignored.
     """
-    names = [f"n_{k}" for k in ORDER]
-    schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in names], ("base_sha256", pa.string()), ("spans", pa.string())])
+    names = [f"n_{k}" for k in BASE]
+    schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.int64()) for n in names], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_checked", pa.int64())])
     listed = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
     def make():
@@ -115,4 +115,4 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    return per_document(text_rows(docs, id_col, text_col), make, schema, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string")
+    return per_document(text_rows(docs, id_col, text_col), make, schema, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_sha256 string, spans string, n_checked long")
