@@ -57,24 +57,25 @@ def evaluate(captures: DataFrame, valid: DataFrame, id_col: str = "page_id", url
 
     ``rule`` is the longest rule in force at fetch time (ties: the smallest), ``categories`` all
     categories in force, sorted and comma-joined. Path rules reach as deep as the list has them. Captures
-    without a host or a time match nothing; rows that repeat an id are merged by id, time and URL;
-    an empty list blocks nothing. Other columns are ignored, whatever their names.
+    without a host or a time match nothing; equal captures are looked up once and each row gets the
+    answer, also where ids repeat or are null; an empty list blocks nothing, an empty table gives no
+    rows. Other columns are ignored, whatever their names.
     """
     day = lambda c: F.floor(F.unix_timestamp(c.cast("timestamp")) / (86_400 * bucket_days))
-    seen = captures.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(time_col).cast("timestamp").alias("_at")).distinct()
+    rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(time_col).cast("timestamp").alias("_at"))
+    seen = rows.select("_url", "_at").distinct()
     deepest = valid.agg(F.coalesce(F.max(F.size(F.split("rule", "/")) - 1), F.lit(0)).alias("deepest"))
-    asked = seen.crossJoin(F.broadcast(deepest)).select("_id", "_url", "_at", day(F.col("_at")).alias("bucket"), F.explode(rule_keys(F.col("_url"), F.col("deepest"))).alias("rule"))
+    asked = seen.crossJoin(F.broadcast(deepest)).select("_url", "_at", day(F.col("_at")).alias("bucket"), F.explode(rule_keys(F.col("_url"), F.col("deepest"))).alias("rule"))
+    # most keys of a capture are on no list: they go before anything is shuffled by time, if Spark can broadcast the rules
+    asked = asked.join(valid.select("rule").distinct(), "rule", "left_semi")
     horizon = captures.agg(F.max(F.col(time_col).cast("timestamp")).alias("last"))
     span = valid.join(F.broadcast(horizon), F.col("valid_from") <= F.col("last")).select(
         "rule", "category", "valid_from", "valid_to", F.explode(F.sequence(day(F.col("valid_from")), day(F.least("valid_to", "last")))).alias("bucket")
     )
     hits = asked.join(span, ["rule", "bucket"]).where("_at >= valid_from AND _at < valid_to")
-    best = hits.groupBy("_id", "_url", "_at").agg(
-        F.min(F.struct((-F.length("rule")).alias("n"), "rule")).alias("best"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")
-    )
-    s, b = seen.alias("s"), best.alias("b")
-    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_id", "_url", "_at")]
-    return s.join(b, same[0] & same[1] & same[2], "left").select(
+    best = hits.groupBy("_url", "_at").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule")).alias("best"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    s, b = rows.alias("s"), best.alias("b")
+    return s.join(b, (F.col("s._url") == F.col("b._url")) & (F.col("s._at") == F.col("b._at")), "left").select(
         F.col("s._id").alias(id_col),
         F.col("s._at").alias("fetched_at"),
         F.col("b.best").isNotNull().alias("blocked"),
