@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchrank.llm import bytebpe
-from matchrank.llm.arrow import text_rows
-from matchrank.llm.storage import fresh_dir, materialize
+from matchrank.llm.arrow import slices, text_rows
+from matchrank.llm.storage import fresh_dir, materialize, small_batches
 
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
@@ -159,8 +159,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_
         name = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
         writer = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch):
                 for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                     if writer is None:
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
@@ -171,7 +170,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((f"{folder}/{name}", part, n, ids), schema, strict=True)], schema=schema)
 
-    manifest = materialize(ordered.mapInArrow(run, "file string, file_no long, n_docs long, n_ids long"), "token-manifest")
+    with small_batches(spark):
+        manifest = materialize(ordered.mapInArrow(run, "file string, file_no long, n_docs long, n_ids long"), "token-manifest")
     # one row per file: 8,192 documents or more become one row here
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first_start", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))).repartition(files)
