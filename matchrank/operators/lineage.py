@@ -4,17 +4,31 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the folder that ``spark.checkpoint.dir`` names. In local mode
-    a temporary folder stands in where none is named; on a cluster, which wouldn't share it, that is an error."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. In local mode a temporary folder stands in where
+    none is named; on a cluster, which wouldn't share it, that is an error."""
+    context = spark.sparkContext
+    found = context.getCheckpointDir()
+    if found is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="matchrank-"))
+        found = context.getCheckpointDir()
+    return found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -155,7 +155,7 @@ def json_document(df: DataFrame) -> DataFrame:
 def write_json_document(df: DataFrame, path: str) -> None:
     """A one-row table as one JSON text in one file."""
     require_rows(df, 1)
-    json_document(df).coalesce(1).write.text(path, mode="overwrite")
+    json_document(df).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:

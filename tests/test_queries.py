@@ -5,11 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from matchrank.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"rank_band_negatives", "hybrid_slate"}
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,87 @@ def test_entry_and_oracles_agree():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+def test_fuzzy_query_equals_plain_python(spark):
+    """The three ratios of the registered query against textbook definitions."""
+
+    def indel(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], prev if x == y else min(row[j], row[j - 1]) + 1
+        total = len(a) + len(b)
+        return 100.0 * (total - row[-1]) / total if total else 100.0
+
+    def partial(a, b):
+        a, b = sorted((a, b), key=len)
+        if not a:
+            return 0.0 if b else 100.0
+        return max(indel(a, b[max(0, k) : k + len(a)]) for k in range(1 - len(a), len(b)))
+
+    def token_set(a, b):
+        x, y = set(a.split()), set(b.split())
+        if not x or not y:
+            return 0.0
+        both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+        if both and (not left or not right):
+            return 100.0
+        one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
+        return max(indel(one, two), indel(both, one) if both else 0, indel(both, two) if both else 0)
+
+    from matchrank.functions.text import normalize_text
+    from matchrank.plans.adapters import candidate_pairs, items, terms
+
+    t = dict(terms(spark, SF).select("term_id", normalize_text(F.col("query"))).collect())
+    i = dict(items(spark, SF).select("item_id", normalize_text(F.col("title"))).collect())
+    pairs = {r.id: (t[r.term_id], i[r.item_id]) for r in candidate_pairs(spark, SF).collect()}
+    got = catalog.QUERIES["fuzzy_ratios"](spark, SF).collect()
+    assert len(got) == len(pairs)
+    known = {}
+    for r in got:
+        p = pairs[r.id]
+        if p not in known:
+            known[p] = (indel(*p), partial(*p), token_set(*p))
+        assert (r.ratio, r.partial_ratio, r.token_set_ratio) == pytest.approx(known[p])
+
+
+def test_entity_cosine_equals_plain_python(spark):
+    """Each pair's cosine, directly and through the artifact."""
+    import zlib
+
+    import numpy as np
+
+    from matchrank.plans.adapters import items, terms
+    from matchrank.sources import tables
+
+    def vector(text):
+        v = np.zeros(64)
+        for k in range(len(text) - 2):
+            c = zlib.crc32(text[k : k + 3].encode())
+            v[c % 64] += 1 if c >> 31 else -1
+        n = np.linalg.norm(v)
+        return v / n if n else v
+
+    t = {r.term_id: vector(r.query) for r in terms(spark, SF).collect()}
+    i = {r.entity_id: vector(r.text) for r in tables.entity_texts(items(spark, SF), "item_id").collect()}
+    rows = catalog.QUERIES["entity_cosine"](spark, SF).collect()
+    assert len(rows) == 200
+    for r in rows:
+        assert r.cosine == r.from_artifact == pytest.approx(float(t[r.term_id] @ i[r.item_id]))
+
+
+def test_models_separate_their_labels(spark):
+    """Scores of held-out folds carry what was learned; the copied label is the only important feature."""
+    rows = catalog.QUERIES["oof_with_prior"](spark, SF).toPandas()
+    assert rows.id.is_unique and set(rows.fold) == {0, 1} and rows.prob.between(0, 1).all()
+    assert rows[rows.label == 1].prob.mean() > rows[rows.label == 0].prob.mean() + 0.2
+    best = catalog.QUERIES["feature_importance"](spark, SF).orderBy(F.col("importance").desc()).first()
+    assert best.feature == "same" and best.importance > 0.9
+
+
+def test_file_audit_sees_every_file(spark):
+    rows = catalog.QUERIES["file_audit"](spark, SF).collect()
+    assert {r.table_name for r in rows} == {os.path.basename(f)[:-8] for f in glob.glob(f"{SF}/*.parquet")}
+    assert all(r.megabytes > 0 and r.rows > 0 for r in rows)
