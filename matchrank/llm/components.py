@@ -22,13 +22,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, spent: list[str] | None = None) -> DataFrame:
     """``node, component`` for every node of ``edges(a, b)`` (longs): the least node it reaches.
 
     Each round is written to the shared folder, so lineage stays one round long; rounds end when the
     edge table no longer changes, usually after the logarithm of a component's diameter. Loops and
     repeated edges are harmless; no edges give no rows. ``most_rounds`` only guards against a defect:
-    reaching it raises an error.
+    reaching it raises an error. ``spent`` receives the path of the table that the result reads.
     """
     now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mark = None
@@ -44,5 +44,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = after
     else:
         raise RuntimeError("components did not settle")
+    if spent is not None:
+        spent.append(path_of(now))
     roots = now.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

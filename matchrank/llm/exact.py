@@ -26,7 +26,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per different text: ``content_hash, sha, keep_id, group_size``.
 
     ``keep`` is ``"min"`` or ``"max"``: the id that stays. Null texts count as empty. Two texts that
-    share the md5 make two groups; two that also share the sha-256 raise an error downstream.
+    share the md5 make two groups. Two texts that shared both digests would still be two groups here,
+    but ``mark_duplicates``, which joins on the digests, would answer their rows twice; none are known.
     """
     whole, h, sha = _keyed(docs, text_col)
     pick = {"min": F.min, "max": F.max}[keep]

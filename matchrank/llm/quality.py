@@ -88,16 +88,18 @@ class Model:
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("failed", pa.bool_()), ("feats", pa.list_(pa.float64()))])
+    """``doc_id, label, feats`` of ``doc_id, text, label`` without what the base rules fail."""
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("feats", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 both = [measure(t) for t in part.column(1).to_pylist()]
-                failed = base_failed(np.array([c for c, _ in both]).reshape(-1, 5))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(failed), pa.array([f for _, f in both], pa.list_(pa.float64()))], schema=schema)
+                good = pa.array(~base_failed(np.array([c for c, _ in both]).reshape(-1, 5)))
+                whole = pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([f for _, f in both], pa.list_(pa.float64()))], schema=schema)
+                yield whole.filter(good)
 
-    return rows.mapInArrow(run, "doc_id long, failed boolean, feats array<double>")
+    return rows.mapInArrow(run, "doc_id long, label int, feats array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 20_000, keep_good: float = 0.998, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -115,9 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    rows = text_rows(docs, id_col, text_col).join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
-    table = _features(rows.select("doc_id", "text")).join(F.broadcast(some), "doc_id").where("NOT failed").select("doc_id", "feats", "label").toPandas()
-    table = table.sort_values("doc_id", kind="stable")
+    rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
+    table = _features(rows).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(table["feats"].tolist(), float).reshape(-1, len(FEATURES))
     y = (table["label"].to_numpy() > 0).astype(float)
     held = np.arange(len(y)) % 4 == 0
@@ -149,7 +150,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows that pass, with all their columns; one pass, nothing is shuffled."""
+    """The rows that pass, with all their columns; one pass, nothing is shuffled.
+
+    Null and empty texts have no words and go. Rows are judged each by itself, so repeated rows stay or go
+    together, null ids don't matter and ties don't arise; texts of any length are measured whole. An
+    empty table stays empty; columns may have any names and nulls.
+    """
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

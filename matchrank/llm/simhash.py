@@ -58,7 +58,11 @@ def fingerprint(text: str, words: int, digest: Callable[[bytes, int], int]) -> i
 
 
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the SimHash as a signed long. Null text counts as empty; no words give 0."""
+    """``doc_id, fp``: the SimHash as a signed long, a row per row.
+
+    Null and empty texts and texts without words give 0; texts of any length are hashed whole, in steps. Rows
+    that repeat have equal prints, null ids stay null, an empty table stays empty, other columns are ignored.
+    """
 
     def make():
         from xxhash import xxh64_intdigest
@@ -158,20 +162,23 @@ def links(nodes: DataFrame, blocks: int = BLOCKS, spent: list[str] | None = None
     return _stars(held).unionByName(points).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text", spent: list[str] | None = None) -> DataFrame:
     """Per row ``doc_id, fingerprint, component_id``: linked at 4 or fewer differing bits.
 
     ``component_id`` is the least id reachable over links, itself included. Null text counts as
     empty; all texts without words share fingerprint zero. Rows that repeat an id keep their own
     rows. Null ids link nothing: their component is that of their fingerprint's other rows, or null.
-    An empty table gives no rows; other columns are ignored.
+    An empty table gives no rows; other columns are ignored. ``spent`` receives the paths of tables that
+    the result reads and nothing needs after it.
     """
+    later = [] if spent is None else spent
     prints = materialize(fingerprints(docs, words, id_col, text_col), "simhash-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "simhash-nodes")
-    spent: list[str] = []
-    found = components(links(nodes, spent=spent))
-    for path in spent:
+    done: list[str] = []
+    found = components(links(nodes, spent=done), spent=later)
+    for path in done:
         delete(docs.sparkSession, path)
+    later += [path_of(prints), path_of(nodes)]
     of = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -185,9 +192,11 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float | None = None, i
     that repeat an id all stay if any does. An empty table stays empty; columns may have any names. The
     ids that go are written first, so that a short list of them meets the texts without a shuffle of the texts.
     """
+    spent: list[str] = []
     if similarity is None:
-        of = near_duplicates(docs, words, id_col, text_col)
+        of = near_duplicates(docs, words, id_col, text_col, spent)
     else:
-        of = similar.classes(docs, words, similarity, id_col, text_col)
+        of = similar.classes(docs, words, similarity, id_col, text_col, spent)
     gone = of.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone")
-    return docs.join(materialize(gone.select(F.col("doc_id").alias(id_col)), "simhash-gone"), id_col, "left_anti").select(*docs.columns)
+    gone = materialize(gone.select(F.col("doc_id").alias(id_col)), "simhash-gone", drop=spent)
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
