@@ -6,6 +6,8 @@ comparison costs the length of one string in word-wide steps.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -65,6 +67,11 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(indel_ratio(one, two), *((indel_ratio(common, one), indel_ratio(common, two)) if common else (0.0,)))
 
 
+def sequence_ratio(a: str, b: str) -> float:
+    """The matching-blocks ratio, which stands in where no Indel ratio is wanted."""
+    return 100.0 * SequenceMatcher(None, a, b).ratio()
+
+
 def _udf(ratio):
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -74,4 +81,4 @@ def _udf(ratio):
     return run
 
 
-fuzz_ratio, fuzz_partial_ratio, fuzz_token_set_ratio = (_udf(f) for f in (indel_ratio, partial_ratio, token_set_ratio))
+fuzz_ratio, fuzz_partial_ratio, fuzz_token_set_ratio, fuzz_sequence_ratio = (_udf(f) for f in (indel_ratio, partial_ratio, token_set_ratio, sequence_ratio))

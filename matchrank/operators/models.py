@@ -59,13 +59,19 @@ def pair_head(q: Column, i: Column) -> dict[str, Column]:
     }
 
 
-def train_pair_head(rows: DataFrame, label: str = "label") -> PipelineModel:
-    """Logistic head over ``q, i`` array columns and the derived ones, balanced."""
+def train_pair_head(rows: DataFrame, label: str = "label", hidden: int | None = None, seed: int = 42) -> PipelineModel:
+    """A head over ``q, i`` array columns and the derived ones: balanced logistic or, with ``hidden``
+    units, a perceptron with one hidden layer (which takes no row weights)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import SQLTransformer
     from pyspark.ml.functions import array_to_vector
 
     wide = with_head(rows).withColumn("_x", array_to_vector("_a"))
-    model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1e-3, maxIter=30).fit(_balanced(wide, label))
+    if hidden:
+        width = wide.select(F.size("_a")).first()[0]
+        model = MultilayerPerceptronClassifier(featuresCol="_x", labelCol=label, layers=[width, hidden, 2], maxIter=60, seed=seed).fit(wide)
+    else:
+        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1e-3, maxIter=30).fit(_balanced(wide, label))
     return PipelineModel([SQLTransformer(statement="SELECT * FROM __THIS__"), model])
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,48 +26,48 @@ from matchrank.operators.ranking import top_k
 from matchrank.operators.walks import walk
 
 
-def term_counts(docs: DataFrame, key: str, features: Column) -> DataFrame:
-    """``key, feature, tf`` from an array column of features."""
-    return docs.select(key, F.explode(features).alias("feature")).groupBy(key, "feature").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(docs: DataFrame, key: str, features: Column, named: bool = False) -> DataFrame:
+    """``key, fid, tf`` from an array column of features, which stand for their XXH64; ``named`` adds ``feature``."""
+    each = docs.select(key, F.explode(features).alias("feature")).withColumn("fid", F.xxhash64("feature"))
+    name = [F.first("feature").alias("feature")] if named else []
+    return each.groupBy(key, "fid").agg(F.count(F.lit(1)).alias("tf"), *name)
 
 
 def vocabulary(counts: list[DataFrame], sizes: list[DataFrame], min_df: int = 2, max_features: int | None = None) -> DataFrame:
-    """``feature, idf`` over the union of corpora: at least ``min_df`` documents, and the
-    ``max_features`` most frequent features, ties by feature."""
-    every = counts[0].select("feature", "tf")
-    n = sizes[0].agg(F.count(F.lit(1)).alias("n"))
-    for c in counts[1:]:
-        every = every.unionByName(c.select("feature", "tf"))
-    for s in sizes[1:]:
-        n = n.unionByName(s.agg(F.count(F.lit(1)).alias("n")))
-    n = n.agg(F.sum("n").alias("n"))
-    kept = every.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    """``fid, idf`` over the union of corpora: at least ``min_df`` documents, and the ``max_features``
+    most frequent features, ties by feature (for which the counts must be named)."""
+    columns = ["fid", "tf"] if max_features is None else ["fid", "tf", "feature"]
+    every = reduce(lambda a, b: a.unionByName(b), [c.select(*columns) for c in counts])
+    n = reduce(lambda a, b: a.unionByName(b), [s.agg(F.count(F.lit(1)).alias("n")) for s in sizes]).agg(F.sum("n").alias("n"))
+    name = [F.first("feature").alias("feature")] if max_features is not None else []
+    kept = every.groupBy("fid").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"), *name).where(F.col("df") >= min_df)
     if max_features is not None:
         kept = kept.orderBy(F.col("total").desc(), "feature").limit(max_features)
-    return kept.crossJoin(F.broadcast(n)).select("feature", smooth_idf(F.col("n"), F.col("df")).alias("idf"))
+    return kept.crossJoin(F.broadcast(n)).select("fid", smooth_idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 @dataclass
 class Tfidf:
-    """A fitted space: ``vocab`` is ``feature, idf, fid``, a written table, so that any number of
-    transforms later use the same vocabulary and ids."""
+    """A fitted space: ``vocab`` is ``fid, idf``, a written table, which any number of transforms use later."""
 
     vocab: DataFrame
     features: Callable[[Column], Column]
 
     def transform(self, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         """``key, fid, w``: unit vectors of the documents' known features, long form."""
-        counts = term_counts(docs, key, self.features(F.col(text))).join(self.vocab, "feature")
-        w = counts.select(key, "fid", (sublinear_tf(F.col("tf")) * F.col("idf")).alias("w"))
-        norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norms, key).select(key, "fid", (F.col("w") / F.col("norm")).alias("w"))
+        return self.weights(term_counts(docs, key, self.features(F.col(text))), key)
+
+    def weights(self, counts: DataFrame, key: str) -> DataFrame:
+        """``transform`` of features that are counted already (``key, fid, tf``)."""
+        w = counts.join(self.vocab, "fid").select(key, "fid", (sublinear_tf(F.col("tf")) * F.col("idf")).alias("w"))
+        # a document's features meet here for their norm and stay together for what follows
+        return w.select(key, "fid", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("w"))
 
 
 def fit_tfidf(corpora: list[tuple[DataFrame, str]], features: Callable[[Column], Column], min_df: int = 2, max_features: int | None = None, text: str = "text") -> Tfidf:
     """The space of the union of ``(docs, key)`` corpora; ``features`` maps a text to its features."""
-    counts = [term_counts(d, key, features(F.col(text))) for d, key in corpora]
-    vocab = vocabulary(counts, [d for d, _ in corpora], min_df, max_features)
-    return Tfidf(cut(vocab.withColumn("fid", F.monotonically_increasing_id())), features)
+    counts = [term_counts(d, key, features(F.col(text)), max_features is not None) for d, key in corpora]
+    return Tfidf(cut(vocabulary(counts, [d for d, _ in corpora], min_df, max_features)), features)
 
 
 def pair_similarity(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -166,8 +167,13 @@ def _block_pairs(queries: DataFrame, items: DataFrame, q_block: int, i_block: in
 def tfidf_top_k(queries: DataFrame, items: DataFrame, features: Callable[[Column], Column], k: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
     """Best ``k`` items per query, score descending, then item id. Inputs have ``query_id``/``item_id``
     and ``text``; the vocabulary spans both."""
-    space = fit_tfidf([(queries, "query_id"), (items, "item_id")], features, min_df, max_features)
-    return sparse_top_k(space.transform(queries, "query_id"), space.transform(items, "item_id"), k)
+    sides = [(queries, "query_id"), (items, "item_id")]
+    qc, ic = (cut(term_counts(d, key, features(F.col("text")), max_features is not None)) for d, key in sides)
+    space = Tfidf(cut(vocabulary([qc, ic], [queries, items], min_df, max_features)), features)
+    q = cut(space.weights(qc, "query_id"))
+    # features that no query has change no product; norms were taken over all of them
+    asked = q.select("fid").distinct()
+    return sparse_top_k(q, space.weights(ic, "item_id").join(asked, "fid", "left_semi"), k)
 
 
 def pad_with_zero_scores(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:

@@ -580,6 +580,19 @@ def random_padded_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.pad_with_random(cut(retrieval.tfidf_top_k(t, i, rq._grams, 700)), t, i, 700)
 
 
+_padded = f"""{_base}, {rq.tfidf_sql('r', rq._term_text, _titles, rq._grams_sql, 300, 2)}, taken AS (SELECT query_id AS term_id, item_id FROM r), h AS (SELECT term_id, count(*) AS h FROM taken GROUP BY term_id), {rq.uniform_sql('u', 'taken', 300, 'pad')},
+lex AS (SELECT query_id, item_id, score, rank FROM r UNION ALL SELECT term_id, item_id, 0.0, CAST(h + pick AS INTEGER) FROM u JOIN h USING (term_id) WHERE h < 300 AND h + pick <= 300)"""
+
+
+@register(f"{_padded}, {_folds_sql}, {rq._slate_rows}")
+def padded_slate(spark: SparkSession, sf: str) -> DataFrame:
+    """L1 with its zero-score padding: every term has its 300 retrieved rows or the whole catalog."""
+    t, _ = rq._sides(spark, sf)
+    i, p = items(spark, sf).select("item_id", F.col("title").alias("text")), positives(spark, sf)
+    padded = retrieval.pad_with_random(cut(retrieval.tfidf_top_k(t, i, rq._grams, 300)), t, i, 300).withColumnRenamed("query_id", "term_id")
+    return slates.lexical_slate(cut(padded), p, splits.term_folds(p))
+
+
 @register()
 def entity_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """T10 to T12 with an encoder that needs no model: items encoded to an artifact, pairs scored by

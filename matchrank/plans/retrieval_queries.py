@@ -226,8 +226,9 @@ def reranker_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.rank_band_negatives(_lexical(spark, sf, 500), _second(spark, sf, 500), positives(spark, sf), _item_facts(spark, sf), 21, 200, 15, uniform_rows=20)
 
 
-_slate = f"""{_base}, {_lex}, {_folds_sql}, x AS (SELECT coalesce(l.query_id, p.term_id) AS term_id, coalesce(l.item_id, p.item_id) AS item_id, CAST(p.term_id IS NOT NULL AS INTEGER) AS label, coalesce(l.rank, 0) AS retrieval_rank, coalesce(l.score, 0.0) AS retrieval_score, CAST(l.rank IS NOT NULL AS INTEGER) AS is_retrieved FROM lex l FULL JOIN positives p ON p.term_id = l.query_id AND p.item_id = l.item_id)
+_slate_rows = """x AS (SELECT coalesce(l.query_id, p.term_id) AS term_id, coalesce(l.item_id, p.item_id) AS item_id, CAST(p.term_id IS NOT NULL AS INTEGER) AS label, coalesce(l.rank, 0) AS retrieval_rank, coalesce(l.score, 0.0) AS retrieval_score, CAST(l.rank IS NOT NULL AS INTEGER) AS is_retrieved FROM lex l FULL JOIN positives p ON p.term_id = l.query_id AND p.item_id = l.item_id)
 SELECT 'OOF_' || lpad(CAST(row_number() OVER (ORDER BY term_id, 1 - is_retrieved, retrieval_rank, item_id) - 1 AS VARCHAR), 10, '0') AS slate_id, term_id, item_id, fold, label, count(*) OVER (PARTITION BY term_id) AS candidate_count, is_retrieved, retrieval_rank, retrieval_score FROM x JOIN folds USING (term_id)"""
+_slate = f"{_base}, {_lex}, {_folds_sql}, {_slate_rows}"
 
 
 @register(_slate)
@@ -296,6 +297,14 @@ def pair_head_scores(spark: SparkSession, sf: str) -> DataFrame:
     return models.predict_pair_head(models.train_pair_head(pairs), pairs).select("a", "b", "label", "prob")
 
 
+@register()
+def pair_head_perceptron(spark: SparkSession, sf: str) -> DataFrame:
+    """G9 with a hidden layer."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    pairs = _labelled_pairs(e)
+    return models.predict_pair_head(models.train_pair_head(pairs, hidden=16), pairs).select("a", "b", "label", "prob")
+
+
 def _labelled_pairs(e: DataFrame) -> DataFrame:
     """Each vector with the next one of its label and the next one by id."""
     nxt = e.select(F.col("vec_id").alias("b"), F.col("v").alias("i"))

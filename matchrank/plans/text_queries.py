@@ -116,7 +116,7 @@ def lexical_score_with_ratios(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def fuzzy_ratios(spark: SparkSession, sf: str) -> DataFrame:
     joined = features.join_pairs(candidate_pairs(spark, sf), terms(spark, sf), items(spark, sf))
-    ratio = {"ratio": fuzzy.fuzz_ratio, "partial_ratio": fuzzy.fuzz_partial_ratio, "token_set_ratio": fuzzy.fuzz_token_set_ratio}
+    ratio = {"ratio": fuzzy.fuzz_ratio, "partial_ratio": fuzzy.fuzz_partial_ratio, "token_set_ratio": fuzzy.fuzz_token_set_ratio, "sequence_ratio": fuzzy.fuzz_sequence_ratio}
     return joined.select("id", *[f("query", "title").alias(n) for n, f in ratio.items()])
 
 

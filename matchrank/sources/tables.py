@@ -28,9 +28,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, blanks: bool
 
 
 def positive_pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct (term, item) whose label isn't 0; tables without a label are all positive."""
+    """Distinct (term, item) whose label isn't 0; tables without a label are all positive; none left is an error."""
     require_columns(pairs, "term_id", "item_id")
     kept = pairs.where(F.col("label").cast("string") != "0") if "label" in pairs.columns else pairs
+    if kept.limit(1).count() == 0:
+        raise ContractError("no positive pairs")
     return kept.select("term_id", "item_id").distinct()
 
 

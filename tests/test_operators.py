@@ -191,3 +191,95 @@ def test_stream_equals_batch(spark, tmp_path, world):
     score_stream(pair_stream(spark, str(tmp_path / "in")), terms, items, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     batch = features.score_pairs(pairs, terms, items, ratios=False)
     assert spark.read.parquet(str(tmp_path / "out")).select(batch.columns).exceptAll(batch).count() == 0
+
+
+def test_positions_of_string_ties_and_nulls(spark):
+    rows = [(f"SLATE_{k:06d}", None if k % 7 == 0 else float(k % 3)) for k in range(500)]
+    df = spark.createDataFrame(rows, "id string, score double").repartition(6)
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    got = sorted((r.p, r.id) for r in ranking.positions(df, "score", "id", "p").collect())
+    assert got == [(k + 1, r[0]) for k, r in enumerate(want)]
+    assert decisions.rate(df, 0.2).agg(F.sum("prediction")).first()[0] == 100
+    ranks = ranking.rank_pct(df, "score", "r").toPandas().set_index("id").r.sort_index()
+    plain = pd.DataFrame(rows, columns=["id", "score"]).set_index("id").score.rank(pct=True).sort_index()
+    assert ranks.isna().equals(plain.isna()) and np.allclose(ranks.dropna(), plain.dropna())
+    assert ranking.positions(df.where("false"), "score", "id").count() == 0
+
+
+def test_exact_quantiles(spark):
+    values = [1.0] * 700 + [float(k) for k in range(300)] + [None] * 5
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    probs = {f"q{k}": p for k, p in enumerate((0.0, 0.013, 0.5, 0.7505, 0.99, 1.0))}
+    got = ranking.quantiles(df, "v", probs).first()
+    plain = pd.Series(values).dropna()
+    assert [got[n] for n in probs] == pytest.approx([plain.quantile(p) for p in probs.values()])
+    assert ranking.quantiles(df.where("v IS NULL"), "v", {"m": 0.5}).first().m is None
+
+
+def test_sparse_space_against_numpy(spark):
+    """Top-k with a feature that all items have, ties, a cut vocabulary, and pairs scored later."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(40)]
+    text = lambda n: " ".join(["all", *rng.choice(words, n)])
+    q, x = {f"q{k}": text(4) for k in range(9)}, {k: text(8) for k in range(70)}
+    x[70] = x[3]
+    qf, xf = spark.createDataFrame(list(q.items()), "query_id string, text string"), spark.createDataFrame(list(x.items()), "item_id long, text string")
+    split = lambda c: F.split(c, " ")
+    for limit in (None, 15):
+        docs = [t.split() for t in (*q.values(), *x.values())]
+        df, total = {}, {}
+        for d in docs:
+            for w in d:
+                total[w] = total.get(w, 0) + 1
+            for w in set(d):
+                df[w] = df.get(w, 0) + 1
+        vocab = sorted((w for w in df if df[w] > 1), key=lambda w: (-total[w], w))[:limit]
+        vec = lambda t: np.array([(1 + np.log(t.split().count(w))) * (np.log((1 + len(docs)) / (1 + df[w])) + 1) if w in t.split() else 0.0 for w in vocab])  # noqa: B023, E731
+        unit = lambda v: v / (np.linalg.norm(v) or 1)
+        full = {(a, b): float(unit(vec(s)) @ unit(vec(t))) for a, s in q.items() for b, t in x.items()}
+        got = retrieval.tfidf_top_k(qf, xf, split, 10, 2, limit).collect()
+        for a in q:
+            want = sorted(x, key=lambda b: (-round(full[a, b], 9), b))[:10]
+            assert [r.item_id for r in sorted((r for r in got if r.query_id == a), key=lambda r: r.rank)] == want
+        space = retrieval.fit_tfidf([(qf, "query_id"), (xf, "item_id")], split, 2, limit)
+        pairs = spark.createDataFrame([("q1", 5), ("q2", 70), ("q2", 70), ("q3", 999)], "query_id string, item_id long")
+        sims = {(r.query_id, r.item_id): r.similarity for r in retrieval.pair_similarity(pairs, space.transform(qf, "query_id"), space.transform(xf, "item_id")).collect()}
+        assert sims == pytest.approx({("q1", 5): full["q1", 5], ("q2", 70): full["q2", 70], ("q3", 999): 0.0})
+    few = retrieval.tfidf_top_k(qf, xf.where("item_id < 5"), split, 10).withColumn("rank", F.col("rank"))
+    padded = retrieval.pad_with_random(few, qf, xf, 20).toPandas()
+    assert (padded.groupby("query_id").size() == 20).all() and not padded.duplicated(["query_id", "item_id"]).any()
+    assert all(g["rank"].tolist() == list(range(1, 21)) for _, g in padded.sort_values("rank").groupby("query_id"))
+
+
+def test_sources_by_position_and_defaults(spark):
+    a, b = spark.createDataFrame([(3,), (1,), (2,)], "k int"), spark.createDataFrame([(10, "x"), (30, "z"), (20, "y")], "at int, v string")
+    assert sorted(map(tuple, tables.zip_by_position(a, b, "k", "at", ["v"]).collect())) == [(1, "x"), (2, "y"), (3, "z")]
+    with pytest.raises(ContractError):
+        tables.zip_by_position(a, b.limit(2), "k", "at", ["v"])
+    with pytest.raises(ContractError):
+        tables.positive_pairs(spark.createDataFrame([("t", "i", "0")], "term_id string, item_id string, label string"))
+    with pytest.raises(ContractError):
+        negatives.external_negatives(a.selectExpr("k term_id", "k item_id"), a.selectExpr("k term_id", "k item_id"))
+    assert decisions.many_rates(spark.range(100).withColumn("score", F.rand(1)), [0.145, 0.5]).keys() == {"r14", "r50"}
+
+
+def test_recipes(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": range(400), "term_id": rng.integers(0, 9, 400), "fold": rng.integers(0, 2, 400), "a": rng.random(400), "b": rng.random(400)})
+    pdf["label"] = (pdf.a + 0.1 * pdf.b > 0.8).astype(int)
+    best = blend.best_recipe(spark.createDataFrame(pdf), ["a", "b"], [0.2, 0.25, 0.3], 0.25, required=("b",)).first()
+    assert best.weights == '{"a": 0.75, "b": 0.25}' or best.weights == '{"a": 0.5, "b": 0.5}'
+    with pytest.raises(ContractError):
+        blend.best_recipe(spark.createDataFrame(pdf), ["a", "b"], [0.2], 1.0, required=("a", "b"))
+    rows = spark.createDataFrame([("z", 0.5, 0.9), ("b", 0.7, 0.1), ("a", 0.7, 0.1), ("c", 0.7, 0.05)], "recipe string, macro_f1 double, recall double")
+    assert blend.select_recipe(rows).first().recipe == "a"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from matchrank.operators.lineage import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
