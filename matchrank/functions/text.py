@@ -124,8 +124,8 @@ def query_tokens(normalized: Column) -> Column:
 
 
 def coverage(query: Column, field: Column) -> Column:
-    """Share of the query's tokens that the field has; 0 for an empty query."""
-    return F.when(F.size(query) == 0, 0.0).otherwise(F.size(F.filter(query, lambda t: F.array_contains(field, t))) / F.size(query))
+    """Share of the query's (distinct) tokens that the field has; 0 for an empty query."""
+    return F.when(F.size(query) == 0, 0.0).otherwise(F.size(F.array_intersect(query, field)) / F.size(query))
 
 
 def color_tokens(query: Column, lexicon: tuple[str, ...] = COLORS) -> Column:
@@ -198,11 +198,19 @@ def let(value: Column, body) -> Column:
 def word_ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """Adjacent tokens joined by one space, all lengths from ``low`` to ``high``."""
 
-    def of(t: Column, n: int) -> Column:
-        places = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda k: F.array_join(F.slice(t, k, F.lit(n)), " "))
+    def grown(t: Column, grams: Column, n: int) -> Column:
+        """Grams of n tokens from those of n - 1 and the tokens that follow them."""
+        more = F.greatest(F.size(t) - n + 1, F.lit(0))
+        return F.zip_with(F.slice(grams, F.lit(1), more), F.slice(t, F.lit(n), more), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    return let(tokens, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
+    def every(t: Column) -> Column:
+        grams, out = t, [t] if low <= 1 else []
+        for n in range(2, high + 1):
+            grams = grown(t, grams, n)
+            out += [grams] if n >= low else []
+        return F.concat(*out)
+
+    return let(tokens, every)
 
 
 def char_ngrams(normalized: Column, low: int = 2, high: int = 5) -> Column:

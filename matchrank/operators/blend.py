@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import macro_f1, simplex_weights
 from matchrank.operators.decisions import mandatory_rows
+from matchrank.operators.lineage import cut
 from matchrank.operators.ranking import place, rank_pct
 from matchrank.sources.contracts import ContractError, require_rows, require_unique
 
@@ -17,11 +18,12 @@ from matchrank.sources.contracts import ContractError, require_rows, require_uni
 def align(parts: dict[str, DataFrame], expected: int | None = None, check: bool = True) -> DataFrame:
     """Inner join of ``id, term_id, score`` tables to ``id, term_id, <name>...``; one term per id."""
     if check:
-        for df in parts.values():
-            require_unique(df, "id")
+        ids = reduce(lambda a, b: a.unionByName(b), [df.select("id", F.lit(name).alias("component")) for name, df in parts.items()])
+        require_unique(ids, "component", "id")
     named = [df.select("id", F.col("term_id").alias(f"_t{k}"), F.col("score").alias(name)) for k, (name, df) in enumerate(parts.items())]
     out = reduce(lambda a, b: a.join(b, "id"), named)
     if check and len(named) > 1:
+        out = cut(out)  # the join runs once for the check and for what follows
         differ = reduce(lambda a, b: a | b, [F.col("_t0") != F.col(f"_t{k}") for k in range(1, len(named))])
         if n := out.where(differ).count():
             raise ContractError(f"{n} ids with different terms")

@@ -53,9 +53,11 @@ def rate_quantile(df: DataFrame, share: float, score: str = "score") -> DataFram
 
 
 def mandatory_rows(df: DataFrame, base: int, key: str = "term_id", score: str = "score", tie: str = "id") -> DataFrame:
-    """``mandatory``: the best max(group size - base, 0) rows of each term."""
+    """``mandatory``: the best max(group size - base, 0) rows of each term; none without a base."""
+    if base <= 0:
+        return df.withColumn("mandatory", F.lit(False))
     ranked = first_rank(df, key, score, tie, "_r")
-    return ranked.withColumn("mandatory", F.lit(base > 0) & (F.col("_r") <= F.greatest(F.col("term_size") - base, F.lit(0)))).drop("_r", "term_size")
+    return ranked.withColumn("mandatory", F.col("_r") <= F.greatest(F.col("term_size") - base, F.lit(0))).drop("_r", "term_size")
 
 
 def rate_constrained(df: DataFrame, share: float, base: int, key: str = "term_id", score: str = "score", tie: str = "id") -> DataFrame:

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan of fewer splits than there are slots, dealt over all of them; larger ones stay as they are."""
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``part`` as the catalog."""
     return table(spark, sf_dir, "part").select(
@@ -39,7 +45,8 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and items that share the first word."""
     t = terms(spark, sf_dir).select("term_id", F.split_part("query", F.lit(" "), F.lit(1)).alias("w"))
     i = items(spark, sf_dir).select("item_id", F.split_part(F.lower("title"), F.lit(" "), F.lit(1)).alias("w"))
-    return t.join(i, "w").select(F.concat_ws("#", "term_id", "item_id").alias("id"), "term_id", "item_id")
+    # pairs made from two small tables come out of few tasks: they are dealt out like a table of their own
+    return t.join(i, "w").select(F.concat_ws("#", "term_id", "item_id").alias("id"), "term_id", "item_id").repartition("id")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

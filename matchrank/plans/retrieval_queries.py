@@ -10,7 +10,7 @@ from matchrank.operators import category, metrics, models, negatives, retrieval,
 from matchrank.operators.lineage import cut
 from matchrank.operators.ranking import place
 from matchrank.plans import sqltext as q
-from matchrank.plans.adapters import items, positives, scored, table, terms, with_
+from matchrank.plans.adapters import items, positives, scored, spread, table, terms, with_
 from matchrank.plans.rank_queries import _folds_sql
 
 QUERIES: dict = {}
@@ -67,7 +67,7 @@ def tfidf_sql(name: str, queries: str, catalog: str, features, k: int, min_df: i
 @register(f"WITH {tfidf_sql('r', 'SELECT item_id AS id, text FROM benchmark', 'SELECT doc_id AS id, text FROM documents', _grams_sql, 100, 2)} SELECT * FROM r")
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    docs = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text"))
     return retrieval.tfidf_top_k(queries, docs, _grams, 100)
 
 
@@ -79,7 +79,7 @@ _emb = tfidf_sql("emb", _term_text, _item_text, lambda x: _chars_sql(x, 3, 4), 1
 
 def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     t = terms(spark, sf).select(F.col("term_id").alias("query_id"), F.col("query").alias("text"))
-    return t, items(spark, sf).select("item_id", F.concat_ws(" ", "title", "brand", "category", "attributes").alias("text"))
+    return t, spread(items(spark, sf).select("item_id", F.concat_ws(" ", "title", "brand", "category", "attributes").alias("text")))
 
 
 def _lexical(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
