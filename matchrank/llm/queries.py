@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchrank.llm import exact, licenses, packing, pieces, pii, quality, secret_scan, simhash, token_files, url_lists
+from matchrank.llm import exact, infill, licenses, packing, pieces, pii, quality, secret_scan, simhash, token_files, url_lists, word_bpe
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(_docs(spark, sf_dir).select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode_documents(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json"), with_ids=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,5 +133,18 @@ b AS (SELECT page_id, list(rule ORDER BY length(rule) DESC, rule)[1] AS rule, st
 SELECT n.page_id, strftime(d, '%Y-%m-%d') AS fetched_on, b.page_id IS NOT NULL AS blocked, coalesce(rule, '') AS rule, coalesce(categories, '') AS categories FROM n LEFT JOIN b ON b.page_id = n.page_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op6_url_lists, op7_licenses, op8_secrets, op9_packing, op10_pii, pipeline)}
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_url_lists": OP6_SQL}
+OP11_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents),
+k AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 25, 8))::BIGINT AS h4, string_split(text, chr(10)) AS lines FROM t),
+c AS (SELECT *, len(lines) - CAST(lines[-1] = '' AS BIGINT) AS n FROM k),
+r AS (SELECT *, h1 % (n + 1) AS r1, h2 % (n + 1) AS r2 FROM c),
+e AS (SELECT *, [least(length(text), coalesce(list_sum(list_transform(lines[1:u], lambda x: length(x) + 1)), 0)) FOR u IN [least(r1, r2), greatest(r1, r2)]] AS ends,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, CAST(ends[1] AS BIGINT) AS a, CAST(ends[2] AS BIGINT) AS b FROM e),
+x AS (SELECT *, '<P>' || substring(text, 1, a) AS pre, '<S>' || substring(text, b + 1) AS suf, '<M>' || substring(text, a + 1, b - a) AS mid FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN pre || suf || mid ELSE suf || pre || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM x
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op6_url_lists, op7_licenses, op8_secrets, op9_packing, op10_pii, op11_infill, op13_word_bpe, pipeline)}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_url_lists": OP6_SQL, "op11_infill": OP11_SQL}

@@ -5,10 +5,10 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from matchrank.llm import exact, licenses, packing, pieces, pii, quality, secret_scan, simhash, token_files, url_lists
+from matchrank.llm import exact, infill, licenses, packing, pieces, pii, quality, secret_scan, simhash, token_files, url_lists, word_bpe
 
 tokenizers = pytest.importorskip("public_tokenizers")
-BPE, PIECES = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
+BPE, PIECES, WORDS = (tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 CLASHES = ["_text", "_id", "_pii", "_pii0", "_n", "_parts", "_hits", "_row", "_h", "kind", "score", "cell", "rep", "fp", "bucket", "key", "curve_key", "stretch", "part", "tie", "gone", "component", "content_hash", "sha"]
 
 
@@ -38,6 +38,8 @@ OPERATORS = {
     "licenses": lambda df, m: licenses.scan(df),
     "secrets": lambda df, m: secret_scan.find_secrets(df),
     "pii": lambda df, m: pii.find_spans(df),
+    "infill": lambda df, m: infill.transform(df),
+    "word_bpe": lambda df, m: word_bpe.encode_documents(df, WORDS),
 }
 
 
