@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchrank.llm import exact, infill, licenses, packing, pieces, pii, quality, secret_scan, simhash, token_files, url_lists, word_bpe
+from matchrank.llm import exact, infill, lexical, licenses, packing, pieces, pii, quality, secret_scan, simhash, token_files, url_lists, word_bpe
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,12 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    asked = items.select(F.explode(lexical.terms(F.col("text"))).alias("term"))
+    return lexical.search(lexical.build(_docs(spark, sf_dir), asked=asked), items, 20)
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.encode_documents(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json"), with_ids=False)
 
@@ -146,5 +152,19 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN pre || suf || mid ELSE suf || pre || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM x
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op6_url_lists, op7_licenses, op8_secrets, op9_packing, op10_pii, op11_infill, op13_word_bpe, pipeline)}
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_url_lists": OP6_SQL, "op11_infill": OP11_SQL}
+_terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, unnest({_terms}) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_terms}) AS term FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN p USING (term) JOIN n USING (doc_id), s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 20
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_sentencepiece, op3_token_files, op4_simhash, op5_exact_dedup, op6_url_lists, op7_licenses, op8_secrets, op9_packing, op10_pii, op11_infill, op12_lexical_search, op13_word_bpe, pipeline)}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_url_lists": OP6_SQL, "op11_infill": OP11_SQL, "op12_lexical_search": OP12_SQL}
