@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import jaccard, stable_hash
+from matchrank.operators.draws import draw
 from matchrank.operators.lineage import cut
 from matchrank.operators.ranking import quantiles
 from matchrank.operators.splits import sample_at_most
-from matchrank.operators.walks import walk
 from matchrank.sources.contracts import ContractError, require_columns, require_disjoint, require_range, require_unique
 
 # fixed values: half-open score bands and their sizes
@@ -63,9 +64,8 @@ def tfidf_bands(ranked: DataFrame, positives: DataFrame, items: DataFrame, hard:
     """From retrieved rows (``term_id, item_id, score, rank``): the first non-positives are hard, some
     of the rest by hash mid, and items outside retrieval and positives easy.
 
-    Easy items are the first ``easy`` free ones of a term's own walk through the catalog in an order
-    that a hash fixes for all terms, from a start that the term's hash chooses; the walk covers as
-    many items as could be taken, so the result is whole without a cross product.
+    Easy items are the first ``easy`` free ones of the term's own random order of the catalog
+    (``draws.draw``); too few of them are an error.
     """
     free = minus_positives(ranked, positives)
     w = Window.partitionBy("term_id")
@@ -79,11 +79,10 @@ def tfidf_bands(ranked: DataFrame, positives: DataFrame, items: DataFrame, hard:
     return hard_out.unionByName(mid_out).unionByName(easy_out)
 
 
-def uniform(taken: DataFrame, items: DataFrame, n: int, seed: str) -> DataFrame:
-    """Per term of ``taken`` the first ``n`` items on its walk through the catalog (``walks.walk``)
-    that ``taken`` doesn't hold; ``term_id, item_id, pick``. Fewer if the catalog is too small."""
-    terms = taken.groupBy("term_id").agg((F.count(F.lit(1)) + n).alias("steps"))
-    return walk(terms, taken, items, seed).where(F.col("pick") <= n)
+def uniform(taken: DataFrame, items: DataFrame, n: int | Column, seed: str, reject: Callable[[DataFrame], DataFrame] | None = None, short: str = "raise") -> DataFrame:
+    """Per term of ``taken`` the first ``n`` items of its own random order that ``taken`` doesn't hold and
+    ``reject`` lets through; ``term_id, item_id, pick``. A catalog too small is an error (``draws.draw``)."""
+    return draw(taken.select("term_id").distinct().withColumn("n", F.lit(n).cast("long")), taken, items, seed, reject, short)
 
 
 def near_duplicates_of_positives(candidates: DataFrame, positives: DataFrame, items: DataFrame, least: float = 0.9) -> DataFrame:
@@ -113,20 +112,23 @@ def rank_band_negatives(lexical: DataFrame, embedding: DataFrame, positives: Dat
     """Uniform rows first if asked, then ``each`` from the lexical band, then from the embedding band,
     each stage without what came before; bands that fall short are filled uniformly per family.
 
-    Each stage is checkpointed, as the next ones refer to it several times."""
+    No row of any source, uniform ones included, is a positive of its term or a near copy of one; a
+    catalog too small for that is an error. Each stage is checkpointed, as the next ones refer to it
+    several times."""
+    near = lambda pairs: near_duplicates_of_positives(pairs, positives, items)
     safe = lambda pool: without_near_duplicates(minus_positives(pool, positives), positives, items)
     terms = positives.select("term_id").distinct()
     base = positives.select("term_id", "item_id")
     blank = lambda rows, source: rows.select("term_id", "item_id", F.lit(source).alias("negative_source"), F.lit(0).alias("source_rank"), F.lit(0.0).alias("source_score"))
     out = None
     if uniform_rows:
-        out = cut(blank(uniform(base, items, uniform_rows, seed + "-uniform"), "uniform"))
+        out = cut(blank(uniform(base, items, uniform_rows, seed + "-uniform", near), "uniform"))
     for family, pool in (("lexical", lexical), ("embedding", embedding)):
-        some = cut(rank_band(safe(pool), out, low, high, each, family, f"{seed}-{family}"))
+        some = cut(rank_band(safe(pool.where(F.col("rank").between(low, high))), out, low, high, each, family, f"{seed}-{family}"))
         out_now = some if out is None else out.unionByName(some)
-        have = terms.join(some.groupBy("term_id").agg(F.count(F.lit(1)).alias("n")), "term_id", "left").select("term_id", (each - F.coalesce("n", F.lit(0))).alias("gap")).where("gap > 0")
-        taken = base.unionByName(out_now.select("term_id", "item_id")).distinct().join(have.select("term_id"), "term_id", "left_semi")
-        fill = uniform(taken, items, each, f"{seed}-fill-{family}").join(have, "term_id").where("pick <= gap")
+        short = terms.join(some.groupBy("term_id").agg(F.count(F.lit(1)).alias("n")), "term_id", "left").select("term_id", (each - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+        taken = base.unionByName(out_now.select("term_id", "item_id")).distinct()
+        fill = draw(short, taken, items, f"{seed}-fill-{family}", near)
         out = cut(out_now.unionByName(blank(fill, f"uniform_backfill_{family}")))
     return out
 

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from matchrank.functions.numeric import dot, mix, smooth_idf, sublinear_tf
+from matchrank.operators.draws import draw
 from matchrank.operators.lineage import cut
 from matchrank.operators.ranking import top_k
-from matchrank.operators.walks import walk
 
 
 def term_counts(docs: DataFrame, key: str, features: Column, named: bool = False) -> DataFrame:
@@ -90,57 +90,121 @@ def two_space_similarity(pairs: DataFrame, word: tuple[DataFrame, DataFrame], ch
     return w.join(c, ["query_id", "item_id"]).withColumn("similarity", mix(F.col("word"), F.col("char"), share))
 
 
-#: Products held at once in a block pair; larger ones are worked off in parts.
-_PRODUCTS = 1 << 22
-
-
-def sparse_top_k(queries: DataFrame, items: DataFrame, k: int, q_block: int = 512, i_block: int = 8192, digits: int = 9) -> DataFrame:
-    """Exact top ``k`` of sparse unit vectors in long form (``<key>, fid, w``), blockwise.
-
-    Like ``dense_top_k``: blocks of query vectors meet blocks of item vectors, the products of shared
-    features add up in one dense block of scores (4 million numbers at these sizes), and only a block pair's best
-    ``k`` go on. A feature that most items have costs products in memory, no rows.
+#: Products held at once in a block pair, and cells of a block of scores; larger ones are worked off in parts.
+_PRODUCTS, _CELLS = 1 << 22, 1 << 22
+
+
+def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and weight of every entry, by feature."""
+    f = t.column("f").combine_chunks()
+    rows = np.repeat(np.arange(t.num_rows), np.diff(f.offsets.to_numpy()))
+    ids, w = f.flatten().to_numpy(), t.column("w").combine_chunks().flatten().to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return rows[order], ids[order], w[order]
+
+
+def _products(a: pa.Table, b: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """The dense block of dot products of ``a``'s rows with the ``width`` rows that ``b`` lists."""
+    (qr, qf, qw), (ir, if_, iw) = _flat(a), b
+    scores = np.zeros(a.num_rows * width)
+    low, high = np.searchsorted(if_, qf, "left"), np.searchsorted(if_, qf, "right")
+    n = high - low
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):  # each query entry meets the item entries of its feature
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + _PRODUCTS, "right")))
+        some = n[at:to]
+        left = np.repeat(np.arange(at, to), some)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some) + low[left]
+        scores += np.bincount(qr[left] * width + ir[right], qw[left] * iw[right], len(scores))
+        at = to
+    return scores.reshape(a.num_rows, width)
+
+
+def sparse_top_k(queries: DataFrame, items: DataFrame, k: int, q_block: int = 16384, i_block: int = 8192, digits: int = 9, report: dict | None = None) -> DataFrame:
+    """Exact top ``k`` of sparse vectors in long form (``<key>, fid, w``, weights not negative), by blocks and bounds.
+
+    Items are dealt into blocks in the order of their heaviest feature, so that a rare feature is in few
+    blocks. A block is summed up by the largest weight of each feature in it, which bounds a query's score
+    there. Each query meets the block of its best bound first; its k-th score there is a floor, and
+    further blocks are met only where their bound reaches it. An item block is copied to the query
+    blocks that have such queries, and multiplied with these queries alone; a feature that most items have costs
+    products in memory, no rows. ``report`` gets the numbers of blocks, of (query, block) meetings and
+    of copies of item blocks, against those that all pairs would make.
     """
-    vector = lambda df, key: df.groupBy(key).agg(F.collect_list("fid").alias("f"), F.collect_list("w").alias("w"))
-    qv, iv = cut(vector(queries, "query_id")), cut(vector(items, "item_id"))
-    qx, ix = _block_pairs(qv, iv, q_block, i_block)
-    q_kind, i_kind = (pa_type(df.schema[key].dataType) for df, key in ((queries, "query_id"), (items, "item_id")))
-    schema = pa.schema([("query_id", q_kind), ("item_id", i_kind), ("score", pa.float64())])
-
-    def flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        f = t.column("f").combine_chunks()
-        sizes = np.diff(f.offsets.to_numpy())
-        rows = np.repeat(np.arange(t.num_rows), sizes)
-        ids, w = f.flatten().to_numpy(), t.column("w").combine_chunks().flatten().to_numpy()
-        order = np.argsort(ids, kind="stable")
-        return rows[order], ids[order], w[order]
+    vector = lambda df, key: df.groupBy(key).agg(F.collect_list("fid").alias("f"), F.collect_list("w").alias("w"), F.max_by("fid", "w").alias("lead"))
+    q_type, i_type = (df.schema[key].dataType for df, key in ((queries, "query_id"), (items, "item_id")))
+    qv = cut(vector(queries, "query_id").drop("lead"))
+    turns = max(1, -(-qv.count() // q_block))
+    qv = qv.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
+    led = cut(vector(items, "item_id")).repartitionByRange("lead", "item_id").sortWithinPartitions("lead", "item_id").withColumn("m", F.monotonically_increasing_id())
+    # a block is a run of rows of a range partition
+    run = F.floor(F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) / i_block)
+    iv = cut(led.select("item_id", "f", "w", (F.shiftright("m", 33) * (1 << 31) + run).alias("block")))
+    entry = F.explode(F.arrays_zip("f", "w")).alias("e")
+    most = iv.select("block", entry).groupBy("block", F.col("e.f").alias("f")).agg(F.max("e.w").alias("w"))
+    summary = cut(most.groupBy("block").agg(F.collect_list("f").alias("f"), F.collect_list("w").alias("w")))
+    schema = pa.schema([("query_id", pa_type(q_type)), ("item_id", pa_type(i_type)), ("score", pa.float64())])
+    margin = 2 * 10.0**-digits
+
+    def bounds(a: pa.Table, b: pa.Table) -> Iterator[tuple[pa.Table, int, np.ndarray]]:
+        for k in range(b.num_rows):
+            one = b.slice(k, 1)
+            yield a, one.column("block")[0].as_py(), _products(a, _flat(one), 1)[:, 0]
+
+    def first_block(a: pa.Table, b: pa.Table) -> pa.Table:
+        best, block = np.zeros(a.num_rows), np.full(a.num_rows, -1)
+        for _, number, bound in bounds(a, b):
+            better = bound > best
+            best[better], block[better] = bound[better], number
+        met = np.flatnonzero(block >= 0)
+        return pa.table({"query_id": a.column("query_id").take(pa.array(met)), "block": pa.array(block[met])})
+
+    def other_blocks(a: pa.Table, b: pa.Table) -> pa.Table:
+        floor, seen = a.column("floor").to_numpy(), a.column("seen").to_numpy()
+        ids, blocks = [pa.array([], pa_type(q_type))], [np.zeros(0, np.int64)]
+        for _, number, bound in bounds(a, b):
+            met = np.flatnonzero((bound > 0) & (bound + margin >= floor) & (seen != number))
+            ids.append(a.column("query_id").take(pa.array(met)).combine_chunks())
+            blocks.append(np.full(len(met), number))
+        return pa.table({"query_id": pa.chunked_array(ids), "block": pa.array(np.concatenate(blocks))})
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
         b = b.sort_by("item_id")
-        (qr, qf, qw), (ir, if_, iw) = flat(a), flat(b)
-        scores = np.zeros(a.num_rows * b.num_rows)
-        low, high = np.searchsorted(if_, qf, "left"), np.searchsorted(if_, qf, "right")
-        n = high - low
-        ends = np.cumsum(n)
-        at = 0
-        while at < len(n):  # each query posting meets the item postings of its feature
-            done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + _PRODUCTS, "right")))
-            some = n[at:to]
-            left = np.repeat(np.arange(at, to), some)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some) + low[left]
-            scores += np.bincount(qr[left] * b.num_rows + ir[right], qw[left] * iw[right], len(scores))
-            at = to
-        scores = np.round(scores.reshape(a.num_rows, b.num_rows), digits)
-        rows, cols = _best_columns(scores, k)
-        hit = scores[rows, cols] > 0
-        rows, cols = rows[hit], cols[hit]
-        return pa.table([a.column("query_id").take(pa.array(rows)), b.column("item_id").take(pa.array(cols)), pa.array(scores[rows, cols])], schema=schema)
-
-    near = qx.groupBy("b_query_id", "b_item_id").cogroup(ix.groupBy("b_query_id", "b_item_id")).applyInArrow(best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, score double")
-    return top_k(near, "query_id", "score", "item_id", k)
+        entries, at, found = _flat(b), 0, []
+        while at < a.num_rows:
+            part = a.slice(at, max(1, _CELLS // b.num_rows)).combine_chunks()
+            scores = np.round(_products(part, entries, b.num_rows), digits)
+            rows, cols = _best_columns(scores, k)
+            hit = scores[rows, cols] > 0
+            rows, cols = rows[hit], cols[hit]
+            found.append(pa.table([part.column("query_id").take(pa.array(rows)), b.column("item_id").take(pa.array(cols)), pa.array(scores[rows, cols])], schema=schema))
+            at += part.num_rows
+        return pa.concat_tables(found)
+
+    every = summary.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    kinds = (q_type.simpleString(), i_type.simpleString())
+    of = lambda rows, find: cut(rows.groupBy("qb").cogroup(every.groupBy("qb")).applyInArrow(find, f"query_id {kinds[0]}, block long"))
+
+    def meet(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        asked = pairs.join(qv, "query_id")
+        copies = cut(asked.select(F.col("block").alias("block"), F.col("qb").alias("copy")).distinct())
+        near = asked.groupBy("block", "qb").cogroup(iv.join(copies, "block").groupBy("block", "copy")).applyInArrow(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double")
+        return cut(top_k(near, "query_id", "score", "item_id", k).drop("rank")), copies
+
+    firsts = of(qv, first_block)
+    first, copies = meet(firsts)
+    floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0.0)).alias("floor"))
+    known = qv.join(firsts.withColumnRenamed("block", "seen"), "query_id").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    others = of(known, other_blocks)
+    second, more = meet(others)
+    if report is not None:
+        n = summary.count()
+        report |= {"queries": qv.count(), "item_blocks": n, "query_blocks": turns, "meetings": firsts.count() + others.count(), "all_meetings": qv.count() * n, "copies": copies.unionByName(more).distinct().count(), "all_copies": n * turns}
+    return top_k(first.unionByName(second), "query_id", "score", "item_id", k)
 
 
 def _best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,13 +231,17 @@ def _block_pairs(queries: DataFrame, items: DataFrame, q_block: int, i_block: in
 def tfidf_top_k(queries: DataFrame, items: DataFrame, features: Callable[[Column], Column], k: int, min_df: int = 2, max_features: int | None = None) -> DataFrame:
     """Best ``k`` items per query, score descending, then item id. Inputs have ``query_id``/``item_id``
     and ``text``; the vocabulary spans both."""
+    return sparse_top_k(*fit_sides(queries, items, features, min_df, max_features), k)
+
+
+def fit_sides(queries: DataFrame, items: DataFrame, features: Callable[[Column], Column], min_df: int = 2, max_features: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The unit vectors (``<key>, fid, w``) of both sides in the space fitted on both. Item features that
+    no query has are left out, as they change no product; norms were taken over all of them."""
     sides = [(queries, "query_id"), (items, "item_id")]
     qc, ic = (cut(term_counts(d, key, features(F.col("text")), max_features is not None)) for d, key in sides)
     space = Tfidf(cut(vocabulary([qc, ic], [queries, items], min_df, max_features)), features)
     q = cut(space.weights(qc, "query_id"))
-    # features that no query has change no product; norms were taken over all of them
-    asked = q.select("fid").distinct()
-    return sparse_top_k(q, space.weights(ic, "item_id").join(asked, "fid", "left_semi"), k)
+    return q, cut(space.weights(ic, "item_id").join(q.select("fid").distinct(), "fid", "left_semi"))
 
 
 def pad_with_zero_scores(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -192,14 +260,14 @@ def pad_with_zero_scores(ranked: DataFrame, queries: DataFrame, items: DataFrame
 
 
 def pad_with_random(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int, seed: str = "pad") -> DataFrame:
-    """Queries with fewer than ``k`` hits get unused items at score 0, chosen by hash and in its order.
+    """Queries with fewer than ``k`` hits get unused items at score 0, in a random order of the query's own.
 
-    A query walks through the catalog, which a hash orders, from a start of its own; the walk covers
-    as many items as could be taken. A catalog of fewer than ``k`` items gives fewer rows.
+    A catalog of fewer than ``k`` items gives fewer rows.
     """
     have = queries.select("query_id").join(ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("h")), "query_id", "left").select(F.col("query_id").alias("term_id"), F.coalesce("h", F.lit(0)).alias("h"))
-    fill = walk(have.where(F.col("h") < k).select("term_id", (F.col("h") + k).alias("steps")), ranked.select(F.col("query_id").alias("term_id"), "item_id"), items, seed)
-    rows = fill.join(have, "term_id").withColumn("rank", (F.col("h") + F.col("pick")).cast("int")).where(F.col("rank") <= k)
+    short = have.where(F.col("h") < k).select("term_id", (k - F.col("h")).alias("n"))
+    fill = draw(short, ranked.select(F.col("query_id").alias("term_id"), "item_id"), items, seed, short="fewer")
+    rows = fill.join(have, "term_id").withColumn("rank", (F.col("h") + F.col("pick")).cast("int"))
     return ranked.select("query_id", "item_id", "score", "rank").unionByName(rows.select(F.col("term_id").alias("query_id"), "item_id", F.lit(0.0).alias("score"), "rank"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchrank.operators.features import candidate_sources
+from matchrank.operators.lineage import cut
 from matchrank.operators.negatives import uniform
 from matchrank.operators.ranking import rank_pct
 
@@ -34,11 +37,14 @@ def lexical_slate(ranked: DataFrame, positives: DataFrame, folds: DataFrame) ->
     return out.select("slate_id", "term_id", "item_id", "fold", "label", "candidate_count", "is_retrieved", "retrieval_rank", "retrieval_score")
 
 
-def hybrid_slate(lexical: DataFrame, embedding: DataFrame, positives: DataFrame, items: DataFrame, folds: DataFrame, first: int = 40, uniform_rows: int = 20, seed: str = "slate") -> DataFrame:
+def hybrid_slate(
+    lexical: DataFrame, embedding: DataFrame, positives: DataFrame, items: DataFrame, folds: DataFrame, cosine: Callable[[DataFrame], DataFrame], first: int = 40, uniform_rows: int = 20, seed: str = "slate"
+) -> DataFrame:
     """First rows of both retrievals, uniform rows and missing positives, in that order, once each.
 
-    ``semantic_cosine`` comes from the embedding pool where it has the pair, else it is null and
-    ranks last; the uniform part has fewer rows where the catalog is short.
+    ``cosine`` maps the pairs ``query_id, item_id`` of the slate to ``query_id, item_id, similarity``: every candidate
+    is scored, wherever it comes from, and ranked by that within its term. A catalog too small for
+    the uniform rows is an error.
     """
     lex = lexical.where(F.col("rank") <= first).select("term_id", "item_id", F.col("rank").alias("lexical_rank"), F.col("score").alias("lexical_score"))
     emb = embedding.where(F.col("rank") <= first).select("term_id", "item_id", F.col("rank").alias("embedding_rank"))
@@ -47,7 +53,9 @@ def hybrid_slate(lexical: DataFrame, embedding: DataFrame, positives: DataFrame,
     taken = found.select("term_id", "item_id").unionByName(pos.select("term_id", "item_id")).distinct()
     uni = uniform(taken, items, uniform_rows, seed).select("term_id", "item_id", F.col("pick").alias("uniform_pick"))
     rows = found.join(uni, ["term_id", "item_id"], "full_outer").join(pos, ["term_id", "item_id"], "full_outer")
-    rows = rows.join(embedding.select("term_id", "item_id", F.col("score").alias("semantic_cosine")), ["term_id", "item_id"], "left").join(folds.select("term_id", "fold"), "term_id")
+    rows = cut(rows)  # scored and joined with its scores
+    scores = cosine(rows.select(F.col("term_id").alias("query_id"), "item_id"))
+    rows = rows.join(scores.select(F.col("query_id").alias("term_id"), "item_id", F.round("similarity", 9).alias("semantic_cosine")), ["term_id", "item_id"]).join(folds.select("term_id", "fold"), "term_id")
     has = {"tfidf": F.col("lexical_rank").isNotNull(), "embedding": F.col("embedding_rank").isNotNull(), "uniform": F.col("uniform_pick").isNotNull()}
     only = ~has["tfidf"] & ~has["embedding"] & ~has["uniform"]
     rows = rows.withColumns(
@@ -57,7 +65,6 @@ def hybrid_slate(lexical: DataFrame, embedding: DataFrame, positives: DataFrame,
             "is_retrieved": F.when(has["tfidf"] | has["embedding"], 1).otherwise(0),
             "retrieval_rank": F.coalesce("lexical_rank", F.lit(0)),
             "retrieval_score": F.coalesce("lexical_score", F.lit(0.0)),
-            "semantic_cosine": F.coalesce("semantic_cosine", F.lit(-1.0)),
             "candidate_count": F.count(F.lit(1)).over(Window.partitionBy("term_id")),
             "_a": F.when(has["tfidf"], 0).when(has["embedding"], 1).when(has["uniform"], 2).otherwise(3),
             "_b": F.coalesce("lexical_rank", "embedding_rank", "uniform_pick", F.lit(0)),

@@ -571,8 +571,8 @@ def two_space_similarity(spark: SparkSession, sf: str) -> DataFrame:
 _titles = "SELECT item_id AS id, title AS text FROM items"
 
 
-@register(f"""{_base}, {rq.tfidf_sql('r', rq._term_text, _titles, rq._grams_sql, 700, 2)}, taken AS (SELECT query_id AS term_id, item_id FROM r), h AS (SELECT term_id, count(*) AS h FROM taken GROUP BY term_id), {rq.uniform_sql('u', 'taken', 700, 'pad')}
-SELECT query_id, item_id, score, rank FROM r UNION ALL SELECT term_id, item_id, 0.0, CAST(h + pick AS INTEGER) FROM u JOIN h USING (term_id) WHERE h < 700 AND h + pick <= 700""")
+@register(f"""{_base}, {rq.tfidf_sql('r', rq._term_text, _titles, rq._grams_sql, 700, 2)}, taken AS (SELECT query_id AS term_id, item_id FROM r), h AS (SELECT term_id, count(*) AS h FROM taken GROUP BY term_id), {rq.uniform_sql('u', 'taken', 700, 'pad', 'SELECT term_id, 700 - h AS want FROM h WHERE h < 700')}
+SELECT query_id, item_id, score, rank FROM r UNION ALL SELECT term_id, item_id, 0.0, CAST(h + pick AS INTEGER) FROM u JOIN h USING (term_id) """)
 def random_padded_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Short lists padded with items chosen by hash."""
     t, _ = rq._sides(spark, sf)
@@ -580,8 +580,8 @@ def random_padded_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.pad_with_random(cut(retrieval.tfidf_top_k(t, i, rq._grams, 700)), t, i, 700)
 
 
-_padded = f"""{_base}, {rq.tfidf_sql('r', rq._term_text, _titles, rq._grams_sql, 300, 2)}, taken AS (SELECT query_id AS term_id, item_id FROM r), h AS (SELECT term_id, count(*) AS h FROM taken GROUP BY term_id), {rq.uniform_sql('u', 'taken', 300, 'pad')},
-lex AS (SELECT query_id, item_id, score, rank FROM r UNION ALL SELECT term_id, item_id, 0.0, CAST(h + pick AS INTEGER) FROM u JOIN h USING (term_id) WHERE h < 300 AND h + pick <= 300)"""
+_padded = f"""{_base}, {rq.tfidf_sql('r', rq._term_text, _titles, rq._grams_sql, 300, 2)}, taken AS (SELECT query_id AS term_id, item_id FROM r), h AS (SELECT term_id, count(*) AS h FROM taken GROUP BY term_id), {rq.uniform_sql('u', 'taken', 300, 'pad', 'SELECT term_id, 300 - h AS want FROM h WHERE h < 300')},
+lex AS (SELECT query_id, item_id, score, rank FROM r UNION ALL SELECT term_id, item_id, 0.0, CAST(h + pick AS INTEGER) FROM u JOIN h USING (term_id) )"""
 
 
 @register(f"{_padded}, {_folds_sql}, {rq._slate_rows}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions import text
-from matchrank.operators import category, metrics, models, negatives, retrieval, slates, splits
+from matchrank.operators import category, draws, metrics, models, negatives, retrieval, slates, splits
 from matchrank.operators.lineage import cut
 from matchrank.operators.ranking import place
 from matchrank.plans import sqltext as q
@@ -167,25 +167,38 @@ def _sha(*parts: str) -> str:
     return "sha256(" + " || chr(31) || ".join(parts) + ")"
 
 
-def uniform_sql(name: str, taken: str, n: int, seed: str, pick: str = "") -> str:
-    """CTEs that end in ``name(term_id, item_id, pick)``."""
-    cond = pick or f"pick <= {n}"
-    start = f"left({_sha(repr(seed), chr(39) + 'start' + chr(39), 'term_id')}, 8)"
-    return f"""{name}_c AS (SELECT item_id, row_number() OVER (ORDER BY {_sha(repr(seed), 'item_id')}, item_id) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT item_id FROM items)),
-{name}_t AS (SELECT term_id, count(*) AS t FROM {taken} GROUP BY term_id), {name}_z AS (SELECT max(size) AS size FROM {name}_c),
-{name}_w AS (SELECT term_id, step, (('0x' || {start})::BIGINT % size + step) % size AS place FROM (SELECT term_id, size, unnest(range(0, least(t + {n}, size))) AS step FROM {name}_t, {name}_z)),
-{name}_p AS (SELECT term_id, item_id, row_number() OVER (PARTITION BY term_id ORDER BY step) AS pick FROM {name}_w JOIN {name}_c USING (place) ANTI JOIN {taken} USING (term_id, item_id)),
-{name} AS (SELECT term_id, item_id, pick FROM {name}_p WHERE {cond})"""
+def uniform_sql(name: str, taken: str, n: int, seed: str, asked: str = "", near: bool = False, steps: int | None = None) -> str:
+    """CTEs that end in ``name(term_id, item_id, pick)``; ``asked`` gives (term_id, want) where not all
+    terms of ``taken`` want ``n``. ``near`` leaves out near copies of positives. Each term's permutation is
+    followed for ``steps`` steps."""
+    key = lambda k: f"(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT % {draws.SPAN})"
 
+    def mixed(x: str, k: int) -> str:
+        y = f"(({x} * {draws.MIX_1} + {key(k)}) % {draws.SPAN})"
+        z = f"((xor({y}, {y} >> {draws.SHIFT_1}) * {draws.MIX_2}) % {draws.SPAN})"
+        return f"xor({z}, {z} >> {draws.SHIFT_2})"
 
-@register(f"{_base}, {uniform_sql('u', 'positives', 20, 'uniform')} SELECT term_id, item_id, CAST(pick AS INTEGER) AS pick FROM u")
+    rounds = [f"{name}_{k + 1} AS (SELECT * REPLACE ({f'(l + {mixed("r", k)}) % a AS l' if k % 2 == 0 else f'(r + {mixed("l", k)}) % b AS r'}) FROM {name}_{k})" for k in range(draws.ROUNDS)]
+    return f"""{name}_c AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM (SELECT DISTINCT item_id FROM items)),
+{name}_z AS (SELECT a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM {name}_c)),
+{name}_t AS (SELECT term_id, want, {_sha(repr(seed), 'term_id')} AS h FROM ({asked or f"SELECT DISTINCT term_id, {n} AS want FROM {taken}"})),
+{name}_s AS (SELECT *, unnest(range(0, {f'least(a * b, {steps})' if steps else 'a * b'})) AS step FROM {name}_t, {name}_z),
+{name}_0 AS (SELECT *, step // b AS l, step % b AS r FROM {name}_s), {", ".join(rounds)},
+{name}_m AS (SELECT term_id, want, step, item_id FROM {name}_{draws.ROUNDS} x JOIN {name}_c c ON c.place = x.l * x.b + x.r ANTI JOIN {taken} USING (term_id, item_id)),
+{name}_p AS (SELECT term_id, want, item_id, row_number() OVER (PARTITION BY term_id ORDER BY step) AS pick FROM {name}_m {f"ANTI JOIN ({_dups(f'{name}_m')}) USING (term_id, item_id)" if near else ""}),
+{name} AS (SELECT term_id, item_id, pick FROM {name}_p WHERE pick <= want)"""
+
+
+@register(f"{_base}, {_facts}, {uniform_sql('u', 'positives', 20, 'uniform', near=True, steps=400)} SELECT term_id, item_id, CAST(pick AS INTEGER) AS pick FROM u")
 def uniform_negatives(spark: SparkSession, sf: str) -> DataFrame:
-    return negatives.uniform(positives(spark, sf), items(spark, sf), 20, "uniform")
+    """Each term's own draws from the catalog, none a positive or a near copy of one."""
+    p, facts = positives(spark, sf), _item_facts(spark, sf)
+    return negatives.uniform(p, facts, 20, "uniform", lambda pairs: negatives.near_duplicates_of_positives(pairs, p, facts))
 
 
 @register(f"""{_base}, {_lex}, free AS (SELECT query_id AS term_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM lex l WHERE NOT EXISTS (SELECT 1 FROM positives x WHERE x.term_id = l.query_id AND x.item_id = l.item_id)),
 m AS (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY {_sha("'tfidf'", 'term_id', 'item_id')}, item_id) AS r FROM free WHERE p > 25),
-taken AS (SELECT query_id AS term_id, item_id FROM lex UNION SELECT term_id, item_id FROM positives WHERE term_id IN (SELECT query_id FROM lex)), {uniform_sql('u', 'taken', 10, 'tfidf-easy')}
+taken AS (SELECT query_id AS term_id, item_id FROM lex UNION SELECT term_id, item_id FROM positives WHERE term_id IN (SELECT query_id FROM lex)), {uniform_sql('u', 'taken', 10, 'tfidf-easy', steps=400)}
 SELECT term_id, item_id, 'hard' AS negative_band, score AS tfidf_score FROM free WHERE p <= 25 UNION ALL SELECT term_id, item_id, 'mid', score FROM m WHERE r <= 15 UNION ALL SELECT term_id, item_id, 'easy', 0.0 FROM u""")
 def tfidf_band_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.tfidf_bands(_lexical(spark, sf), positives(spark, sf), items(spark, sf))
@@ -197,13 +210,13 @@ def _band_sql(family: str, pool: str, before: str, n: int) -> str:
     kept = f"{family}_k AS (SELECT term_id, item_id, '{family}' AS negative_source, rank AS source_rank, score AS source_score FROM {family}_r WHERE r <= {n})"
     so_far = f"{family}_o AS (SELECT * FROM {family}_k {f'UNION ALL SELECT * FROM {before}' if before else ''})"
     gap = f"{family}_g AS (SELECT t.term_id, {n} - count(k.item_id) AS gap FROM (SELECT DISTINCT term_id FROM positives) t LEFT JOIN {family}_k k USING (term_id) GROUP BY t.term_id HAVING count(k.item_id) < {n})"
-    taken = f"{family}_t AS (SELECT * FROM (SELECT term_id, item_id FROM positives UNION SELECT term_id, item_id FROM {family}_o) WHERE term_id IN (SELECT term_id FROM {family}_g))"
-    fill = uniform_sql(f"{family}_u", f"{family}_t", n, f"mine-fill-{family}")
-    done = f"{family} AS (SELECT * FROM {family}_o UNION ALL SELECT u.term_id, u.item_id, 'uniform_backfill_{family}', 0, 0.0 FROM {family}_u u JOIN {family}_g USING (term_id) WHERE pick <= gap)"
+    taken = f"{family}_t AS (SELECT term_id, item_id FROM positives UNION SELECT term_id, item_id FROM {family}_o)"
+    fill = uniform_sql(f"{family}_u", f"{family}_t", n, f"mine-fill-{family}", f"SELECT term_id, gap AS want FROM {family}_g", near=True, steps=400)
+    done = f"{family} AS (SELECT * FROM {family}_o UNION ALL SELECT term_id, item_id, 'uniform_backfill_{family}', 0, 0.0 FROM {family}_u)"
     return ", ".join((free, rows, kept, so_far, gap, taken, fill, done))
 
 
-@register(f"{_base}, {_lex}, {_emb}, {_facts}, {uniform_sql('u0', 'positives', 5, 'mine-uniform')}, u1 AS (SELECT term_id, item_id, 'uniform' AS negative_source, 0 AS source_rank, 0.0::DOUBLE AS source_score FROM u0), {_band_sql('lexical', 'lex', 'u1', 10)}, {_band_sql('embedding', 'emb', 'lexical', 10)} SELECT * FROM embedding")
+@register(f"{_base}, {_lex}, {_emb}, {_facts}, {uniform_sql('u0', 'positives', 5, 'mine-uniform', near=True, steps=400)}, u1 AS (SELECT term_id, item_id, 'uniform' AS negative_source, 0 AS source_rank, 0.0::DOUBLE AS source_score FROM u0), {_band_sql('lexical', 'lex', 'u1', 10)}, {_band_sql('embedding', 'emb', 'lexical', 10)} SELECT * FROM embedding")
 def rank_band_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.rank_band_negatives(_lexical(spark, sf), _second(spark, sf), positives(spark, sf), _item_facts(spark, sf), 21, 60, 10, uniform_rows=5)
 
@@ -238,16 +251,17 @@ def lexical_slate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(f"""{_base}, {_lex}, {_emb}, {_folds_sql}, found AS (SELECT coalesce(l.term_id, e.term_id) AS term_id, coalesce(l.item_id, e.item_id) AS item_id, lr, ls, er FROM (SELECT query_id AS term_id, item_id, rank AS lr, score AS ls FROM lex WHERE rank <= 40) l FULL JOIN (SELECT query_id AS term_id, item_id, rank AS er FROM emb WHERE rank <= 40) e ON e.term_id = l.term_id AND e.item_id = l.item_id),
-taken AS (SELECT term_id, item_id FROM found UNION SELECT term_id, item_id FROM positives), {uniform_sql('u', 'taken', 20, 'slate')},
+taken AS (SELECT term_id, item_id FROM found UNION SELECT term_id, item_id FROM positives), {uniform_sql('u', 'taken', 20, 'slate', steps=600)},
 alls AS (SELECT term_id, item_id FROM found UNION SELECT term_id, item_id FROM positives UNION SELECT term_id, item_id FROM u),
-y AS (SELECT a.term_id, a.item_id, CAST(p.item_id IS NOT NULL AS INTEGER) AS label, lr, ls, er, u.pick, round(coalesce(m.score, -1.0), 9) AS semantic_cosine FROM alls a LEFT JOIN found f ON f.term_id = a.term_id AND f.item_id = a.item_id LEFT JOIN u ON u.term_id = a.term_id AND u.item_id = a.item_id LEFT JOIN positives p ON p.term_id = a.term_id AND p.item_id = a.item_id LEFT JOIN emb m ON m.query_id = a.term_id AND m.item_id = a.item_id),
+y AS (SELECT a.term_id, a.item_id, CAST(p.item_id IS NOT NULL AS INTEGER) AS label, lr, ls, er, u.pick, round(coalesce(m.score, 0.0), 9) AS semantic_cosine FROM alls a LEFT JOIN found f ON f.term_id = a.term_id AND f.item_id = a.item_id LEFT JOIN u ON u.term_id = a.term_id AND u.item_id = a.item_id LEFT JOIN positives p ON p.term_id = a.term_id AND p.item_id = a.item_id LEFT JOIN emb_s m ON m.query_id = a.term_id AND m.item_id = a.item_id),
 z AS (SELECT *, CASE WHEN lr IS NOT NULL THEN 0 WHEN er IS NOT NULL THEN 1 WHEN pick IS NOT NULL THEN 2 ELSE 3 END AS a, coalesce(lr, er, pick, 0) AS b FROM y)
 SELECT 'HYBRID_' || lpad(CAST(row_number() OVER (ORDER BY term_id, a, b, item_id) - 1 AS VARCHAR), 10, '0') AS slate_id, term_id, item_id, fold, label, count(*) OVER (PARTITION BY term_id) AS candidate_count, CAST(lr IS NOT NULL OR er IS NOT NULL AS INTEGER) AS is_retrieved, coalesce(lr, 0) AS retrieval_rank, coalesce(ls, 0.0) AS retrieval_score,
 CASE WHEN a = 3 THEN 'positive_union' ELSE concat_ws('+', CASE WHEN lr IS NOT NULL THEN 'tfidf' END, CASE WHEN er IS NOT NULL THEN 'embedding' END, CASE WHEN pick IS NOT NULL THEN 'uniform' END) END AS candidate_sources, semantic_cosine,
 round((rank() OVER (PARTITION BY term_id ORDER BY semantic_cosine) + (count(*) OVER (PARTITION BY term_id, semantic_cosine) - 1) / 2.0) / count(*) OVER (PARTITION BY term_id), 9) AS semantic_rank_pct FROM z JOIN folds USING (term_id)""")
 def hybrid_slate(spark: SparkSession, sf: str) -> DataFrame:
-    p = positives(spark, sf)
-    out = slates.hybrid_slate(_lexical(spark, sf), _second(spark, sf), p, items(spark, sf), splits.term_folds(p))
+    p, (q, i) = positives(spark, sf), retrieval.fit_sides(*_sides(spark, sf), _chars)
+    second = cut(retrieval.sparse_top_k(q, i, 100).withColumnRenamed("query_id", "term_id"))
+    out = slates.hybrid_slate(_lexical(spark, sf), second, p, items(spark, sf), splits.term_folds(p), lambda pairs: retrieval.pair_similarity(pairs, q, i))
     return out.withColumn("semantic_rank_pct", F.round("semantic_rank_pct", 9))
 
 
