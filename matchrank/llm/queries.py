@@ -39,10 +39,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_duplicates(_docs(spark, sf_dir), keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _spelled(name: F.Column, path: str, code: F.Column) -> F.Column:
+    """One of the ways to write a rule."""
+    ways = ("{n}{p}", "http://{n}{p}/", "{n}.{p}", "//{n}:8080/{p}//", " {N}/{p}", "https://user@{N}.{p}?q=1#top")
+    put = lambda way: F.replace(F.replace(F.replace(F.lit(way), F.lit("{n}"), name), F.lit("{N}"), F.upper(name)), F.lit("{p}"), F.lit(path))
+    return F.get(F.array(*map(put, ways)), F.pmod(code, F.lit(len(ways))))
+
+
 def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of ``pages`` (fetched on a day that follows from the id) against a dated list over
     all their hosts: of each host's registered name, an entry is added on one day, removed on a
-    later one and, for some, added again; path rules cover the language folders of some hosts."""
+    later one and, for some, added again; path rules cover the language folders of some hosts. The
+    list spells its rules in many ways: with scheme, port, capitals, final dot, empty steps."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     later = lambda days: start + F.make_interval(days=days.cast("int"))
@@ -54,13 +62,13 @@ def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(
             F.array(
                 *[
-                    F.when(when, F.struct(F.concat("name", F.lit(path)).alias("rule"), F.lit(category).alias("category"), F.lit(action).alias("action"), later(day).alias("listed_at")))
-                    for when, path, category, action, day in (
+                    F.when(when, F.struct(_spelled(F.col("name"), path, F.col("code") + k).alias("rule"), F.lit(category).alias("category"), F.lit(action).alias("action"), later(day).alias("listed_at")))
+                    for k, (when, path, category, action, day) in enumerate((
                         (F.col("code") % 3 < 2, "", "spam", "add", F.col("code") % 200),
                         (F.col("code") % 3 < 2, "", "spam", "remove", F.col("code") % 200 + 60),
                         (F.col("code") % 3 == 0, "", "spam", "add", F.col("code") % 200 + 120),
                         (F.col("code") % 4 == 1, "/en", "adult", "add", F.col("code") % 100),
-                    )
+                    ))
                 ]
             )
         ).alias("e")

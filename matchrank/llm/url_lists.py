@@ -2,7 +2,9 @@
 
 A list is a log of dated entries ``(rule, action, listed_at)``: ``add`` puts a rule in force from that
 moment, ``remove`` ends it. Rules are host suffixes (``example.com`` covers its subdomains) or host
-and path prefixes (``example.com/ads``) of any depth; hosts match in any case, paths in their own. Intervals are cut at time-bucket borders, so that the
+and path prefixes (``example.com/ads``) of any depth; hosts match in any case, paths in their own. Rules
+and URLs are brought to one form by the same code: no scheme, user, port, query or fragment, no dot at the
+host's end, no empty steps. Intervals are cut at time-bucket borders, so that the
 as-of join is an equality on (rule, bucket) with a range test inside; a hot host splits over its
 buckets and AQE splits what is still hot. A list of unknown size is never broadcast by force.
 """
@@ -15,15 +17,48 @@ from pyspark.sql import functions as F
 FOREVER = "9999-12-31 00:00:00"
 
 
-def intervals(entries: DataFrame) -> DataFrame:
+_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+
+
+def host(url: Column) -> Column:
+    """Lower-case host of a URL without user, port and final dots; null if there is none."""
+    found = F.lower(F.rtrim(F.regexp_extract(url, _AUTHORITY + r"(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(".")))
+    return F.when(found != "", found)
+
+
+def steps(url: Column) -> Column:
+    """The steps of a URL's path that aren't empty."""
+    return F.filter(F.split(F.regexp_extract(url, _AUTHORITY + r"[^/?#]*/([^?#]*)", 1), "/"), lambda s: s != "")
+
+
+def normal_rule(rule: Column) -> Column:
+    """A rule in the form of ``rule_keys``, however it is spelled; null if it names no host."""
+    bare = F.trim(rule)
+    url = F.when(bare.rlike(_AUTHORITY), bare).otherwise(F.concat(F.lit("//"), bare))
+    return F.concat(host(url), F.array_join(F.transform(steps(url), lambda s: F.concat(F.lit("/"), s)), ""))
+
+
+def unusable(entries: DataFrame) -> DataFrame:
+    """``rule, entries``: rules that name no host, with the number of their entries."""
+    return entries.where(F.col("rule").isNotNull() & normal_rule(F.col("rule")).isNull()).groupBy("rule").agg(F.count(F.lit(1)).alias("entries"))
+
+
+def intervals(entries: DataFrame, strict: bool = True) -> DataFrame:
     """``rule, category, valid_from, valid_to`` (end exclusive) from ``rule, category, action, listed_at``.
 
     Entries of one rule and category follow each other by time; at equal times ``remove`` comes
     before ``add``. A repeated ``add`` continues the interval; a ``remove`` of nothing is ignored.
-    Entries with a null rule or time are ignored; a null category counts as ``listed``.
+    Entries with a null rule or time are ignored; a null category counts as ``listed``. Spellings of
+    one rule are one rule (``normal_rule``). A rule without a host is an error as it is read, or,
+    without ``strict``, ignored and counted by ``unusable``.
     """
-    clean = entries.where("rule IS NOT NULL AND listed_at IS NOT NULL").select(
-        F.concat(F.lower(F.substring_index("rule", "/", 1)), F.regexp_extract("rule", "(?s)/.*", 0)).alias("rule"), F.coalesce("category", F.lit("listed")).alias("category"), (F.col("action") == "add").alias("on"), "listed_at"
+    normal = normal_rule(F.col("rule"))
+    if strict:
+        normal = F.when(normal.isNull(), F.raise_error(F.concat(F.lit("a rule without a host: "), "rule")).cast("string")).otherwise(normal)
+    clean = (
+        entries.where("rule IS NOT NULL AND listed_at IS NOT NULL")
+        .select(normal.alias("rule"), F.coalesce("category", F.lit("listed")).alias("category"), (F.col("action") == "add").alias("on"), "listed_at")
+        .where("rule IS NOT NULL")
     )
     # the last state at each moment, then only changes of state
     state = clean.groupBy("rule", "category", "listed_at").agg(F.max("on").alias("on"))
@@ -33,22 +68,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     return closed.where("on").select("rule", "category", F.col("listed_at").alias("valid_from"), "valid_to")
 
 
-def host(url: Column) -> Column:
-    """Lower-case host of a URL without user and port; null if there is none."""
-    found = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
-    return F.when(found != "", F.lower(F.rtrim(found, F.lit("."))))
-
-
 def rule_keys(url: Column, deepest: Column | None = None) -> Column:
     """All rules that could cover a URL: its host's suffixes, each alone and with path prefixes, of
     every length or of up to ``deepest`` steps."""
     name = host(url)
-    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*/([^?#]*)", 1)
     labels = F.split(name, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    steps = F.filter(F.split(path, "/"), lambda s: s != "")
-    most = F.size(steps) if deepest is None else F.least(F.size(steps), deepest)
-    prefixes = F.transform(F.sequence(F.lit(0), most), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), k), "/"))))
+    path = steps(url)
+    most = F.size(path) if deepest is None else F.least(F.size(path), deepest)
+    prefixes = F.transform(F.sequence(F.lit(0), most), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(path, F.lit(1), k), "/"))))
     return F.when(name.isNotNull(), F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))))
 
 
