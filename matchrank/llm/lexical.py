@@ -11,6 +11,7 @@ the next tier, and the last one proves everything. Nothing is cut off: a tier is
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from matchrank.llm.arrow import slices
-from matchrank.llm.storage import fresh_dir, materialize
+from matchrank.llm.storage import fresh_dir, materialize, small_batches
 
 # fixed values: terms, and the constants of the gain
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAIN, SHARE, LENGTH, BASE = 1_000_000_000, 1_000, 12, 25
 
-#: Documents of a block at most, and the bytes of their texts; a longer text is a block of its own.
+#: A block ends with the slice of documents that reaches so many rows or characters.
 BLOCK_ROWS, BLOCK_BYTES = 8192, 1 << 24
 #: Borders of the tiers as parts of the largest impact that a posting can have.
 CUTS = (0.25, 0.0625)
@@ -73,43 +74,64 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, asked: list[str] | No
     schema = pa.schema([("block", pa.int64()), ("term", pa.string()), ("at", ints), ("tf", ints), ("n", ints), ("ids", pa.list_(to_arrow_type(kind)))])
     known = None if asked is None else {t.encode(): k for k, t in enumerate(asked)}
 
-    def block(number: int, part: pa.RecordBatch) -> pa.RecordBatch | None:
-        part = part.take(pc.sort_indices(part.column(0), null_placement="at_end"))
-        index: dict[bytes, int] = {} if known is None else known
-        find = index.get if known is not None else lambda w: index.setdefault(w, len(index))
-        term, at, tf, lengths, keep = [], [], [], [], []
-        for k, text in enumerate(part.column(1).to_pylist()):
-            words = term_bytes(text)
-            if not words:
-                continue
-            counts = Counter(words)
-            mine = counts.keys() & index.keys() if known is not None else counts.keys()
-            term.extend(map(find, mine))
-            tf.extend(map(counts.__getitem__, mine))
-            at.extend([len(lengths)] * len(mine))
-            lengths.append(len(words))
-            keep.append(k)
-        if not keep:
-            return None
-        term, at, tf, lengths = (np.array(x, np.int32) for x in (term, at, tf, lengths))
-        order = np.argsort(term, kind="stable")
-        present, starts = np.unique(term[order], return_index=True)
-        words = list(index)
-        ends = np.append(np.append(starts, len(term)), len(term) + len(lengths))
-        offsets = pa.array(ends, pa.int32())
-        over = lambda values, last: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([values[order], last]), pa.int32()))
-        ids = pa.ListArray.from_arrays(pa.array([0] * (len(present) + 1) + [len(keep)], pa.int32()), part.column(0).take(pa.array(keep)))
-        names = pa.array([words[k].decode() for k in present] + [None], pa.string())
-        place = np.arange(len(lengths), dtype=np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(present) + 1, number)), names, over(at, place), over(tf, place), over(lengths[at], lengths), ids], schema=schema)
+    class Block:
+        """Postings of the documents read so far, in compact arrays; no text is kept."""
+
+        def __init__(self):
+            self.index: dict[bytes, int] = {} if known is None else known
+            self.term, self.at, self.tf, self.lengths = array("i"), array("i"), array("i"), array("i")
+            self.ids: list[pa.Array] = []
+            self.rows = self.size = 0
+
+        def add(self, part: pa.RecordBatch) -> None:
+            held = []
+            for k, text in enumerate(part.column(1).to_pylist()):
+                words = term_bytes(text)
+                self.size += len(text)
+                if not words:
+                    continue
+                counts = Counter(words)
+                if known is not None:
+                    mine = counts.keys() & self.index.keys()
+                    self.term.extend(map(self.index.__getitem__, mine))
+                else:
+                    mine = counts.keys()
+                    self.term.extend([self.index.setdefault(w, len(self.index)) for w in mine])
+                self.tf.extend(map(counts.__getitem__, mine))
+                self.at.extend([len(self.lengths)] * len(mine))
+                self.lengths.append(len(words))
+                held.append(k)
+            self.ids.append(part.column(0).take(pa.array(held, pa.int32())))
+            self.rows += part.num_rows
+
+        def batch(self, number: int) -> pa.RecordBatch:
+            ids = pa.concat_arrays(self.ids)
+            order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            term, at, tf, lengths = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (self.term, self.at, self.tf, self.lengths))
+            n, at = lengths[at], place[at]
+            by_term = np.lexsort((at, term))
+            present, starts = np.unique(term[by_term], return_index=True)
+            offsets = pa.array(np.append(np.append(starts, len(term)), len(term) + len(lengths)), pa.int32())
+            over = lambda values, last: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([values[by_term], last])))
+            lists = pa.ListArray.from_arrays(pa.array([0] * (len(present) + 1) + [len(ids)], pa.int32()), ids.take(pa.array(order)))
+            words = list(self.index)
+            names = pa.array([words[k].decode() for k in present] + [None], pa.string())
+            lengths = lengths[order]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(present) + 1, number)), names, over(at, np.arange(len(order), dtype=np.int32)), over(tf, lengths), over(n, lengths), lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, block = TaskContext.get().partitionId() << 32, Block()
         for batch in batches:
-            for part in slices(batch, rows=BLOCK_ROWS, size=BLOCK_BYTES):
-                if (made := block(number, part)) is not None:
-                    yield made
-                number += 1
+            for part in slices(batch):
+                block.add(part)
+                if block.rows >= BLOCK_ROWS or block.size >= BLOCK_BYTES:
+                    if block.lengths:
+                        yield block.batch(number)
+                    number, block = number + 1, Block()
+        if block.lengths:
+            yield block.batch(number)
 
     return rows.mapInArrow(run, f"block long, term string, at array<int>, tf array<int>, n array<int>, ids array<{kind.simpleString()}>")
 
@@ -128,13 +150,14 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asked
         asked = materialize(asked.select("term").distinct(), "lexical-asked")
         wanted = [r.term for r in asked.collect()] if asked.count() <= ASKED else None
     raw = _postings(docs, id_col, text_col, wanted)
-    if asked is not None and wanted is None:
-        raw = raw.join(asked, "term", "left_semi").unionByName(raw.where("term IS NULL"))
-    raw = materialize(raw, "lexical-raw")
+    with small_batches(spark):
+        raw = materialize(raw, "lexical-raw")
     facts = raw.where("term IS NULL").agg(F.sum(F.size("at")).alias("docs"), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)).alias("terms")).first()
     n_docs, n_terms = facts["docs"] or 0, max(facts["terms"] or 0, 1)
     weight = lambda df: F.floor(F.lit(1000.0) * F.log((2.0 * n_docs + 2) / (2.0 * df + 1)))
     named = raw.where("term IS NOT NULL")
+    if asked is not None and wanted is None:
+        named = named.join(asked, "term", "left_semi")
     counted = materialize(named.groupBy("term").agg(F.sum(F.size("at")).cast("long").alias("df")).withColumn("weight", weight(F.col("df"))), "lexical-counts")
     largest = float(np.floor(1000 * np.log((2.0 * n_docs + 2) / 3.0))) * (GAIN / SHARE) if n_docs else 0.0
     borders = [c * largest for c in cuts]
@@ -163,7 +186,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asked
     tiered = named.join(counted.select("term", "weight"), "term").select("block", "term", "at", "tf", "n", "weight").mapInArrow(split, "tier int, block long, term string, at array<int>, gain array<int>")
     path = fresh_dir(spark, "lexical-postings")
     # files in order of term let a search skip most row groups
-    tiered.sortWithinPartitions("tier", "term").write.partitionBy("tier").parquet(path)
+    with small_batches(spark):
+        tiered.sortWithinPartitions("tier", "term").write.partitionBy("tier").parquet(path)
     postings = spark.read.schema("block long, term string, at array<int>, gain array<int>, tier int").parquet(path)
     below = [F.coalesce(F.max(F.when(F.col("tier") > k, F.array_max("gain"))), F.lit(0)).alias(f"below_{k}") for k in range(len(cuts) + 1)]
     bounds = postings.groupBy("term").agg(*below)
