@@ -134,7 +134,7 @@ def test_slates(spark, world):
     folds = splits.term_folds(positives)
     slate = slates.lexical_slate(pool.where("rank <= 20"), positives, folds).toPandas()
     assert slate.label.sum() == 10 and slate.slate_id.is_unique and (slate.groupby("term_id").candidate_count.first() == slate.groupby("term_id").size()).all()
-    hybrid = slates.hybrid_slate(pool, pool.withColumn("rank", 141 - F.col("rank")), positives, items, folds).toPandas()
+    hybrid = slates.hybrid_slate(pool, pool.withColumn("rank", 141 - F.col("rank")), positives, items, folds, lambda pairs: pairs.withColumn("similarity", F.length("item_id") / 8 + F.crc32("item_id") / 2**34)).toPandas()
     assert hybrid.label.sum() == 10 and hybrid.slate_id.is_unique and (hybrid.groupby("term_id").size() >= 100).all()
 
 
