@@ -1,4 +1,4 @@
-"""Aligning, rank-normalizing and blending scores; grids over weights."""
+"""Aligning, rank-normalizing and blending scores; recipes over a grid of weights (``grid``)."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchrank.functions.numeric import macro_f1, simplex_weights
-from matchrank.operators.decisions import mandatory_rows
+from matchrank.functions.numeric import simplex_weights
+from matchrank.operators.grid import grid_curve
 from matchrank.operators.lineage import cut
-from matchrank.operators.ranking import place, rank_pct
+from matchrank.operators.ranking import rank_pct
 from matchrank.sources.contracts import ContractError, require_rows, require_unique
 
 
@@ -54,38 +54,6 @@ def two_level(aligned: DataFrame, trees: dict[str, float], model: str, share: fl
     return out.withColumn("score", weighted({"trees": share, model: 1 - share}))
 
 
-def grid_scores(aligned: DataFrame, weights: list[dict[str, float]]) -> DataFrame:
-    """Long form: every row under every weighting, ``weight_id, ..., score``."""
-    names = list(weights[0])
-    table = aligned.sparkSession.createDataFrame([(k, *map(float, w.values())) for k, w in enumerate(weights)], "weight_id int, " + ", ".join(f"w{i} double" for i in range(len(names))))
-    score = reduce(lambda a, b: a + b, [F.col(n) * F.col(f"w{i}") for i, n in enumerate(names)])
-    return aligned.crossJoin(F.broadcast(table)).withColumn("score", F.round(score, 12)).drop(*[f"w{i}" for i in range(len(names))])
-
-
-def grid_curve(long: DataFrame, rates: list[float], bases: list[int], tie: str = "id", label: str = "label") -> DataFrame:
-    """Per weighting, base and rate: ``weight_id, base, rate, macro_f1, mandatory_count``.
-
-    All weightings are judged side by side in one range-partitioned order by weighting, base and then
-    decision order, so a weighting is spread over tasks however many rows it has. Feasible points only.
-    """
-    spark = long.sparkSession
-    keyed = long.withColumn("_wt", F.concat_ws("\t", F.col("weight_id").cast("string"), F.col("term_id").cast("string")))
-    parts = [mandatory_rows(keyed, base, "_wt", "score", tie).withColumn("base", F.lit(base)) for base in bases]
-    marked = reduce(lambda a, b: a.unionByName(b), parts).select("weight_id", "base", "mandatory", "score", tie, label)
-    group = ["weight_id", "base"]
-    placed = place(marked, F.col("weight_id").asc(), F.col("base").asc(), F.col("mandatory").desc(), F.col("score").desc(), F.col(tie).asc(), out="place")
-    totals = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.sum(F.col("mandatory").cast("long")).alias("mandatory_count"), F.min("place").alias("first"))
-    # a row per weighting, base and rate: the true positives of a budget are the labels placed before its end
-    grid = spark.createDataFrame([(float(r),) for r in rates], "rate double")
-    asked = totals.crossJoin(F.broadcast(grid)).withColumn("predicted", F.bround(F.col("n") * F.col("rate")).cast("long")).where("predicted >= mandatory_count AND predicted <= n")
-    hits = placed.where(F.col(label) == 1).select(*group, "place")
-    inside = F.broadcast(asked.select(*group, "rate", (F.col("first") + F.col("predicted")).alias("end")))
-    tp = hits.join(inside, group).where("place < end").groupBy(*group, "rate").agg(F.count(F.lit(1)).alias("tp"))
-    at = asked.join(tp, [*group, "rate"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    at = at.withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("positives") - F.col("tp")).withColumn("tn", F.col("n") - F.col("predicted") - F.col("positives") + F.col("tp"))
-    return at.select(*group, "rate", macro_f1(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).alias("macro_f1"), "mandatory_count")
-
-
 def best_point(curve: DataFrame) -> DataFrame:
     """Best macro-F1, then the smallest weighting, base and rate."""
     return curve.orderBy(F.round("macro_f1", 12).desc(), "weight_id", "base", "rate").limit(1)
@@ -111,7 +79,7 @@ def best_recipe(aligned: DataFrame, names: list[str], rates: list[float], step:
     weights = [w for w in simplex_weights(names, step) if all(w[r] > 0 for r in required)]
     if not weights:
         raise ContractError("no weighting is left")
-    curve = grid_curve(grid_scores(ranked(aligned, names, scope), weights), rates, [0], tie)
+    curve = grid_curve(ranked(aligned, names, scope), weights, rates, [0], tie)
     listed = F.create_map(*[x for k, w in enumerate(weights) for x in (F.lit(k), F.lit(json.dumps(w, sort_keys=True)))])
     return best_point(curve).select("macro_f1", F.col("rate").alias("positive_rate"), F.try_element_at(listed, F.col("weight_id")).alias("weights"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions import numeric, text
-from matchrank.operators import blend, category, decisions, features, metrics, models, negatives, ranking, retrieval, slates, splits
+from matchrank.operators import blend, category, decisions, encoding, features, metrics, models, negatives, ranking, retrieval, slates, splits
 from matchrank.operators.lineage import cut, scratch
 from matchrank.operators.manifests import StageCache
 from matchrank.plans import retrieval_queries as rq
@@ -691,14 +691,29 @@ def oof_with_prior(spark: SparkSession, sf: str) -> DataFrame:
         ex = cut(category.category_examples(known, t, i))
         return {level: category.count_prior(ex, asked, level, text.raw_tokens(F.col("query_norm"))) for level in category.LEVELS}
 
-    numeric_names = ["full_cov", "title_cov", "category_cov", "brand_cov", "lexical_score", *[f"{x}_{n}" for x in category.LEVELS for n in ("top1_match", "candidate_prob", "rank")]]
-    return models.out_of_fold_with_prior(cut(_labelled_pairs(spark, sf)), 2, t, i, priors, numeric_names, ["item_cat_l1"])
+    numeric_names = ["full_cov", "title_cov", "category_cov", "brand_cov", "title_ratio", "category_ratio", "brand_ratio", "lexical_score", *[f"{x}_{n}" for x in category.LEVELS for n in ("top1_match", "candidate_prob", "rank")]]
+    return models.out_of_fold_with_prior(cut(_labelled_pairs(spark, sf)), 2, t, i, priors, numeric_names, ["item_cat_l1", "item_cat_l2"])
+
+
+@register(f"""WITH x AS (SELECT l_orderkey, l_linenumber, coalesce('=' || l_partkey, 'null') AS c, CAST(l_returnflag = 'R' AS INTEGER)::DOUBLE AS y, ('0x' || left({_sha("'ordered'", "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)")}, 15))::BIGINT AS h FROM lineitem), p AS (SELECT avg(y) AS prior FROM x)
+SELECT l_orderkey, l_linenumber, round((coalesce(sum(y) OVER w, 0) + prior) / (count(*) OVER w + 1), 9) AS part_statistic FROM x, p WINDOW w AS (PARTITION BY c ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def ordered_target_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Each line's part as the mean label of the lines of that part before it in hash order."""
+    rows = _returned(spark, sf)
+    out = encoding.encode_training(rows, encoding.fit_statistics(rows, ["part"]), "id")
+    return out.select("l_orderkey", "l_linenumber", F.round("part_ts", 9).alias("part_statistic"))
+
+
+def _returned(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with two categories of many values; the label is that the line was returned."""
+    rows = _lines(spark, sf).withColumn("id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    return rows.select("id", "l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_quantity", "l_discount", F.datediff("l_shipdate", F.lit("1992-01-01")).alias("ship_day"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
 
 
 @register()
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    """Importances of trees over features with a bearing on the label, largest first."""
-    rows = rq._event_rows(spark, sf).withColumn("same", F.col("label") * 1.0)
+    """Importances of trees over three numbers and two categories of any number, largest first,
+    read from a model that was written and loaded."""
     path = scratch(spark, "model")
-    models.save_model(models.train_trees(rows, ["score", "hour", "same"], trees=3, depth=3), path)
+    models.save_model(models.train_trees(_returned(spark, sf), ["l_quantity", "l_discount", "ship_day"], ["part", "supplier"], trees=3, depth=3), path)
     return spark.createDataFrame(models.importances(models.load_model(path)), "feature string, importance double")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchrank.functions import numeric
-from matchrank.operators import blend, decisions, metrics, negatives, ranking, splits
+from matchrank.operators import blend, decisions, grid, metrics, negatives, ranking, splits
 from matchrank.plans.adapters import positives, scored, table, with_
 
 QUERIES: dict = {}
@@ -201,12 +201,14 @@ def selected_submission(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.rate(out, 0.26)
 
 
-_grid = numeric.simplex_weights(["price", "other", "third"], 0.5)
-_grid_rates = [0.2, 0.3, 0.4]
+# fixed values: the grid's step, its rates and its bases (the second is small here, as terms are)
+_grid = numeric.simplex_weights(["price", "other", "third"], 0.25)
+_grid_rates = [round(0.15 + 0.005 * k, 3) for k in range(41)]
+_grid_bases = [0, 14]
 _weights_sql = ", ".join(f"({k}, {w['price']}::DOUBLE, {w['other']}::DOUBLE, {w['third']}::DOUBLE)" for k, w in enumerate(_grid))
 _grid_sql = f"""WITH {_parts_sql}, r AS (SELECT id, term_id % 5 AS fold, term_id, label, {_pct('price', 'term_id % 5')} AS price, {_pct('other', 'term_id % 5')} AS other, {_pct('third', 'term_id % 5')} AS third FROM a),
 l AS (SELECT w.k AS weight_id, id, term_id, label, round(price * w1 + other * w2 + third * w3, 12) AS score FROM r, (VALUES {_weights_sql}) w(k, w1, w2, w3)),
-b AS (SELECT unnest([0, 14]) AS base),
+b AS (SELECT unnest({_grid_bases}) AS base),
 m AS (SELECT l.*, base, base > 0 AND row_number() OVER (PARTITION BY weight_id, base, term_id ORDER BY score DESC, id) <= greatest(count(*) OVER (PARTITION BY weight_id, base, term_id) - base, 0) AS mandatory FROM l, b),
 p AS (SELECT *, row_number() OVER w AS p, sum(label) OVER (w ROWS UNBOUNDED PRECEDING) AS tp FROM m WINDOW w AS (PARTITION BY weight_id, base ORDER BY mandatory DESC, score DESC, id)),
 t AS (SELECT weight_id, base, count(*) AS n, sum(label) AS pos, sum(CAST(mandatory AS INTEGER)) AS mc FROM m GROUP BY ALL),
@@ -216,8 +218,7 @@ x AS (SELECT g.weight_id, g.base, g.rate, {_f1('tp', '(predicted - tp)', '(pos -
 
 def _curve_of_grid(spark: SparkSession, sf: str) -> DataFrame:
     a = _aligned(spark, sf).withColumn("fold", F.col("term_id") % 5)
-    long = blend.grid_scores(blend.ranked(a, ["price", "other", "third"], "fold"), _grid)
-    return _round(blend.grid_curve(long, _grid_rates, [0, 14]), "macro_f1")
+    return _round(grid.grid_curve(blend.ranked(a, ["price", "other", "third"], "fold"), _grid, _grid_rates, _grid_bases), "macro_f1")
 
 
 @register(f"{_grid_sql} SELECT * FROM x")
