@@ -53,10 +53,11 @@ def _worst_rows(rows: DataFrame, weights: np.ndarray, bases: list[int]) -> DataF
 
     Terms of up to ``CHUNK`` rows are ordered at once. A larger one is dealt into chunks by a hash; a row that
     isn't among the worst of its chunk isn't among the worst of the term, and the others go on to
-    the next, smaller round.
+    the next, smaller round. A chunk is at least four times as large as what can go on from it.
     """
     names = [c for c in rows.columns if c != "free"]
     width = len(weights) * len(bases)
+    chunk = max(CHUNK, 4 * len(weights) * sum(bases))
     kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def _worst_rows(rows: DataFrame, weights: np.ndarray, bases: list[int]) -> DataF
     every = _packed(np.ones((1, width), bool))[0].as_py()
     open_rows, parts = rows.withColumn("free", F.lit(bytearray(every))), []
     while True:
-        sizes = open_rows.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
+        sizes = open_rows.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks"))
         dealt = open_rows.join(sizes, "term").withColumn("_g", F.xxhash64("term", F.pmod(F.xxhash64("pos"), F.col("chunks"))))
         # a group is a run of one key of a partition; terms whose hashes collide would only share a sort if they had one key
         sorted_rows = dealt.withColumn("_t", F.xxhash64("term")).repartition("_t", "_g").sortWithinPartitions("_t", "_g").select(*names, "free", "chunks", "_g")
