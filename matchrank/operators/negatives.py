@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from matchrank.functions.numeric import jaccard, stable_hash
 from matchrank.operators.draws import draw
@@ -85,18 +88,51 @@ def uniform(taken: DataFrame, items: DataFrame, n: int | Column, seed: str, reje
     return draw(taken.select("term_id").distinct().withColumn("n", F.lit(n).cast("long")), taken, items, seed, reject, short)
 
 
+class NearCopies:
+    """Which pairs are near copies of the term's positives, without comparing all of both.
+
+    An item is one if it is a positive of the term, shares title and brand with one, or has a title-token
+    Jaccard of ``least`` or more with one. Equal items and titles are equality joins. For Jaccard, tokens
+    are put in order of rarity over the catalog: two sets that similar share a token among the first
+    ``n - ceil(least * n) + 1`` of each and differ little in length, so pairs meet on (term, such a token) and only
+    these are compared. Positives of equal titles stand for one. ``items``: item_id, title, brand, tokens.
+    """
+
+    def __init__(self, positives: DataFrame, items: DataFrame, least: float = 0.9):
+        self.least = least
+        once = items.select("item_id", "title", "brand", F.array_distinct("tokens").alias("tokens"))
+        each = once.select("item_id", F.explode("tokens").alias("t"))
+        rarity = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+        ordered = each.join(rarity, "t").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("o"))
+        first = F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.lit(least) * F.size("o") - 1e-9) + 1).cast("int"))
+        # two empty titles are equal: they meet on a token that no title has
+        none = F.array(F.lit(""))
+        self.items = cut(once.join(ordered, "item_id", "left").select("item_id", "title", "brand", "tokens", F.coalesce(first, none).alias("first")))
+        known = positives.select("term_id", "item_id").distinct()
+        facts = known.join(self.items, "item_id")
+        self.positives = known
+        self.titles = cut(facts.select("term_id", "title", "brand").distinct())
+        self.sets = cut(facts.select("term_id", F.array_sort("tokens").alias("p"), F.array_sort("first").alias("f")).distinct().select("term_id", "p", F.explode("f").alias("t")))
+
+    def __call__(self, candidates: DataFrame) -> DataFrame:
+        """The pairs ``term_id, item_id`` of ``candidates`` that are near copies."""
+        pairs = candidates.select("term_id", "item_id").distinct()
+        both = pairs.join(self.items, "item_id")
+        same = pairs.join(self.positives, ["term_id", "item_id"], "left_semi")
+        titled = both.join(self.titles, ["term_id", "title", "brand"], "left_semi").select("term_id", "item_id")
+        met = both.select("term_id", "item_id", "tokens", F.explode("first").alias("t")).join(self.sets, ["term_id", "t"])
+        small, large = F.least(F.size("tokens"), F.size("p")), F.greatest(F.size("tokens"), F.size("p"))
+        alike = met.where((small >= self.least * large - 1e-9) & (jaccard(F.col("tokens"), F.col("p")) >= self.least)).select("term_id", "item_id")
+        return same.unionByName(titled).unionByName(alike).distinct()
+
+
 def near_duplicates_of_positives(candidates: DataFrame, positives: DataFrame, items: DataFrame, least: float = 0.9) -> DataFrame:
-    """Candidate pairs whose item is a positive of the term, shares title and brand with one, or has
-    a title-token Jaccard of ``least`` or more with one. ``items``: item_id, title, brand, tokens."""
-    facts = items.select("item_id", F.struct("title", "brand", "tokens").alias("c"))
-    pos = positives.select("term_id", F.col("item_id").alias("pos_id")).join(items.select(F.col("item_id").alias("pos_id"), F.struct("title", "brand", "tokens").alias("p")), "pos_id")
-    both = candidates.select("term_id", "item_id").distinct().join(facts, "item_id").join(pos, "term_id")
-    same = (F.col("item_id") == F.col("pos_id")) | ((F.col("c.title") == F.col("p.title")) & (F.col("c.brand") == F.col("p.brand")))
-    return both.where(same | (jaccard(F.col("c.tokens"), F.col("p.tokens")) >= least)).select("term_id", "item_id").distinct()
+    """Candidate pairs that are near copies of a positive of their term (``NearCopies``)."""
+    return NearCopies(positives, items, least)(candidates)
 
 
-def without_near_duplicates(candidates: DataFrame, positives: DataFrame, items: DataFrame, least: float = 0.9) -> DataFrame:
-    return candidates.join(near_duplicates_of_positives(candidates, positives, items, least), ["term_id", "item_id"], "left_anti")
+def without_near_duplicates(candidates: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    return candidates.join(near(candidates), ["term_id", "item_id"], "left_anti")
 
 
 def rank_band(pool: DataFrame, chosen: DataFrame | None, low: int, high: int, n: int, source: str, seed: str) -> DataFrame:
@@ -115,8 +151,8 @@ def rank_band_negatives(lexical: DataFrame, embedding: DataFrame, positives: Dat
     No row of any source, uniform ones included, is a positive of its term or a near copy of one; a
     catalog too small for that is an error. Each stage is checkpointed, as the next ones refer to it
     several times."""
-    near = lambda pairs: near_duplicates_of_positives(pairs, positives, items)
-    safe = lambda pool: without_near_duplicates(minus_positives(pool, positives), positives, items)
+    near = NearCopies(positives, items)
+    safe = lambda pool: without_near_duplicates(minus_positives(pool, positives), near)
     terms = positives.select("term_id").distinct()
     base = positives.select("term_id", "item_id")
     blank = lambda rows, source: rows.select("term_id", "item_id", F.lit(source).alias("negative_source"), F.lit(0).alias("source_rank"), F.lit(0.0).alias("source_score"))
@@ -157,21 +193,66 @@ def external_negatives(rows: DataFrame, positives: DataFrame) -> DataFrame:
     return out
 
 
-def candidate_batch(batch: DataFrame, pool: DataFrame, uniform_items: DataFrame, epoch: int) -> DataFrame:
-    """A training batch's candidates: its targets, one hard item per row that alternates between the
-    lexical and embedding families with (row + epoch), and three shared uniform items per row.
+def _seed(*parts: object) -> int:
+    """The first eight bytes of the parts' hash, little-endian (``numeric.stable_seed``)."""
+    return int.from_bytes(hashlib.sha256("\x1f".join(map(str, parts)).encode()).digest()[:8], "little")
+
+
+def assemble_batches(rows: DataFrame, pool: DataFrame, catalog: DataFrame, seed: int = 42, epoch: int = 0, multiple: int = 3, semi_hard: bool = True) -> DataFrame:
+    """Candidates of training batches: ``batch, position, row_index, item_id, source``.
 
-    ``batch``: row_index, term_id, item_id; ``pool``: term_id, item_id, family; ``uniform_items``:
-    item_id, pick (in hash order). Returns ``row_index, item_id, role``.
+    ``rows`` is ``batch, row_index, term_id, item_id``, any number of batches of a size that a task holds;
+    ``pool`` is ``term_id, family, item_ids`` (``negative_pool``). Per batch, in order: the rows' own items
+    by row and item (``positive``), then one semi-hard item per row, then ``multiple`` times as many shared uniform
+    items. A row takes its semi-hard item from the lexical family if row and epoch sum to an even number, else
+    from the embedding one, then from the other, then from the uniform family, then from the catalog
+    (``uniform_backfill``); a family's list is entered at a place that seed, epoch and row fix. No item after
+    the positives repeats another of its batch. Uniform items are the batch's own draws; a catalog too small
+    is an error. ``row_index`` is null for uniform items.
     """
-    targets = batch.select("row_index", "item_id", F.lit("target").alias("role"))
-    family = F.when((F.col("row_index") + epoch) % 2 == 0, "lexical").otherwise("embedding")
-    wanted = batch.select("row_index", "term_id", family.alias("family")).join(pool, ["term_id", "family"])
-    r = F.row_number().over(Window.partitionBy("row_index").orderBy(stable_hash("batch", F.lit(epoch).cast("string"), F.col("item_id").cast("string")), "item_id"))
-    hard = wanted.withColumn("r", r).where("r = 1").select("row_index", "item_id", F.lit("hard").alias("role"))
-    n = F.broadcast(batch.agg(F.count(F.lit(1)).alias("b")))
-    shared = uniform_items.crossJoin(n).where("pick <= 3 * b").select(F.lit(-1).alias("row_index"), "item_id", F.lit("uniform").alias("role"))
-    return targets.unionByName(hard).unionByName(shared)
+    families = ("lexical", "embedding", "uniform")
+    lists = pool.groupBy("term_id").agg(*[F.max(F.when(F.col("family") == f, F.col("item_ids"))).alias(f) for f in families])
+    kind = rows.schema["item_id"].dataType
+    # as many draws as can be needed, and as can fall on items that are taken by then
+    sizes = rows.groupBy(F.col("batch").alias("term_id")).agg((F.count(F.lit(1)) * (multiple + (3 if semi_hard else 1))).alias("n"))
+    none = rows.select(F.col("batch").alias("term_id"), "item_id").where("false")
+    drawn = draw(sizes, none, catalog, f"{seed}-{epoch}-batch", short="fewer").select(F.col("term_id").alias("draw_batch"), "pick", F.col("item_id").alias("drawn_id"))
+    schema = pa.schema([("batch", to_arrow_type(rows.schema["batch"].dataType)), ("position", pa.int32()), ("row_index", pa.int64()), ("item_id", to_arrow_type(kind)), ("source", pa.string())])
+
+    def assemble(batch: pa.Table, draws: pa.Table) -> pa.Table:
+        own = batch.sort_by([("row_index", "ascending"), ("item_id", "ascending")]).to_pylist()
+        if not own:
+            return schema.empty_table()
+        free = iter(draws.sort_by("pick").column("drawn_id").to_pylist())
+        out = [(r["row_index"], r["item_id"], "positive") for r in own]
+        taken = {r["item_id"] for r in own}
+
+        def take(row: int | None, source: str) -> None:
+            item = next((i for i in free if i not in taken), None)
+            if item is None:
+                raise ContractError(f"the catalog is too small for batch {own[0]['batch']!r}")
+            taken.add(item)
+            out.append((row, item, source))
+
+        for r in own if semi_hard else ():
+            index = r["row_index"]
+            first = "lexical" if (index + epoch) % 2 == 0 else "embedding"
+            for family in (first, "embedding" if first == "lexical" else "lexical", "uniform"):
+                values = r[family] or []
+                at = _seed(seed, epoch, index, family) % len(values) if values else 0
+                if (item := next((i for i in values[at:] + values[:at] if i not in taken), None)) is not None:
+                    taken.add(item)
+                    out.append((index, item, family))
+                    break
+            else:
+                take(index, "uniform_backfill")
+        for _ in range(multiple * len(own)):
+            take(None, "uniform")
+        rows_, items_, sources = zip(*out, strict=True)
+        return pa.table([pa.array([own[0]["batch"]] * len(out), schema.field(0).type), pa.array(range(len(out)), pa.int32()), pa.array(rows_, pa.int64()), pa.array(items_, schema.field(3).type), pa.array(sources)], schema=schema)
+
+    sides = rows.select("batch", F.col("row_index").cast("long").alias("row_index"), "term_id", "item_id").join(lists, "term_id", "left").drop("term_id")
+    return sides.groupBy("batch").cogroup(drawn.groupBy("draw_batch")).applyInArrow(assemble, f"batch {rows.schema['batch'].dataType.simpleString()}, position int, row_index long, item_id {kind.simpleString()}, source string")
 
 
 def known_positive_mask(rows: DataFrame, candidates: DataFrame, positives: DataFrame, batch: str = "batch") -> DataFrame:

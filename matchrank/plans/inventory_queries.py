@@ -658,17 +658,29 @@ def training_limits(spark: SparkSession, sf: str) -> DataFrame:
     return negatives.training_frame(rows.where("l_returnflag = 'R'"), rows.where("l_returnflag <> 'R'"), 200, 300, "epoch")
 
 
-@register(f"""WITH b AS (SELECT l_orderkey AS row_index, l_orderkey AS term_id, l_partkey AS item_id FROM lineitem WHERE l_linenumber = 1),
-w AS (SELECT b.row_index, p.l_partkey AS item_id, row_number() OVER (PARTITION BY b.row_index ORDER BY {_sha("'batch'", "'1'", 'CAST(p.l_partkey AS VARCHAR)')}, p.l_partkey) AS r FROM b JOIN lineitem p ON p.l_orderkey = b.term_id AND p.l_linenumber > 1 AND (CASE WHEN p.l_returnflag = 'N' THEN 'lexical' ELSE 'embedding' END) = (CASE WHEN (b.row_index + 1) % 2 = 0 THEN 'lexical' ELSE 'embedding' END)),
-u AS (SELECT p_partkey AS item_id, row_number() OVER (ORDER BY {_sha("'pick'", 'CAST(p_partkey AS VARCHAR)')}, p_partkey) AS pick FROM part)
-SELECT row_index, item_id, 'target' AS role FROM b UNION ALL SELECT row_index, item_id, 'hard' FROM w WHERE r = 1 UNION ALL SELECT -1, item_id, 'uniform' FROM u WHERE pick <= 3 * (SELECT count(*) FROM b)""")
+_rotated = lambda family: f"(CASE WHEN {family} IS NULL THEN [] ELSE list_transform({family}[o_{family} + 1:] || {family}[:o_{family}], lambda x: {{'item': x, 'source': '{family}'}}) END)"
+_offset = lambda family: f"CAST(('0x' || array_to_string(list_transform(range(8), lambda k: substr({_sha(chr(39) + '42' + chr(39), chr(39) + '1' + chr(39), 'CAST(row_index AS VARCHAR)', chr(39) + family + chr(39))}, 15 - 2 * k, 2)), ''))::UBIGINT % len({family}) AS BIGINT) AS o_{family}"
+
+
+@register(f"""WITH RECURSIVE items AS (SELECT p_partkey AS item_id FROM part), b AS (SELECT CAST(l_orderkey // 16 AS VARCHAR) AS batch, l_orderkey AS row_index, l_partkey AS item_id, row_number() OVER (PARTITION BY l_orderkey // 16 ORDER BY l_orderkey, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey // 16) AS size FROM lineitem WHERE l_linenumber = 1),
+n AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey) FILTER (l_returnflag = 'N'))) AS lexical, list_sort(list_distinct(list(l_partkey) FILTER (l_returnflag <> 'N'))) AS embedding FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey),
+taken AS (SELECT batch AS term_id, item_id FROM b WHERE FALSE), {rq.uniform_sql('d', 'taken', 0, '42-1-batch', 'SELECT DISTINCT batch AS term_id, 6 * size AS want FROM b')},
+f AS (SELECT term_id AS batch, list(item_id ORDER BY pick) AS free FROM d GROUP BY term_id),
+l AS (SELECT b.*, lexical, embedding, {_offset('lexical')}, {_offset('embedding')} FROM b LEFT JOIN n ON n.l_orderkey = b.row_index),
+c AS (SELECT batch, k, row_index, (CASE WHEN (row_index + 1) % 2 = 0 THEN {_rotated('lexical')} || {_rotated('embedding')} ELSE {_rotated('embedding')} || {_rotated('lexical')} END) || list_transform(free, lambda x: {{'item': x, 'source': 'uniform_backfill'}}) AS choices FROM l JOIN f USING (batch)),
+t AS (SELECT batch, list(item_id) AS targets FROM b GROUP BY batch),
+r AS (SELECT batch, 0 AS k, targets AS taken_ids, NULL::STRUCT(item BIGINT, source VARCHAR) AS pick, NULL::BIGINT AS row_index FROM t
+  UNION ALL SELECT batch, k, taken_ids || [pick.item], pick, row_index FROM (SELECT r.batch, c.k, taken_ids, c.row_index, list_filter(choices, lambda x: NOT list_contains(taken_ids, x.item))[1] AS pick FROM r JOIN c ON c.batch = r.batch AND c.k = r.k + 1)),
+e AS (SELECT batch, arg_max(taken_ids, k) AS taken_ids, max(k) AS size FROM r GROUP BY batch),
+u AS (SELECT batch, size, unnest(list_filter(free, lambda x: NOT list_contains(taken_ids, x))[1:3 * size]) AS item_id, generate_subscripts(list_filter(free, lambda x: NOT list_contains(taken_ids, x))[1:3 * size], 1) AS g FROM e JOIN f USING (batch))
+SELECT batch, CAST(k - 1 AS INTEGER) AS position, row_index, item_id, 'positive' AS source FROM b UNION ALL SELECT r.batch, CAST(size + r.k - 1 AS INTEGER), row_index, pick.item, pick.source FROM r JOIN e USING (batch) WHERE r.k > 0
+UNION ALL SELECT batch, CAST(2 * size + g - 1 AS INTEGER), NULL, item_id, 'uniform' FROM u""")
 def batch_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Targets, hard items of alternating families, shared uniform items."""
+    """Batches of 16 orders, each with targets, semi-hard items with their fallbacks, and shared uniform items."""
     rows = _lines(spark, sf)
-    batch = rows.where("l_linenumber = 1").select(F.col("l_orderkey").alias("row_index"), F.col("l_orderkey").alias("term_id"), F.col("l_partkey").alias("item_id"))
-    pool = rows.where("l_linenumber > 1").select(F.col("l_orderkey").alias("term_id"), F.col("l_partkey").alias("item_id"), F.when(F.col("l_returnflag") == "N", "lexical").otherwise("embedding").alias("family"))
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id")).withColumn("h", numeric.stable_hash("pick", F.col("item_id").cast("string")))
-    return negatives.candidate_batch(batch, pool, ranking.place(part, F.col("h").asc(), F.col("item_id").asc(), out="pick"), 1).withColumn("row_index", F.col("row_index").cast("long"))
+    batch = rows.where("l_linenumber = 1").select(F.expr("CAST(l_orderkey DIV 16 AS STRING)").alias("batch"), F.col("l_orderkey").alias("row_index"), F.col("l_orderkey").alias("term_id"), F.col("l_partkey").alias("item_id"))
+    mined = rows.where("l_linenumber > 1").select(F.col("l_orderkey").alias("term_id"), F.col("l_partkey").alias("item_id"), F.when(F.col("l_returnflag") == "N", "lexical").otherwise("embedding").alias("negative_source"))
+    return negatives.assemble_batches(batch, negatives.negative_pool(mined, F.col("negative_source")), table(spark, sf, "part").select(F.col("p_partkey").alias("item_id")), epoch=1)
 
 
 def _labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:

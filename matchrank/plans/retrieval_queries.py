@@ -193,7 +193,7 @@ def uniform_sql(name: str, taken: str, n: int, seed: str, asked: str = "", near:
 def uniform_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """Each term's own draws from the catalog, none a positive or a near copy of one."""
     p, facts = positives(spark, sf), _item_facts(spark, sf)
-    return negatives.uniform(p, facts, 20, "uniform", lambda pairs: negatives.near_duplicates_of_positives(pairs, p, facts))
+    return negatives.uniform(p, facts, 20, "uniform", negatives.NearCopies(p, facts))
 
 
 @register(f"""{_base}, {_lex}, free AS (SELECT query_id AS term_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM lex l WHERE NOT EXISTS (SELECT 1 FROM positives x WHERE x.term_id = l.query_id AND x.item_id = l.item_id)),
