@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from matchrank.functions.text import category_levels, char_ngrams, normalize_text
-from matchrank.operators.ranking import top_k
+from matchrank.operators.lineage import cut
+from matchrank.operators.ranking import place, top_k
+from matchrank.operators.retrieval import fit_tfidf
 
 LEVELS = ("cat_l1", "cat_l2")
 
@@ -51,26 +56,127 @@ def lookup_arrays(top: DataFrame, level: str) -> DataFrame:
     return top.groupBy("term_id").agg(rows.alias("x")).select("term_id", F.col("x.label").alias(f"{level}_labels"), F.col("x.prob").alias(f"{level}_probs"))
 
 
-def logistic_prior(examples: DataFrame, queries: DataFrame, label: str, k: int = 5, features: int = 1 << 14, low: int = 2, high: int = 5) -> DataFrame:
-    """Like ``count_prior`` from hashed character n-grams, idf and a balanced logistic regression.
+#: Examples of a shard, classes of a block and terms of a block at most; a shard's features and a block's
+#: weights are what a task holds.
+SHARD, CLASS_BLOCK, TERM_BLOCK = 1 << 16, 64, 1 << 16
 
-    A single class gives that class with probability 1.
+
+def _segments(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of rows, features and weights of columns ``f`` and ``w``."""
+    f = t.column("f").combine_chunks()
+    offsets = f.offsets.to_numpy()
+    return offsets - offsets[0], f.flatten().to_numpy(), t.column("w").combine_chunks().flatten().to_numpy()
+
+
+def train_one_vs_rest(offsets: np.ndarray, features: np.ndarray, values: np.ndarray, ones: np.ndarray, weights: np.ndarray, epochs: int, rate: float, penalty: float, batch: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x classes) and biases of balanced logistic models, all classes of a block at once.
+
+    Rows go by in their order in batches; each step is scaled by the root of the squared slopes so far.
+    ``ones`` is rows x classes, ``weights`` what a class's own rows count.
+    """
+    width = int(features.max()) + 1 if len(features) else 0
+    w, seen = np.zeros((width, ones.shape[1])), np.full((width, ones.shape[1]), 1e-8)
+    bias, bias_seen = np.zeros(ones.shape[1]), np.full(ones.shape[1], 1e-8)
+    for _ in range(epochs):
+        for at in range(0, len(ones), batch):
+            to = min(at + batch, len(ones))
+            f, v = features[offsets[at] : offsets[to]], values[offsets[at] : offsets[to]]
+            row = np.repeat(np.arange(to - at), np.diff(offsets[at : to + 1]))
+            margin = np.tile(bias, (to - at, 1))
+            np.add.at(margin, row, w[f] * v[:, None])
+            slope = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - ones[at:to]) * np.where(ones[at:to], weights, 1.0) / (to - at)
+            used, place = np.unique(f, return_inverse=True)
+            g = penalty * w[used]
+            np.add.at(g, place, slope[row] * v[:, None])
+            seen[used] += g * g
+            w[used] -= rate * g / np.sqrt(seen[used])
+            g = slope.sum(axis=0)
+            bias_seen += g * g
+            bias -= rate * g / np.sqrt(bias_seen)
+    return w, bias
+
+
+def logistic_prior(
+    examples: DataFrame, queries: DataFrame, label: str, k: int = 5, max_features: int = 120_000, low: int = 2, high: int = 5, least: int = 2, epochs: int = 20, rate: float = 0.5, penalty: float = 2e-5
+) -> DataFrame:
+    """Like ``count_prior`` from TF-IDF of character n-grams and one balanced logistic model per class.
+
+    Classes of fewer than ``least`` examples are left out. Example rows are written once and go to blocks of classes;
+    a task trains a block's classes on a shard of the examples, shards are averaged, and weights stay a table with a row per
+    block and feature: no matrix of classes and features is on the driver or in one task. Terms meet
+    each block once, which passes on its best ``k`` and the sum of its scores; a class's probability is its
+    score over the sum of all. A single class has probability 1, no example gives ``unknown``.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, StringIndexer
-    from pyspark.ml.functions import vector_to_array
-
-    grams = lambda df: df.withColumn("grams", char_ngrams(F.col("query_norm"), low, high))
-    index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(examples)
-    if len(index.labels) < 2:
-        return queries.select("term_id", F.lit(index.labels[0] if index.labels else "unknown").alias("label"), F.lit(1.0).alias("prob"), F.lit(1).alias("rank"))
-    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=features)
-    train = tf.transform(grams(index.transform(examples)))
-    idf = IDF(inputCol="tf", outputCol="x", minDocFreq=1).fit(train)
-    counts = examples.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    n, classes = examples.count(), len(index.labels)
-    weighted = idf.transform(train).join(counts, label).withColumn("w", F.lit(n / classes) / F.col("_c"))
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1e-3, maxIter=30).fit(weighted)
-    scored = model.transform(idf.transform(tf.transform(grams(queries)))).select("term_id", F.posexplode(vector_to_array("probability")).alias("c", "prob"))
-    names = F.array(*map(F.lit, index.labels))
-    return top_k(scored.select("term_id", F.get(names, F.col("c")).alias("label"), "prob"), "term_id", "prob", "label", k)
+    kept = cut(class_filter(examples, label, least).select("query_norm", F.col(label).alias("label")).distinct().withColumn("example", F.concat_ws("\x1f", "query_norm", "label")))
+    sizes = cut(kept.groupBy("label").agg(F.count(F.lit(1)).alias("c")))
+    classes, n = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    if classes < 2:
+        only = sizes.first()
+        return queries.select("term_id", F.lit(only["label"] if only else "unknown").alias("label"), F.lit(1.0).alias("prob"), F.lit(1).alias("rank"))
+    grams = lambda c: char_ngrams(c, low, high)
+    space = fit_tfidf([(kept, "example")], grams, 2 if n >= 2 else 1, max_features, "query_norm")
+    vector = lambda long, key: long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("fid", "w"))).alias("x")).select(key, F.col("x.fid").alias("f"), F.col("x.w").alias("w"))
+    numbered = place(sizes, F.col("label").asc(), out="n").select("label", (F.col("n") - 1).alias("y"), (F.lit(float(n)) / (classes * F.col("c"))).alias("own"))
+    numbered = cut(numbered.withColumn("block", F.floor(F.col("y") / CLASS_BLOCK).cast("int")))
+    shards, blocks = -(-n // SHARD), -(-classes // CLASS_BLOCK)
+    rows = kept.join(vector(space.transform(kept, "example", "query_norm"), "example"), "example").join(numbered.select("label", "y"), "label")
+    rows = cut(rows.select("example", "f", "w", "y", F.pmod(F.xxhash64("example"), F.lit(shards)).cast("int").alias("shard")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    share = 1.0 / shards
+
+    def train(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("y")
+        ys, own, block = b.column("y").to_numpy(), b.column("own").to_numpy(), b.column("class_block")[0].as_py()
+        a = a.sort_by("example")
+        offsets, features, values = _segments(a)
+        names, local = np.unique(features, return_inverse=True)
+        w, bias = train_one_vs_rest(offsets, local, values, a.column("y").to_numpy()[:, None] == ys[None, :], own, epochs, rate, penalty)
+        # the bias is the row without a feature
+        stacked = np.vstack([w, bias]) * share
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, stacked.size + 1, len(ys)), pa.int32()), pa.array(stacked.ravel()))
+        return pa.table({"block": pa.array(np.full(len(stacked), block, np.int32)), "fid": pa.array([*names.tolist(), None], pa.int64()), "v": flat})
+
+    per_shard = numbered.select(F.col("block").alias("class_block"), "y", "own", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("class_shard"))
+    trained = rows.select("*", every).groupBy("block", "shard").cogroup(per_shard.groupBy("class_block", "class_shard")).applyInArrow(train, "block int, fid long, v array<double>")
+    if shards > 1:
+        add = lambda s, x: F.zip_with(s, x, lambda p, q: p + q)
+        trained = trained.groupBy("block", "fid").agg(F.collect_list("v").alias("all")).select("block", "fid", F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), add).alias("v"))
+    asked = queries.select("term_id", "query_norm")
+    terms = asked.select("term_id").distinct().join(vector(space.transform(asked, "term_id", "query_norm"), "term_id"), "term_id", "left")
+    turns = max(1, -(-asked.count() // TERM_BLOCK))
+    terms = terms.select("term_id", F.coalesce("f", F.array().cast("array<bigint>")).alias("f"), F.coalesce("w", F.array().cast("array<double>")).alias("w"), F.pmod(F.xxhash64("term_id"), F.lit(turns)).cast("int").alias("turn"))
+    kind = queries.schema["term_id"].dataType
+    schema = pa.schema([("term_id", to_arrow_type(kind)), ("y", pa.int64()), ("p", pa.float64())])
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        block, known = b.column("weight_block")[0].as_py(), b.column("fid").to_numpy(zero_copy_only=False)
+        matrix = b.column("v").combine_chunks().flatten().to_numpy().reshape(b.num_rows, -1)
+        bias = matrix[np.isnan(known.astype(float))][0]
+        order = np.argsort(np.where(np.isnan(known.astype(float)), np.iinfo(np.int64).max, b.column("fid").fill_null(np.iinfo(np.int64).max).to_numpy()))
+        ids = b.column("fid").fill_null(np.iinfo(np.int64).max).to_numpy()[order]
+        out: list[list] = [[], [], []]
+        for at in range(0, a.num_rows, 4096):
+            part = a.slice(at, 4096).combine_chunks()
+            offsets, features, values = _segments(part)
+            i = np.minimum(np.searchsorted(ids, features), len(ids) - 1)
+            hit = ids[i] == features
+            row = np.repeat(np.arange(part.num_rows), np.diff(offsets))[hit]
+            margin = np.tile(bias, (part.num_rows, 1))
+            for lo in range(0, len(row), 1 << 14):  # products in parts
+                some = slice(lo, lo + (1 << 14))
+                np.add.at(margin, row[some], matrix[order[i[hit][some]]] * values[hit][some][:, None])
+            p = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+            best = np.argsort(-p, axis=1, kind="stable")[:, :k]
+            terms_ = part.column("term_id").to_pylist()
+            out[0] += [t for t in terms_ for _ in range(best.shape[1] + 1)]
+            out[1] += np.hstack([best + block * CLASS_BLOCK, np.full((part.num_rows, 1), -1)]).ravel().tolist()
+            out[2] += np.hstack([np.take_along_axis(p, best, 1), p.sum(axis=1, keepdims=True)]).ravel().tolist()
+        return pa.table([pa.array(out[0], schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2])], schema=schema)
+
+    weights = trained.select(F.col("block").alias("weight_block"), "fid", "v", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("weight_turn"))
+    found = cut(terms.select("*", every).groupBy("block", "turn").cogroup(weights.groupBy("weight_block", "weight_turn")).applyInArrow(score, f"term_id {kind.simpleString()}, y long, p double"))
+    totals = found.where("y < 0").groupBy("term_id").agg(F.sum("p").alias("total"))
+    named = found.where("y >= 0").join(numbered.select("y", "label"), "y").join(totals, "term_id")
+    return top_k(named.select("term_id", "label", (F.col("p") / F.col("total")).alias("prob")), "term_id", "prob", "label", k)
