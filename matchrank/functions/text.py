@@ -20,19 +20,55 @@ AGE_ALLOWED = {"bebek": ("bebek", "unknown"), "cocuk": ("cocuk", "bebek", "unkno
 
 
 
-def _plain_letters() -> dict[str, str]:
-    """Latin letters that decompose to one ASCII letter and marks (NFKD), by rule, plus those with a stroke."""
-    out = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ƒ": "f"}
-    for code in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)):
+# fixed values: how letters and signs that don't decompose are spelled in ASCII
+STROKED = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ƒ": "f", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D"}
+GREEK = dict(zip("αβγδεζηθικλμνξοπρςστυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch ' y ' e iu ia io".split(), strict=True))
+SIGNS = {"™": "(tm)", "©": "(c)", "®": "(r)", "°": "deg", "±": "+-", "×": "x", "÷": "/", "·": "*", "€": "EUR", "–": "-", "—": "--", "‘": "'", "’": "'", "“": '"', "”": '"', "…": "...", "•": "*", "¼": " 1/4 ", "½": " 1/2 ", "¾": " 3/4 "}
+
+
+def decompositions() -> dict[str, str]:
+    """Letters and signs of the first plane that decompose (NFKD) to ASCII and marks, by rule."""
+    out = {}
+    for code in range(0xA0, 0x10000):
         base = "".join(ch for ch in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(ch))
-        if len(base) == 1 and "!" <= base <= "~":
+        if base != chr(code) and base and base.isascii():
             out[chr(code)] = base
     return out
 
 
-#: What remains after the fold table; its own entries come first.
-PLAIN = {k: v for k, v in _plain_letters().items() if k not in FOLD_FROM}
-_PLAIN_FROM, _PLAIN_TO = "".join(PLAIN), "".join(PLAIN.values())
+def spellings() -> dict[str, str]:
+    """``decompositions``, then signs, stroked, Greek and Cyrillic letters, marks of these dropped and capitals alike."""
+    lower = GREEK | CYRILLIC
+    marked = {}
+    for code in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        base = "".join(ch for ch in unicodedata.normalize("NFKD", chr(code).lower()) if not unicodedata.combining(ch))
+        own = chr(code).lower()
+        if own in lower or base in lower:
+            marked[chr(code)] = lower[own] if own in lower else lower[base]
+    return decompositions() | SIGNS | STROKED | marked
+
+
+def _tables(known: dict[str, str]) -> tuple[str, str, dict[str, str]]:
+    """Letters with one-letter spellings, these, and the others; the fold table's own entries come first."""
+    one = {k: v for k, v in known.items() if len(v) == 1 and k not in FOLD_FROM}
+    return "".join(one), "".join(one.values()), {k: v for k, v in known.items() if len(v) > 1 and k not in FOLD_FROM}
+
+
+#: What remains after the fold table: by transliteration, and by decomposition alone.
+_SPELLED = _tables(spellings())
+_DECOMPOSED = _tables(decompositions() | {k: v for k, v in STROKED.items() if len(v) == 1})
+
+def _spelled(c: Column, tables: tuple[str, str, dict[str, str]]) -> Column:
+    """``c`` with all letters of the tables replaced. ASCII rows are left as they are after one look; rows
+    with a letter of long spelling go through their characters."""
+    short_from, short_to, long = tables
+    letters = "".join(sorted(long))
+    short = F.translate(c, FOLD_FROM + short_from, FOLD_TO + short_to)
+    table = F.map_from_arrays(F.array(*map(F.lit, long)), F.array(*map(F.lit, long.values())))
+    by_letter = F.array_join(F.transform(F.split(short, ""), lambda x: F.when(F.contains(F.lit(letters), x) & (x != ""), F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.when(F.translate(c, letters, "") != c, by_letter).otherwise(short)).otherwise(c)
+
 
 _empty = "array<string>"
 
@@ -55,8 +91,9 @@ def _without_marks(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Letters of the fold table, then other Latin letters, to ASCII, then lower case."""
-    return F.lower(F.replace(F.translate(_text(c), FOLD_FROM + _PLAIN_FROM, FOLD_TO + _PLAIN_TO), F.lit("ß"), F.lit("ss")))
+    """Letters of the fold table, then other letters and signs that have a spelling (Latin, Greek and Cyrillic
+    letters, ligatures, enclosed and full-width forms), to ASCII, then lower case."""
+    return F.lower(F.replace(_spelled(_text(c), _SPELLED), F.lit("ß"), F.lit("ss")))
 
 
 def normalize_text(c: Column) -> Column:
@@ -71,19 +108,19 @@ def normalize_words(c: Column) -> Column:
 
 def normalize_hybrid(c: Column) -> Column:
     """Cleaned, lowered, dotless i to i, marks dropped by decomposition, the rest to single spaces."""
-    plain = F.translate(F.lower(clean_text(c)), "ı" + FOLD_FROM + _PLAIN_FROM, "i" + FOLD_TO + _PLAIN_TO)
+    plain = F.lower(_spelled(F.translate(F.lower(clean_text(c)), "ı", "i"), _DECOMPOSED))
     return F.trim(F.regexp_replace(_without_marks(plain), "[^a-z0-9]+", " "))
 
 
 def normalize_vector(c: Column) -> Column:
     """I and İ to i first, then as for ``fold``; ampersands, plus signs and all else to single spaces."""
-    plain = F.lower(F.translate(F.translate(_text(c), "Iİı", "iii"), FOLD_FROM + _PLAIN_FROM, FOLD_TO + _PLAIN_TO))
+    plain = F.lower(_spelled(F.translate(_text(c), "Iİı", "iii"), _DECOMPOSED))
     return F.trim(F.regexp_replace(_without_marks(plain), "[^0-9a-z]+", " "))
 
 
 def normalize_kept(c: Column) -> Column:
     """As ``normalize_vector`` but punctuation stays; only ampersands become spaces."""
-    plain = F.lower(F.translate(F.translate(_text(c), "Iİı", "iii"), FOLD_FROM + _PLAIN_FROM, FOLD_TO + _PLAIN_TO))
+    plain = F.lower(_spelled(F.translate(_text(c), "Iİı", "iii"), _DECOMPOSED))
     return F.trim(F.regexp_replace(F.replace(_without_marks(plain), F.lit("&"), F.lit(" ")), r"\s+", " "))
 
 
