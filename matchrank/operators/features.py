@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from matchrank.functions import fuzzy, text
 from matchrank.functions.text import coverage
 from matchrank.operators.category import lookup_arrays
-from matchrank.operators.retrieval import pair_similarity
+from matchrank.operators.retrieval import gathered_vectors, merged_similarities
 from matchrank.sources.contracts import require_known
 
 FIELDS = ("title", "category", "brand", "attributes")
@@ -44,6 +44,17 @@ def item_meta(items: DataFrame) -> DataFrame:
     return items.select("item_id", levels["cat_l1"].alias("item_cat_l1"), levels["cat_l2"].alias("item_cat_l2"), known("gender"), known("age_group"))
 
 
+# fixed value: the categories of the vector frame
+VECTOR_CATEGORIES = ("item_cat_l1", "item_cat_l2", "item_cat_l3", "item_brand", "item_gender", "item_age_group")
+
+
+def vector_meta(items: DataFrame) -> DataFrame:
+    """``item_meta`` with the third category level and the brand, which is ``unknown`` where it is empty."""
+    third = text.category_levels(F.col("category"))["cat_l3"].alias("item_cat_l3")
+    brand = F.coalesce(F.nullif(text.normalize_text(F.col("brand")), F.lit("")), F.lit("unknown")).alias("item_brand")
+    return item_meta(items).join(items.select("item_id", third, brand), "item_id")
+
+
 def join_pairs(pairs: DataFrame, terms: DataFrame, items: DataFrame, strict: bool = False, how: str = "inner") -> DataFrame:
     """Pairs with both dimensions; ``strict`` raises for unknown ids, else they drop out or, with
     ``how="left"``, keep nulls."""
@@ -164,16 +175,22 @@ def model_frame(pairs: DataFrame, terms: DataFrame, items: DataFrame, priors: di
 
 
 def vector_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, word, char) -> DataFrame:
-    """``id, term_id, item_id``, eight similarities, the lexical features, ``vector_score`` and item categories.
+    """``id, term_id, item_id``, eight similarities, the lexical features, ``vector_score`` and six item categories.
 
-    ``word`` and ``char`` are fitted spaces; each field is transformed with the corpus vocabulary
-    when it is asked for. ``weak_match`` here looks at coverages: below .34 over all fields and below .40 in each.
+    ``word`` and ``char`` are fitted spaces; each field is transformed with the corpus vocabulary, and an
+    entity's vectors of all fields are one row, so pairs join each side once. ``weak_match`` here looks at coverages: below .34 over all fields and below .40 in each.
     """
     t, i = terms.select(F.col("term_id").alias("query_id"), text.normalize_text(F.col("query")).alias("text")), items.select("item_id", *[text.normalize_text(F.col(f)).alias(f) for f in FIELDS])
     full = i.select("item_id", F.concat_ws(" ", *[F.col(f) for name, times in text.VECTOR_WEIGHTS.items() for f in [name] * times]).alias("text"))
     texts = {"full": full, **{f: i.select("item_id", F.col(f).alias("text")) for f in FIELDS}}
-    asked = pairs.select(F.col("term_id").alias("query_id"), "item_id")
-    out = pair_features(join_pairs(pairs, terms, items), ratios=False)
+    sides = [(f"{name}_sim_{f}", f"q_{name}", f"{name}_{f}") for name, fields in (("word", ("full", *FIELDS)), ("char", ("full", "title", "attributes"))) for f in fields]
+    spaces = {"word": word, "char": char}
+    asked = gathered_vectors({f"q_{n}": s.transform(t, "query_id") for n, s in spaces.items()}, "query_id").withColumnRenamed("query_id", "term_id")
+    held = gathered_vectors({part: spaces[part.split("_")[0]].transform(texts[part.split("_")[1]], "item_id") for _, _, part in sides}, "item_id")
+    # each side is one row of tokens and vectors, and pairs meet it in one join
+    terms_, items_ = term_dimension(terms).join(asked, "term_id", "left"), item_dimension(items).join(held, "item_id", "left").join(vector_meta(items), "item_id")
+    out = merged_similarities(pairs.join(terms_, "term_id").join(items_, "item_id"), sides)
+    out = pair_features(out, ratios=False)
     best = F.greatest("title_cov", "category_cov", "brand_cov", "attr_cov")
     shared = lambda f: F.size(F.filter("q_tokens", lambda x: F.array_contains(F.col(f"{f}_tokens"), x))).cast("double")
     out = out.withColumns(
@@ -185,14 +202,9 @@ def vector_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, word,
             "category_depth": F.when(F.col("category") == "", 0.0).otherwise(F.size(F.filter(F.split("category", "/"), lambda p: F.trim(p) != "")).cast("double")),
         }
     )
-    for space, name, fields in ((word, "word", ("full", *FIELDS)), (char, "char", ("full", "title", "attributes"))):
-        query = space.transform(t, "query_id")
-        for f in fields:
-            sim = pair_similarity(asked, query, space.transform(texts[f], "item_id")).select(F.col("query_id").alias("term_id"), "item_id", F.col("similarity").alias(f"{name}_sim_{f}"))
-            out = out.join(sim, ["term_id", "item_id"])
     score = sum(F.col(k) * w for k, w in VECTOR_WEIGHTS.items())
     keep = ["id", "term_id", "item_id", *[c for c in out.columns if "_sim_" in c], *VECTOR_LEXICAL]
-    return out.withColumn("vector_score", score).select(*keep, "vector_score").join(item_meta(items), "item_id")
+    return out.withColumn("vector_score", score).select(*keep, "vector_score", *VECTOR_CATEGORIES)
 
 
 # fixed value: the lexical features beside the similarities

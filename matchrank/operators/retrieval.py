@@ -16,6 +16,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
@@ -70,17 +71,62 @@ def fit_tfidf(corpora: list[tuple[DataFrame, str]], features: Callable[[Column],
     return Tfidf(cut(vocabulary(counts, [d for d, _ in corpora], min_df, max_features)), features)
 
 
+def gathered_vectors(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """One row per entity of all its vectors: ``key, <name>_f, <name>_w`` per part (long form ``key, fid, w``), by feature.
+
+    The parts are gathered in one shuffle; an entity without features of a part has empty arrays.
+    """
+    long = reduce(lambda a, b: a.unionByName(b), [v.select(key, "fid", "w", F.lit(name).alias("part")) for name, v in parts.items()])
+    own = lambda name: F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("fid", "w"))))
+    rows = long.groupBy(key).agg(*[own(name).alias(name) for name in parts])
+    return rows.select(key, *[F.col(f"{name}.{c}").alias(f"{name}_{c[0]}") for name in parts for c in ("fid", "w")])
+
+
+def merged_similarities(pairs: DataFrame, sides: list[tuple[str, str, str]]) -> DataFrame:
+    """``pairs`` with a column per ``(out, query part, item part)``, the dot product of two gathered vectors of the row,
+    and without the vectors.
+
+    All similarities of a pair are taken in one pass over its row: both sides' features are in order, so a
+    batch of pairs is one sorted list of (pair, feature) per part and two lists are intersected.
+    """
+    parts = list(dict.fromkeys(x for _, a, b in sides for x in (a, b)))
+    keep = [c for c in pairs.columns if c not in {f"{p}_{c}" for p in parts for c in "fw"}]
+    fields = [f for f in pairs.schema.fields if f.name in keep]
+    kind = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{out} double" for out, _, _ in sides])
+
+    def entries(b: pa.RecordBatch, part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f, w = b.column(f"{part}_f"), b.column(f"{part}_w")
+        sizes = pc.fill_null(pc.list_value_length(f), 0).to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(b.num_rows), sizes), f.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {p: entries(b, p) for p in parts}
+            names = np.unique(np.concatenate([f for _, f, _ in found.values()]))
+            # a pair's features keep their order as numbers, so these keys ascend
+            keyed = {p: (row * len(names) + np.searchsorted(names, f), w, row) for p, (row, f, w) in found.items()}
+            out = []
+            for _, q, i in sides:
+                (qk, qw, row), (ik, iw, _) = keyed[q], keyed[i]
+                at = np.minimum(np.searchsorted(ik, qk), max(len(ik) - 1, 0))
+                hit = ik[at] == qk if len(ik) else np.zeros(len(qk), bool)
+                total = np.zeros(b.num_rows)
+                np.add.at(total, row[hit], qw[hit] * iw[at[hit]])
+                out.append(pa.array(total))
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], *out], [*[f.name for f in fields], *[o for o, _, _ in sides]])
+
+    return pairs.mapInArrow(run, kind)
+
+
 def pair_similarity(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
     """``query_id, item_id, similarity`` of given pairs: the sum over shared features, 0 if there are none.
 
     Each side's vector is gathered to one row first, so a pair moves two rows and not its features;
     vectors are as long as their documents.
     """
-    vector = lambda df, key, name: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("fid", "w"))).alias(name))
     once = pairs.select("query_id", "item_id").distinct()
-    both = once.join(vector(queries, "query_id", "_q"), "query_id", "left").join(vector(items, "item_id", "_i"), "item_id", "left")
-    shared = F.aggregate(F.map_keys("_q"), F.lit(0.0), lambda s, k: s + F.coalesce(F.try_element_at("_q", k) * F.try_element_at("_i", k), F.lit(0.0)))
-    return both.select("query_id", "item_id", F.coalesce(shared, F.lit(0.0)).alias("similarity"))
+    both = once.join(gathered_vectors({"q": queries}, "query_id"), "query_id", "left").join(gathered_vectors({"i": items}, "item_id"), "item_id", "left")
+    return merged_similarities(both, [("similarity", "q", "i")]).select("query_id", "item_id", "similarity")
 
 
 def two_space_similarity(pairs: DataFrame, word: tuple[DataFrame, DataFrame], char: tuple[DataFrame, DataFrame], share: float = 0.65) -> DataFrame:

@@ -477,6 +477,8 @@ _known = lambda c: f"CASE WHEN {q.normalize(c)} = '' THEN 'unknown' ELSE {q.norm
 _level_of = {"cat_l1": "CASE WHEN length(x) > 0 THEN x[1] ELSE 'unknown' END", "cat_l2": "CASE WHEN length(x) > 0 THEN array_to_string(x[1:2], '/') ELSE 'unknown' END"}
 _meta = f"meta AS (SELECT item_id, {', '.join(f'{e} AS item_{k}' for k, e in _level_of.items())}, {_known('gender')} AS item_gender, {_known('age_group')} AS item_age_group FROM (SELECT *, {q.parts('category')} AS x FROM items))"
 
+_vector_meta = f"""meta AS (SELECT item_id, {', '.join(f'{e} AS item_{k}' for k, e in (_level_of | {'cat_l3': "CASE WHEN length(x) > 0 THEN array_to_string(x[1:3], '/') ELSE 'unknown' END"}).items())}, {_known('brand')} AS item_brand, {_known('gender')} AS item_gender, {_known('age_group')} AS item_age_group FROM (SELECT *, {q.parts('category')} AS x FROM items))"""
+
 
 def _prior_columns(level: str) -> str:
     r = f"coalesce({level}_m.rank, 0)"
@@ -548,13 +550,13 @@ def _vector_spaces(spark: SparkSession, sf: str) -> tuple[retrieval.Tfidf, retri
     return tuple(retrieval.fit_tfidf([(t, "query_id"), (i, "item_id")], f) for f in (rq._grams, rq._chars))
 
 
-@register(f"""{_positive_pairs}, {_spaces_sql}, w AS (SELECT *, CASE WHEN full_cov < 0.34 AND greatest(title_cov, category_cov, brand_cov, attr_cov) < 0.40 THEN 1.0 ELSE 0.0 END AS weak FROM f)
-SELECT w.id, {', '.join(f'round({n}_sim_{x}.s, 6) AS {n}_sim_{x}' for n, x in _sims)}, greatest(title_cov, category_cov, brand_cov, attr_cov) AS max_field_cov, round({_vector_sql} - 0.85 * weak, 6) AS vector_score
-FROM w {' '.join(f'JOIN {n}_sim_{x} ON {n}_sim_{x}.id = w.id' for n, x in _sims)}""")
+@register(f"""{_positive_pairs}, {_spaces_sql}, {_vector_meta}, w AS (SELECT *, CASE WHEN full_cov < 0.34 AND greatest(title_cov, category_cov, brand_cov, attr_cov) < 0.40 THEN 1.0 ELSE 0.0 END AS weak FROM f)
+SELECT w.id, {', '.join(f'round({n}_sim_{x}.s, 6) AS {n}_sim_{x}' for n, x in _sims)}, greatest(title_cov, category_cov, brand_cov, attr_cov) AS max_field_cov, round({_vector_sql} - 0.85 * weak, 6) AS vector_score, {', '.join(features.VECTOR_CATEGORIES)}
+FROM w JOIN (SELECT id AS pair_id, item_id FROM pairs) o ON pair_id = w.id JOIN meta ON meta.item_id = o.item_id {' '.join(f'JOIN {n}_sim_{x} ON {n}_sim_{x}.id = w.id' for n, x in _sims)}""")
 def vector_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-field similarities with one vocabulary, the score of 23 terms."""
+    """Per-field similarities with one vocabulary, the score of 23 terms, six categories."""
     out = features.vector_features(_pairs_of_positives(spark, sf), terms(spark, sf), items(spark, sf), *_vector_spaces(spark, sf))
-    return out.select("id", *[F.round(f"{n}_sim_{x}", 6).alias(f"{n}_sim_{x}") for n, x in _sims], "max_field_cov", F.round("vector_score", 6).alias("vector_score"))
+    return out.select("id", *[F.round(f"{n}_sim_{x}", 6).alias(f"{n}_sim_{x}") for n, x in _sims], "max_field_cov", F.round("vector_score", 6).alias("vector_score"), *features.VECTOR_CATEGORIES)
 
 
 @register(f"{_positive_pairs}, {_spaces_sql} SELECT p.term_id, p.item_id, round(a.s, 6) AS word, round(b.s, 6) AS char, round(0.65 * a.s + 0.35 * b.s, 6) AS similarity FROM pairs p JOIN word_sim_full a ON a.id = p.id JOIN char_sim_full b ON b.id = p.id")
