@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions import text
-from matchrank.operators import category, draws, metrics, models, negatives, retrieval, slates, splits
+from matchrank.operators import category, draws, latent, metrics, models, negatives, retrieval, slates, splits
 from matchrank.operators.lineage import cut
 from matchrank.operators.ranking import place
 from matchrank.plans import sqltext as q
@@ -265,6 +265,39 @@ def hybrid_slate(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("semantic_rank_pct", F.round("semantic_rank_pct", 9))
 
 
+def _latent(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Terms and items encoded by the truncated SVD of the items' n-gram space."""
+    t, i = _sides(spark, sf)
+    space = retrieval.fit_tfidf([(t, "query_id"), (i, "item_id")], _grams)
+    x = cut(space.transform(i, "item_id"))
+    encoder = latent.fit(x, "item_id")
+    return cut(encoder.encode(space.transform(t, "query_id"), "query_id")), cut(encoder.encode(x, "item_id"))
+
+
+@register()
+def latent_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """T10, T12 with an encoder that learns: the first 100 items of each term by cosine in its latent space."""
+    return retrieval.dense_top_k(*_latent(spark, sf), 100)
+
+
+@register()
+def hybrid_slate_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """L2 with a dense pool of its own: lexical rows, the latent space's nearest, uniform rows, positives, and
+    the latent cosine of every candidate."""
+    p, (q_, i_) = positives(spark, sf), _latent(spark, sf)
+    pool = cut(retrieval.dense_top_k(q_, i_, 100).withColumnRenamed("query_id", "term_id"))
+    cosine = lambda pairs: retrieval.pair_cosine(pairs, q_, i_).select("query_id", "item_id", F.col("cosine").alias("similarity"))
+    return slates.hybrid_slate(_lexical(spark, sf), pool, p, items(spark, sf), splits.term_folds(p), cosine)
+
+
+@register()
+def latent_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of each term's first 10 items of the sparse space are among the first 10, 50 and 100 of the latent one."""
+    wanted = _lexical(spark, sf, 10).select("term_id", "item_id")
+    pool = retrieval.dense_top_k(*_latent(spark, sf), 100).withColumnRenamed("query_id", "term_id")
+    return metrics.recall_at(pool, wanted, "rank", [10, 50, 100])
+
+
 _examples = f"""ex AS (SELECT DISTINCT {q.normalize('query')} AS query_norm, {q.normalize("split_part(category, '/', 1)")} AS cat_l1, {q.normalize('category')} AS cat_l2 FROM positives JOIN terms USING (term_id) JOIN items USING (item_id))"""
 
 
