@@ -38,6 +38,9 @@ CUTS = (0.25, 0.0625)
 #: (item, term) pairs that a search holds at once, and terms that an index can be restricted to while it
 #: reads; more items are searched in turns, more terms are restricted by a join.
 PAIRS, ASKED = 1 << 18, 1 << 18
+#: Rows (finalist, term) up to which Spark may send them to every task; more are joined by a sort, however small
+#: their files are.
+SENT = 1 << 17
 
 
 def terms(text: Column) -> Column:
@@ -313,6 +316,8 @@ def _exact(index: Index, asked: dict[int, list], tier: int, k: int, id_type: str
     query = _small(spark, item=pa.array([n for n, _ in rows], pa.int32()), term=pa.array([r.term for _, r in rows], pa.string()), weight=pa.array([r.weight for _, r in rows], pa.int64()))
     final = sums.join(edges, "item").where("high >= edge").select("item", "block", "at", "doc_id")
     wanted = materialize(final.join(query, "item"), "lexical-finalists")
+    if wanted.count() > SENT:
+        wanted = wanted.hint("merge")
     hit = index.postings.select("block", "term", F.col("at").alias("places"), "gain").join(wanted, ["block", "term"]).withColumn("p", F.array_position("places", F.col("at"))).where("p > 0")
     exact = hit.groupBy("item", "block", "at", "doc_id").agg(F.sum(F.col("weight") * F.element_at("gain", F.col("p").cast("int"))).alias("score"))
     return materialize(exact, f"lexical-exact-{tier}")

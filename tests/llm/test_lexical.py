@@ -72,6 +72,7 @@ def test_turns_and_asked_by_a_join(spark, world, monkeypatch):
     docs, items, d, i = world
     monkeypatch.setattr(lexical, "PAIRS", 12)
     monkeypatch.setattr(lexical, "ASKED", 3)
+    monkeypatch.setattr(lexical, "SENT", 0)
     got = _answers(lexical.search(lexical.build(d, asked=i.select(F.explode(lexical.terms(F.col("text"))).alias("term"))), i, 3))
     assert got == {k: v for k, v in _brute(sorted(docs, key=lambda r: (r[0] is None, r[0])), items, 3).items() if v}
 
