@@ -93,3 +93,8 @@ def file_fingerprint(path: str | Path, sample: int | None = 1 << 20) -> dict:
 def canonical_fingerprint(value: object) -> str:
     """SHA-256 of the JSON form with sorted keys."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def canonical_hash(*names: str) -> Column:
+    """``canonical_fingerprint`` of a row's named columns, as a column."""
+    return F.sha2(F.to_json(F.struct(*sorted(names))), 256)

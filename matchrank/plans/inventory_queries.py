@@ -3,6 +3,8 @@ with defaults, splits, recipes, priors, model frames, vector features, mining au
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -151,14 +153,24 @@ def items_in_order(spark: SparkSession, sf: str) -> DataFrame:
 @register(f"""{S} SELECT (SELECT count(*) - count(DISTINCT p_partkey) FROM part) AS repeated, (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)) AS unknown,
 (SELECT count(*) FROM scored WHERE label NOT IN (0, 1)) AS odd_labels, (SELECT count(*) FROM lineitem WHERE l_discount NOT BETWEEN 0 AND 1) AS out_of_range, (SELECT count(*) FROM orders WHERE o_orderkey IS NULL) AS gaps""")
 def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Each check raises where SQL would count."""
-    part = table(spark, sf, "part")
+    """Each check raises where SQL counts; the counts are of the same tables."""
+    part, lines, labels, orders = table(spark, sf, "part"), _lines(spark, sf), scored(spark, sf), table(spark, sf, "orders")
+    used = lines.select(F.col("l_partkey").alias("p_partkey"))
     contracts.require_unique(part, "p_partkey")
-    contracts.require_known(_lines(spark, sf).select(F.col("l_partkey").alias("p_partkey")), part, "p_partkey")
-    contracts.require_binary(scored(spark, sf), "label", both=True)
-    contracts.require_range(_lines(spark, sf), "l_discount", 0, 1)
-    contracts.require_complete(table(spark, sf, "orders"), "o_orderkey")
-    return spark.range(1).select(*[F.lit(0).cast("long").alias(n) for n in ("repeated", "unknown", "odd_labels", "out_of_range", "gaps")])
+    contracts.require_known(used, part, "p_partkey")
+    contracts.require_binary(labels, "label", both=True)
+    contracts.require_range(lines, "l_discount", 0, 1)
+    contracts.require_complete(orders, "o_orderkey")
+    n = F.count(F.lit(1))
+    counts = [
+        part.agg((n - F.countDistinct("p_partkey")).alias("repeated")),
+        used.join(part, "p_partkey", "left_anti").agg(n.alias("unknown")),
+        labels.where("label NOT IN (0, 1)").agg(n.alias("odd_labels")),
+        lines.where("l_discount NOT BETWEEN 0 AND 1").agg(n.alias("out_of_range")),
+        orders.where("o_orderkey IS NULL").agg(n.alias("gaps")),
+    ]
+    # one row each
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), counts)
 
 
 # --- rows, joins, groups
@@ -363,10 +375,11 @@ def normalized_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("vec_id", F.round(F.element_at("v", 1), 9).alias("first"), F.round(F.element_at("v", -1), 9).alias("last"))
 
 
-@register("""SELECT sha256('{"a":[1,2],"b":"é"}') AS config""")
+@register("""SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || '}') AS config FROM part""")
 def config_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """Key order doesn't matter."""
-    return spark.range(1).select(F.lit(numeric.canonical_fingerprint({"b": "é", "a": [1, 2]})).alias("config"))
+    """Fingerprints of each part's settings, whatever the order of their names."""
+    part = table(spark, sf, "part")
+    return part.select("p_partkey", numeric.canonical_hash("p_size", "p_name", "p_brand").alias("config"))
 
 
 # --- blends and decisions

@@ -76,3 +76,17 @@ def test_numbers(spark):
     f1 = spark.createDataFrame([(2, 1, 1, 6), (0, 0, 0, 0)], "tp int, fp int, fn int, tn int").select(numeric.macro_f1(*map(F.col, ("tp", "fp", "fn", "tn"))).alias("f")).collect()
     assert f1[0].f == pytest.approx(0.5 * (4 / 6 + 12 / 14)) and f1[1].f == 0
     assert isinstance(pd.Series([1]), pd.Series)
+
+
+def test_fingerprints_of_rows_and_files(spark, tmp_path):
+    from matchrank.functions import numeric
+
+    df = spark.createDataFrame([("x", 1, "é"), ("y", 2, "z")], "b string, a int, c string")
+    got = {r.b: r.h for r in df.select("b", numeric.canonical_hash("c", "a", "b").alias("h")).collect()}
+    assert got == {b: numeric.canonical_fingerprint({"a": a, "b": b, "c": c}) for b, a, c in df.collect()}
+    p = tmp_path / "f"
+    p.write_bytes(b"abcdefgh" * 10)
+    whole, ends = numeric.file_fingerprint(p, None), numeric.file_fingerprint(p, 8)
+    assert whole["size"] == 80 and whole["sha256"] == __import__("hashlib").sha256(p.read_bytes()).hexdigest() != ends["sha256"]
+    p.write_bytes(b"abcdefgh" + b"x" * 64 + b"abcdefgh")
+    assert numeric.file_fingerprint(p, 8)["sha256"] == ends["sha256"] and numeric.file_fingerprint(p, None)["sha256"] != whole["sha256"]
