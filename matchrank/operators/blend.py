@@ -46,9 +46,10 @@ def ranked(df: DataFrame, names: list[str], scope: str | None) -> DataFrame:
     return df
 
 
-def two_level(aligned: DataFrame, trees: dict[str, float], model: str, share: float = 0.5, scope: str | None = "term_id", rerank: bool = True) -> DataFrame:
-    """Ranks of the tree scores are blended, ranked again and blended with the model's ranks."""
-    out = ranked(aligned, [*trees, model], scope).withColumn("trees", weighted(trees))
+def two_level(aligned: DataFrame, trees: dict[str, float], model: str, share: float = 0.5, scope: str | None = "term_id", rerank: bool = True, digits: int = 9) -> DataFrame:
+    """Ranks of the tree scores are blended, ranked again and blended with the model's ranks. Blends are
+    rounded to ``digits`` before they are ranked, so that equal ones tie."""
+    out = ranked(aligned, [*trees, model], scope).withColumn("trees", F.round(weighted(trees), digits))
     if rerank:
         out = ranked(out, ["trees"], scope)
     return out.withColumn("score", weighted({"trees": share, model: 1 - share}))

@@ -186,9 +186,7 @@ def _pct(c: str, key: str) -> str:
 t AS (SELECT *, round(0.7 * price + 0.3 * other, 9) AS trees FROM r), u AS (SELECT id, term_id, third, {_pct('trees', 'term_id')} AS trees FROM t)
 SELECT id, term_id, round(0.5 * trees + 0.5 * third, 9) AS score FROM u""")
 def two_level_blend(spark: SparkSession, sf: str) -> DataFrame:
-    out = blend.ranked(_aligned(spark, sf), ["price", "other", "third"], "term_id")
-    out = out.withColumn("trees", F.round(blend.weighted({"price": 0.7, "other": 0.3}), 9))
-    out = blend.ranked(out, ["trees"], "term_id").withColumn("score", F.round(blend.weighted({"trees": 0.5, "third": 0.5}), 9))
+    out = blend.two_level(_aligned(spark, sf), {"price": 0.7, "other": 0.3}, "third").withColumn("score", F.round("score", 9))
     return out.select("id", "term_id", "score")
 
 
