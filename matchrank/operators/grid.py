@@ -22,8 +22,8 @@ from matchrank.functions.numeric import macro_f1
 from matchrank.operators.lineage import cut
 from matchrank.operators.ranking import place
 
-#: Scores are told apart to 12 digits; a bin is a digit of 12 bits of the order.
-SCALE, BITS = 10**12, 12
+#: Scores are told apart to 12 digits; a bin is a digit of 14 bits of the order, three of which hold a score between 0 and 1.
+SCALE, BITS = 10**12, 14
 #: Rows of a term that are ordered at once; a larger term is worked off in chunks and their survivors.
 CHUNK = 1 << 16
 
@@ -48,6 +48,11 @@ def _unpacked(column: pa.Array, width: int) -> np.ndarray:
     return np.unpackbits(raw, axis=1, count=width).astype(bool)
 
 
+def _slots(df: DataFrame) -> int:
+    """Partitions for work that costs more than its bytes tell, which would be merged for being small."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _worst_rows(rows: DataFrame, weights: np.ndarray, bases: list[int]) -> DataFrame:
     """``rows`` with ``free``: a bit per base and weighting that is set for the term's ``base`` worst rows.
 
@@ -96,7 +101,7 @@ def _worst_rows(rows: DataFrame, weights: np.ndarray, bases: list[int]) -> DataF
         sizes = open_rows.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("chunks"))
         dealt = open_rows.join(sizes, "term").withColumn("_g", F.xxhash64("term", F.pmod(F.xxhash64("pos"), F.col("chunks"))))
         # a group is a run of one key of a partition; terms whose hashes collide would only share a sort if they had one key
-        sorted_rows = dealt.withColumn("_t", F.xxhash64("term")).repartition("_t", "_g").sortWithinPartitions("_t", "_g").select(*names, "free", "chunks", "_g")
+        sorted_rows = dealt.withColumn("_t", F.xxhash64("term")).repartition(_slots(rows), "_t", "_g").sortWithinPartitions("_t", "_g").select(*names, "free", "chunks", "_g")
         marked = cut(sorted_rows.mapInArrow(mark, f"{kind}, chunks long, free binary"))
         none = F.lit(bytearray(len(every)))
         parts.append(marked.where((F.col("chunks") == 1) | (F.col("free") == none)).drop("chunks"))
@@ -137,7 +142,7 @@ def grid_curve(aligned: DataFrame, weights: list[dict[str, float]], rates: list[
     if not n:
         return spark.createDataFrame([], "weight_id int, base int, rate double, macro_f1 double, mandatory_count long")
     held = [b for b in bases if b > 0]
-    marked = cut(_worst_rows(rows, matrix, held)) if held else rows.withColumn("free", F.lit(bytearray(b"")))
+    marked = cut(_worst_rows(rows, matrix, held)) if held else cut(rows.repartition(_slots(rows), "pos").withColumn("free", F.lit(bytearray(b""))))
     marked = marked.select("label", "pos", "free", *[f"c{i}" for i in range(len(names))])
     low = int(np.floor(min(float(x) * s for x in limits[0::2] for s in (matrix.sum(1).min(), matrix.sum(1).max())) * SCALE)) - 1
     high = int(np.ceil(max(float(x) * s for x in limits[1::2] for s in (matrix.sum(1).min(), matrix.sum(1).max())) * SCALE)) + 1
