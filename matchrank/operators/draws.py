@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import stable_hash
-from matchrank.operators.lineage import cut
+from matchrank.operators.lineage import cut, sorted_join
 from matchrank.operators.ranking import place
 from matchrank.sources.contracts import ContractError
 
@@ -76,20 +76,20 @@ def draw(terms: DataFrame, taken: DataFrame, items: DataFrame, seed: str, reject
     size = a * b if n else 0
     asked = terms.where("n > 0").select("term_id", "n", F.lit(0).cast("long").alias("have"), round_keys(seed, F.col("term_id")).alias("keys"))
     # what a term has taken is lost on the way: the first round has so many steps that most terms need no other
-    used = taken.join(asked.select("term_id"), "term_id", "left_semi").groupBy("term_id").agg(F.count(F.lit(1)).alias("used"))
+    used = taken.join(sorted_join(asked.select("term_id")), "term_id", "left_semi").groupBy("term_id").agg(F.count(F.lit(1)).alias("used"))
     share = F.greatest(F.lit(n) - F.coalesce("used", F.lit(0)), F.lit(1)) / max(n, 1)
-    asked = cut(asked.join(used, "term_id", "left").withColumn("to", F.least(F.lit(size), F.ceil((F.col("n") + 4) * 1.25 / share)).cast("long")).withColumn("from", F.lit(0).cast("long")).drop("used"))
+    asked = cut(asked.join(sorted_join(used), "term_id", "left").withColumn("to", F.least(F.lit(size), F.ceil((F.col("n") + 4) * 1.25 / share)).cast("long")).withColumn("from", F.lit(0).cast("long")).drop("used"))
     rounds: list[DataFrame] = []
     while True:
         steps = asked.where("from < to").select("term_id", "keys", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("step"))
-        met = steps.select("term_id", "step", permuted(F.col("step"), F.col("keys"), n).alias("place")).join(catalog, "place").drop("place")
-        free = met.join(taken.select("term_id", "item_id"), ["term_id", "item_id"], "left_anti")
+        met = steps.select("term_id", "step", permuted(F.col("step"), F.col("keys"), n).alias("place")).join(sorted_join(catalog), "place").drop("place")
+        free = met.join(sorted_join(taken.select("term_id", "item_id")), ["term_id", "item_id"], "left_anti")
         if reject is not None:
             free = cut(free)
-            free = free.join(reject(free.select("term_id", "item_id")).select("term_id", "item_id"), ["term_id", "item_id"], "left_anti")
+            free = free.join(sorted_join(reject(free.select("term_id", "item_id")).select("term_id", "item_id")), ["term_id", "item_id"], "left_anti")
         rounds.append(cut(free))
         got = rounds[-1].groupBy("term_id").agg(F.count(F.lit(1)).alias("got"))
-        left = asked.join(got, "term_id", "left").withColumn("have", F.col("have") + F.coalesce("got", F.lit(0))).where("have < n")
+        left = asked.join(sorted_join(got), "term_id", "left").withColumn("have", F.col("have") + F.coalesce("got", F.lit(0))).where("have < n")
         asked = cut(left.select("term_id", "n", "have", "keys", F.col("to").alias("from"), F.least(F.lit(size).cast("long"), F.col("to") * GROWTH).alias("to")))
         if not asked.where("from < to").limit(1).count():
             break
@@ -97,4 +97,4 @@ def draw(terms: DataFrame, taken: DataFrame, items: DataFrame, seed: str, reject
         raise ContractError(f"{asked.count()} terms find too few free items, first {row['term_id']!r}: {row['have']} of {row['n']}")
     found = reduce(lambda x, y: x.unionByName(y), rounds)
     ranked = found.withColumn("pick", F.row_number().over(Window.partitionBy("term_id").orderBy("step")))
-    return ranked.join(terms.select("term_id", "n"), "term_id").where("pick <= n").select("term_id", "item_id", "pick")
+    return ranked.join(sorted_join(terms.select("term_id", "n")), "term_id").where("pick <= n").select("term_id", "item_id", "pick")

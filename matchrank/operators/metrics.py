@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchrank.functions.numeric import budget, macro_f1
 from matchrank.operators.decisions import mandatory_rows
-from matchrank.operators.lineage import cut
+from matchrank.operators.lineage import cut, sorted_join
 from matchrank.operators.ranking import describe, positions
 
 
@@ -64,7 +64,7 @@ def threshold_scan(df: DataFrame, low: float, high: float, step: float, score: s
 
 def recall_at(retrieved: DataFrame, positives: DataFrame, rank: str, ks: list[int]) -> DataFrame:
     """``k, hits, positives, recall`` of (term_id, item_id) pairs."""
-    hit = positives.join(retrieved.select("term_id", "item_id", rank), ["term_id", "item_id"], "left")
+    hit = positives.join(sorted_join(retrieved.select("term_id", "item_id", rank)), ["term_id", "item_id"], "left")
     sums = hit.agg(F.count(F.lit(1)).alias("positives"), *[F.coalesce(F.sum((F.col(rank) <= k).cast("long")), F.lit(0)).alias(f"h{k}") for k in ks])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("hits")) for k in ks])).alias("x")
     return sums.select(rows, "positives").select("x.k", "x.hits", "positives", (F.col("x.hits") / F.greatest("positives", F.lit(1))).alias("recall"))
@@ -96,7 +96,7 @@ def recall_variants(lexical: DataFrame, embedding: DataFrame, positives: DataFra
     pools = {"tfidf": first(lexical), "embedding": first(embedding)}
     marked = positives.select("term_id", "item_id").distinct()
     for name, pool in pools.items():
-        marked = marked.join(pool.withColumn(name, F.lit(1)), ["term_id", "item_id"], "left")
+        marked = marked.join(sorted_join(pool.withColumn(name, F.lit(1))), ["term_id", "item_id"], "left")
     hits = {"tfidf": F.col("tfidf"), "embedding": F.col("embedding"), "hybrid": F.coalesce("tfidf", "embedding")}
     sums = marked.agg(F.count(F.lit(1)).alias("positives"), *[F.count(c).alias(n) for n, c in hits.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("hits")) for n in hits])).alias("x")

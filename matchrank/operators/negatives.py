@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from matchrank.functions.numeric import jaccard, stable_hash
 from matchrank.operators.draws import draw
-from matchrank.operators.lineage import cut
+from matchrank.operators.lineage import cut, sorted_join
 from matchrank.operators.ranking import quantiles
 from matchrank.operators.splits import sample_at_most
 from matchrank.sources.contracts import ContractError, require_columns, require_disjoint, require_range, require_unique
@@ -24,7 +24,7 @@ SCORE_BANDS = {"low": (float("-inf"), 2.0, 350_000), "mid": (2.0, 4.5, 350_000),
 
 def minus_positives(candidates: DataFrame, positives: DataFrame) -> DataFrame:
     """Distinct candidate pairs that aren't positive."""
-    return candidates.dropDuplicates(["term_id", "item_id"]).join(positives.select("term_id", "item_id"), ["term_id", "item_id"], "left_anti")
+    return candidates.dropDuplicates(["term_id", "item_id"]).join(sorted_join(positives.select("term_id", "item_id")), ["term_id", "item_id"], "left_anti")
 
 
 def score_bands(scored: DataFrame, bands: dict[str, tuple[float, float, int]] = SCORE_BANDS, seed: str = "band", key: str = "id", allow: bool = True, closed_above: bool = False) -> DataFrame:
@@ -77,7 +77,7 @@ def tfidf_bands(ranked: DataFrame, positives: DataFrame, items: DataFrame, hard:
     hard_out = hard_rows.where(F.col("p") <= hard).select("term_id", "item_id", F.lit("hard").alias("negative_band"), F.col("score").alias("tfidf_score"))
     rest = hard_rows.where(F.col("p") > hard).withColumn("r", F.row_number().over(w.orderBy(_order("term_id", "item_id", seed), "item_id")))
     mid_out = rest.where(F.col("r") <= mid).select("term_id", "item_id", F.lit("mid").alias("negative_band"), F.col("score").alias("tfidf_score"))
-    taken = ranked.select("term_id", "item_id").unionByName(positives.select("term_id", "item_id").join(ranked.select("term_id").distinct(), "term_id", "left_semi")).distinct()
+    taken = ranked.select("term_id", "item_id").unionByName(positives.select("term_id", "item_id").join(sorted_join(ranked.select("term_id").distinct()), "term_id", "left_semi")).distinct()
     easy_out = uniform(taken, items, easy, seed + "-easy").select("term_id", "item_id", F.lit("easy").alias("negative_band"), F.lit(0.0).alias("tfidf_score"))
     return hard_out.unionByName(mid_out).unionByName(easy_out)
 
@@ -103,13 +103,13 @@ class NearCopies:
         once = items.select("item_id", "title", "brand", F.array_distinct("tokens").alias("tokens"))
         each = once.select("item_id", F.explode("tokens").alias("t"))
         rarity = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-        ordered = each.join(rarity, "t").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("o"))
+        ordered = each.join(sorted_join(rarity), "t").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("o"))
         first = F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.lit(least) * F.size("o") - 1e-9) + 1).cast("int"))
         # two empty titles are equal: they meet on a token that no title has
         none = F.array(F.lit(""))
-        self.items = cut(once.join(ordered, "item_id", "left").select("item_id", "title", "brand", "tokens", F.coalesce(first, none).alias("first")))
+        self.items = cut(once.join(sorted_join(ordered), "item_id", "left").select("item_id", "title", "brand", "tokens", F.coalesce(first, none).alias("first")))
         known = positives.select("term_id", "item_id").distinct()
-        facts = known.join(self.items, "item_id")
+        facts = known.join(sorted_join(self.items), "item_id")
         self.positives = known
         self.titles = cut(facts.select("term_id", "title", "brand").distinct())
         self.sets = cut(facts.select("term_id", F.array_sort("tokens").alias("p"), F.array_sort("first").alias("f")).distinct().select("term_id", "p", F.explode("f").alias("t")))
@@ -117,10 +117,10 @@ class NearCopies:
     def __call__(self, candidates: DataFrame) -> DataFrame:
         """The pairs ``term_id, item_id`` of ``candidates`` that are near copies."""
         pairs = candidates.select("term_id", "item_id").distinct()
-        both = pairs.join(self.items, "item_id")
-        same = pairs.join(self.positives, ["term_id", "item_id"], "left_semi")
-        titled = both.join(self.titles, ["term_id", "title", "brand"], "left_semi").select("term_id", "item_id")
-        met = both.select("term_id", "item_id", "tokens", F.explode("first").alias("t")).join(self.sets, ["term_id", "t"])
+        both = pairs.join(sorted_join(self.items), "item_id")
+        same = pairs.join(sorted_join(self.positives), ["term_id", "item_id"], "left_semi")
+        titled = both.join(sorted_join(self.titles), ["term_id", "title", "brand"], "left_semi").select("term_id", "item_id")
+        met = both.select("term_id", "item_id", "tokens", F.explode("first").alias("t")).join(sorted_join(self.sets), ["term_id", "t"])
         small, large = F.least(F.size("tokens"), F.size("p")), F.greatest(F.size("tokens"), F.size("p"))
         alike = met.where((small >= self.least * large - 1e-9) & (jaccard(F.col("tokens"), F.col("p")) >= self.least)).select("term_id", "item_id")
         return same.unionByName(titled).unionByName(alike).distinct()
@@ -132,14 +132,14 @@ def near_duplicates_of_positives(candidates: DataFrame, positives: DataFrame, it
 
 
 def without_near_duplicates(candidates: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return candidates.join(near(candidates), ["term_id", "item_id"], "left_anti")
+    return candidates.join(sorted_join(near(candidates)), ["term_id", "item_id"], "left_anti")
 
 
 def rank_band(pool: DataFrame, chosen: DataFrame | None, low: int, high: int, n: int, source: str, seed: str) -> DataFrame:
     """``n`` rows per term of ranks low..high by hash, those already chosen left out, in rank order."""
     rows = pool.where(F.col("rank").between(low, high))
     if chosen is not None:
-        rows = rows.join(chosen.select("term_id", "item_id"), ["term_id", "item_id"], "left_anti")
+        rows = rows.join(sorted_join(chosen.select("term_id", "item_id")), ["term_id", "item_id"], "left_anti")
     r = F.row_number().over(Window.partitionBy("term_id").orderBy(_order("term_id", "item_id", seed), "item_id"))
     return rows.withColumn("_r", r).where(F.col("_r") <= n).select("term_id", "item_id", F.lit(source).alias("negative_source"), F.col("rank").alias("source_rank"), F.col("score").alias("source_score"))
 
@@ -162,7 +162,7 @@ def rank_band_negatives(lexical: DataFrame, embedding: DataFrame, positives: Dat
     for family, pool in (("lexical", lexical), ("embedding", embedding)):
         some = cut(rank_band(safe(pool.where(F.col("rank").between(low, high))), out, low, high, each, family, f"{seed}-{family}"))
         out_now = some if out is None else out.unionByName(some)
-        short = terms.join(some.groupBy("term_id").agg(F.count(F.lit(1)).alias("n")), "term_id", "left").select("term_id", (each - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+        short = terms.join(sorted_join(some.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))), "term_id", "left").select("term_id", (each - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
         taken = base.unionByName(out_now.select("term_id", "item_id")).distinct()
         fill = draw(short, taken, items, f"{seed}-fill-{family}", near)
         out = cut(out_now.unionByName(blank(fill, f"uniform_backfill_{family}")))

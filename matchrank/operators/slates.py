@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchrank.operators.features import candidate_sources
-from matchrank.operators.lineage import cut
+from matchrank.operators.lineage import cut, sorted_join
 from matchrank.operators.negatives import uniform
 from matchrank.operators.ranking import rank_pct
 
@@ -19,7 +19,7 @@ def slate_ids(rows: DataFrame, prefix: str, term: str = "term_id", *order: str)
     sizes = rows.groupBy(term).agg(F.count(F.lit(1)).alias("_n"))
     # one row per term
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy(term).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return rows.withColumn("_p", place).join(offsets, term).withColumn("slate_id", F.format_string(f"{prefix}_%010d", F.col("_off") + F.col("_p") - 1)).drop("_p", "_off")
+    return rows.withColumn("_p", place).join(sorted_join(offsets), term).withColumn("slate_id", F.format_string(f"{prefix}_%010d", F.col("_off") + F.col("_p") - 1)).drop("_p", "_off")
 
 
 def lexical_slate(ranked: DataFrame, positives: DataFrame, folds: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def lexical_slate(ranked: DataFrame, positives: DataFrame, folds: DataFrame) ->
     """
     pos = positives.select("term_id", "item_id").withColumn("label", F.lit(1))
     rows = ranked.select("term_id", "item_id", "score", "rank").join(pos, ["term_id", "item_id"], "full_outer")
-    rows = rows.join(folds.select("term_id", "fold"), "term_id").withColumns(
+    rows = rows.join(sorted_join(folds.select("term_id", "fold")), "term_id").withColumns(
         {"label": F.coalesce("label", F.lit(0)), "retrieval_rank": F.coalesce("rank", F.lit(0)), "retrieval_score": F.coalesce("score", F.lit(0.0)), "is_retrieved": F.when(F.coalesce("rank", F.lit(0)) > 0, 1).otherwise(0)}
     )
     rows = rows.withColumn("candidate_count", F.count(F.lit(1)).over(Window.partitionBy("term_id"))).withColumn("_last", 1 - F.col("is_retrieved"))
@@ -55,7 +55,8 @@ def hybrid_slate(
     rows = found.join(uni, ["term_id", "item_id"], "full_outer").join(pos, ["term_id", "item_id"], "full_outer")
     rows = cut(rows)  # scored and joined with its scores
     scores = cosine(rows.select(F.col("term_id").alias("query_id"), "item_id"))
-    rows = rows.join(scores.select(F.col("query_id").alias("term_id"), "item_id", F.round("similarity", 9).alias("semantic_cosine")), ["term_id", "item_id"]).join(folds.select("term_id", "fold"), "term_id")
+    scored = scores.select(F.col("query_id").alias("term_id"), "item_id", F.round("similarity", 9).alias("semantic_cosine"))
+    rows = rows.join(sorted_join(scored), ["term_id", "item_id"]).join(sorted_join(folds.select("term_id", "fold")), "term_id")
     has = {"tfidf": F.col("lexical_rank").isNotNull(), "embedding": F.col("embedding_rank").isNotNull(), "uniform": F.col("uniform_pick").isNotNull()}
     only = ~has["tfidf"] & ~has["embedding"] & ~has["uniform"]
     rows = rows.withColumns(

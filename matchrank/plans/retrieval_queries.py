@@ -83,11 +83,11 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _lexical(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
-    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _grams, k).withColumnRenamed("query_id", "term_id"))
+    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _grams, k, repeats=True).withColumnRenamed("query_id", "term_id"))
 
 
 def _second(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
-    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _chars, k).withColumnRenamed("query_id", "term_id"))
+    return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _chars, k, repeats=True).withColumnRenamed("query_id", "term_id"))
 
 
 _base = with_("items", "terms", "positives")
@@ -259,9 +259,12 @@ SELECT 'HYBRID_' || lpad(CAST(row_number() OVER (ORDER BY term_id, a, b, item_id
 CASE WHEN a = 3 THEN 'positive_union' ELSE concat_ws('+', CASE WHEN lr IS NOT NULL THEN 'tfidf' END, CASE WHEN er IS NOT NULL THEN 'embedding' END, CASE WHEN pick IS NOT NULL THEN 'uniform' END) END AS candidate_sources, semantic_cosine,
 round((rank() OVER (PARTITION BY term_id ORDER BY semantic_cosine) + (count(*) OVER (PARTITION BY term_id, semantic_cosine) - 1) / 2.0) / count(*) OVER (PARTITION BY term_id), 9) AS semantic_rank_pct FROM z JOIN folds USING (term_id)""")
 def hybrid_slate(spark: SparkSession, sf: str) -> DataFrame:
-    p, (q, i) = positives(spark, sf), retrieval.fit_sides(*_sides(spark, sf), _chars)
-    second = cut(retrieval.sparse_top_k(q, i, 100).withColumnRenamed("query_id", "term_id"))
-    out = slates.hybrid_slate(_lexical(spark, sf), second, p, items(spark, sf), splits.term_folds(p), lambda pairs: retrieval.pair_similarity(pairs, q, i))
+    p, (t, catalog) = positives(spark, sf), _sides(spark, sf)
+    texts, members = retrieval.distinct_texts(catalog)
+    q, i = retrieval.fit_sides(t, texts, _chars)
+    second = cut(retrieval.to_members(retrieval.sparse_top_k(q, i, 100), members, 100).withColumnRenamed("query_id", "term_id"))
+    cosine = lambda pairs: retrieval.member_similarity(pairs, q, i, members)
+    out = slates.hybrid_slate(_lexical(spark, sf), second, p, items(spark, sf), splits.term_folds(p), cosine)
     return out.withColumn("semantic_rank_pct", F.round("semantic_rank_pct", 9))
 
 
