@@ -62,15 +62,20 @@ def permuted(step: Column, keys: Column, n: int) -> Column:
     return let(pair, lambda p: p["l"] * b + p["r"])
 
 
+def placed(items: DataFrame) -> DataFrame:
+    """``place, item_id``: the catalog in id order from 0, written, so that several draws can share it."""
+    return cut(place(items.select("item_id").distinct(), F.col("item_id").asc(), out="place").select((F.col("place") - 1).alias("place"), "item_id"))
+
+
 def draw(terms: DataFrame, taken: DataFrame, items: DataFrame, seed: str, reject: Callable[[DataFrame], DataFrame] | None = None, short: str = "raise") -> DataFrame:
     """``term_id, item_id, pick``: the first ``n`` items of each term's own order that are free.
 
     ``terms`` is ``term_id, n``. An item is free that ``taken`` doesn't pair with the term and that
     ``reject`` doesn't return: it maps pairs ``term_id, item_id`` to those that must not be drawn. Terms
     step on, in rounds of growing length, until they have their items or have seen the whole catalog; then
-    too few items are an error, or with ``short="fewer"`` all there are.
+    too few items are an error, or with ``short="fewer"`` all there are. ``items`` may be ``placed`` already.
     """
-    catalog = cut(place(items.select("item_id").distinct(), F.col("item_id").asc(), out="place").select((F.col("place") - 1).alias("place"), "item_id"))
+    catalog = items if items.columns == ["place", "item_id"] else placed(items)
     n = catalog.count()
     a, b = grid(n)
     size = a * b if n else 0

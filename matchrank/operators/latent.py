@@ -22,6 +22,7 @@ from matchrank.sources.contracts import ContractError
 
 #: Cells of the factor (features x rank) at most: 256 MB in doubles, on the driver and in each task.
 MOST_CELLS = 1 << 25
+_ROWS = 1024
 
 
 @dataclass
@@ -34,19 +35,30 @@ class Latent:
     def encode(self, vectors: DataFrame, key: str) -> DataFrame:
         """``key, vector``: unit vectors of long-form vectors (``key, fid, w``) in the latent space; what has no
         known feature is the zero vector."""
-        spark = vectors.sparkSession
+        return self.encode_rows(gathered_vectors({"x": vectors}, key), key)
+
+    def encode_rows(self, rows: DataFrame, key: str) -> DataFrame:
+        """``encode`` of vectors that are gathered already (``key, x_f, x_w``)."""
+        spark = rows.sparkSession
         names, factor = spark.sparkContext.broadcast(self.features), spark.sparkContext.broadcast(self.components)
-        kind = vectors.schema[key].dataType.simpleString()
+        kind = rows.schema[key].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches):
                 y = _projected(b, names.value, factor.value)[3]
                 norm = np.linalg.norm(y, axis=1, keepdims=True)
                 y = np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-12)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32()), pa.array(y.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(key), lists], [key, "vector"])
 
-        return gathered_vectors({"x": vectors}, key).mapInArrow(run, f"{key} {kind}, vector array<double>")
+        return rows.mapInArrow(run, f"{key} {kind}, vector array<double>")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``_ROWS`` rows: each entry of one is multiplied by a whole row of the factor in memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            yield b.slice(at, _ROWS)
 
 
 def _projected(b: pa.RecordBatch, names: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,12 +80,19 @@ def fit(vectors: DataFrame, key: str, rank: int = 64, passes: int = 4, seed: int
     A space of more than ``MOST_CELLS`` / rank features is an error: fit it with ``max_features``. Fewer
     features than ``rank`` give a factor of that many columns.
     """
-    rows = cut(gathered_vectors({"x": vectors}, key))
+    return fit_rows(cut(gathered_vectors({"x": vectors}, key)), rank, passes, seed)
+
+
+def fit_rows(rows: DataFrame, rank: int = 64, passes: int = 4, seed: int = 42) -> Latent:
+    """``fit`` of vectors that are gathered already (``x_f, x_w``, a written table); a column ``n`` says how many equal
+    documents a row stands for."""
     spark = rows.sparkSession
-    n = vectors.select("fid").distinct().count()
+    known = cut(rows.select(F.explode("x_f").alias("fid")).distinct())
+    n = known.count()
     if n * rank > MOST_CELLS:
         raise ContractError(f"{n} features x rank {rank} are more than {MOST_CELLS} cells")
-    names = np.sort(np.array([r.fid for r in vectors.select("fid").distinct().collect()], np.int64))
+    names = np.sort(known.toArrow().column("fid").to_numpy())
+    rows = rows.select("x_f", "x_w", F.col("n") if "n" in rows.columns else F.lit(1).cast("long").alias("n"))
     rank = min(rank, n)
     factor = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, rank)))[0] if n else np.zeros((0, rank))
     columns = [f"c{k}" for k in range(rank)]
@@ -81,8 +100,9 @@ def fit(vectors: DataFrame, key: str, rank: int = 64, passes: int = 4, seed: int
         held, known = spark.sparkContext.broadcast(factor), spark.sparkContext.broadcast(names)
 
         def run(batches: Iterator[pa.RecordBatch], held=held, known=known) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches):
                 row, at, values, y = _projected(b, known.value, held.value)
+                values = values * b.column("n").to_numpy()[row]
                 used, place = np.unique(at, return_inverse=True)
                 z = np.zeros((len(used), y.shape[1]))
                 np.add.at(z, place, y[row] * values[:, None])

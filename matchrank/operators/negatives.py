@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from matchrank.functions.numeric import jaccard, stable_hash
-from matchrank.operators.draws import draw
+from matchrank.operators.draws import draw, placed
 from matchrank.operators.lineage import cut, sorted_join
 from matchrank.operators.ranking import quantiles
 from matchrank.operators.splits import sample_at_most
@@ -95,35 +95,45 @@ class NearCopies:
     Jaccard of ``least`` or more with one. Equal items and titles are equality joins. For Jaccard, tokens
     are put in order of rarity over the catalog: two sets that similar share a token among the first
     ``n - ceil(least * n) + 1`` of each and differ little in length, so pairs meet on (term, such a token) and only
-    these are compared. Positives of equal titles stand for one. ``items``: item_id, title, brand, tokens.
+    these are compared. Items equal but for their id are one ``kind``, under the least id, and are compared once;
+    positives of equal titles stand for one. ``items``: item_id, title, brand, tokens.
     """
 
     def __init__(self, positives: DataFrame, items: DataFrame, least: float = 0.9):
         self.least = least
         once = items.select("item_id", "title", "brand", F.array_distinct("tokens").alias("tokens"))
-        each = once.select("item_id", F.explode("tokens").alias("t"))
-        rarity = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-        ordered = each.join(sorted_join(rarity), "t").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("o"))
+        kinds = cut(once.groupBy("title", "brand", "tokens").agg(F.min("item_id").alias("kind"), F.count(F.lit(1)).alias("n")))
+        like = kinds.select("kind", *[F.col(c).alias(f"k_{c}") for c in ("title", "brand", "tokens")])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in ("title", "brand", "tokens")])
+        self.members = cut(once.join(sorted_join(like), same).select("item_id", "kind"))
+        each = kinds.select("kind", "n", F.explode("tokens").alias("t"))
+        rarity = each.groupBy("t").agg(F.sum("n").alias("df"))
+        ordered = each.join(sorted_join(rarity), "t").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("df", "t")))["t"].alias("o"))
         first = F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.lit(least) * F.size("o") - 1e-9) + 1).cast("int"))
         # two empty titles are equal: they meet on a token that no title has
         none = F.array(F.lit(""))
-        self.items = cut(once.join(sorted_join(ordered), "item_id", "left").select("item_id", "title", "brand", "tokens", F.coalesce(first, none).alias("first")))
-        known = positives.select("term_id", "item_id").distinct()
-        facts = known.join(sorted_join(self.items), "item_id")
-        self.positives = known
+        self.kinds = cut(kinds.join(sorted_join(ordered), "kind", "left").select("kind", "title", "brand", "tokens", F.coalesce(first, none).alias("first")))
+        self.positives = cut(positives.select("term_id", "item_id").distinct())
+        facts = self.positives.join(sorted_join(self.members), "item_id").select("term_id", "kind").distinct().join(sorted_join(self.kinds), "kind")
         self.titles = cut(facts.select("term_id", "title", "brand").distinct())
         self.sets = cut(facts.select("term_id", F.array_sort("tokens").alias("p"), F.array_sort("first").alias("f")).distinct().select("term_id", "p", F.explode("f").alias("t")))
 
+    @cached_property
+    def items(self) -> DataFrame:
+        """The facts of each item: ``item_id, title, brand, tokens, first``."""
+        return self.members.join(sorted_join(self.kinds), "kind").drop("kind")
+
     def __call__(self, candidates: DataFrame) -> DataFrame:
         """The pairs ``term_id, item_id`` of ``candidates`` that are near copies."""
-        pairs = candidates.select("term_id", "item_id").distinct()
-        both = pairs.join(sorted_join(self.items), "item_id")
-        same = pairs.join(sorted_join(self.positives), ["term_id", "item_id"], "left_semi")
-        titled = both.join(sorted_join(self.titles), ["term_id", "title", "brand"], "left_semi").select("term_id", "item_id")
-        met = both.select("term_id", "item_id", "tokens", F.explode("first").alias("t")).join(sorted_join(self.sets), ["term_id", "t"])
+        pairs = cut(candidates.select("term_id", "item_id").distinct().join(sorted_join(self.members), "item_id", "left"))
+        both = cut(pairs.select("term_id", "kind").distinct().join(sorted_join(self.kinds), "kind"))
+        same = pairs.join(sorted_join(self.positives), ["term_id", "item_id"], "left_semi").select("term_id", "item_id")
+        titled = both.join(sorted_join(self.titles), ["term_id", "title", "brand"], "left_semi").select("term_id", "kind")
+        met = both.select("term_id", "kind", "tokens", F.explode("first").alias("t")).join(sorted_join(self.sets), ["term_id", "t"])
         small, large = F.least(F.size("tokens"), F.size("p")), F.greatest(F.size("tokens"), F.size("p"))
-        alike = met.where((small >= self.least * large - 1e-9) & (jaccard(F.col("tokens"), F.col("p")) >= self.least)).select("term_id", "item_id")
-        return same.unionByName(titled).unionByName(alike).distinct()
+        alike = met.where((small >= self.least * large - 1e-9) & (jaccard(F.col("tokens"), F.col("p")) >= self.least)).select("term_id", "kind")
+        near = pairs.join(sorted_join(titled.unionByName(alike).distinct()), ["term_id", "kind"]).select("term_id", "item_id")
+        return same.unionByName(near).distinct()
 
 
 def near_duplicates_of_positives(candidates: DataFrame, positives: DataFrame, items: DataFrame, least: float = 0.9) -> DataFrame:
@@ -154,7 +164,8 @@ def rank_band_negatives(lexical: DataFrame, embedding: DataFrame, positives: Dat
     near = NearCopies(positives, items)
     safe = lambda pool: without_near_duplicates(minus_positives(pool, positives), near)
     terms = positives.select("term_id").distinct()
-    base = positives.select("term_id", "item_id")
+    base = near.positives
+    items = placed(items)
     blank = lambda rows, source: rows.select("term_id", "item_id", F.lit(source).alias("negative_source"), F.lit(0).alias("source_rank"), F.lit(0.0).alias("source_score"))
     out = None
     if uniform_rows:
@@ -163,7 +174,7 @@ def rank_band_negatives(lexical: DataFrame, embedding: DataFrame, positives: Dat
         some = cut(rank_band(safe(pool.where(F.col("rank").between(low, high))), out, low, high, each, family, f"{seed}-{family}"))
         out_now = some if out is None else out.unionByName(some)
         short = terms.join(sorted_join(some.groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))), "term_id", "left").select("term_id", (each - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
-        taken = base.unionByName(out_now.select("term_id", "item_id")).distinct()
+        taken = cut(base.unionByName(out_now.select("term_id", "item_id")).distinct())
         fill = draw(short, taken, items, f"{seed}-fill-{family}", near)
         out = cut(out_now.unionByName(blank(fill, f"uniform_backfill_{family}")))
     return out

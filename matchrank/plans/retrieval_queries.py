@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchrank.functions import text
 from matchrank.operators import category, draws, latent, metrics, models, negatives, retrieval, slates, splits
-from matchrank.operators.lineage import cut
+from matchrank.operators.lineage import cut, small_or_sorted, sorted_join
 from matchrank.operators.ranking import place
 from matchrank.plans import sqltext as q
 from matchrank.plans.adapters import items, positives, scored, spread, table, terms, with_
@@ -82,6 +82,18 @@ def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return t, spread(items(spark, sf).select("item_id", F.concat_ws(" ", "title", "brand", "category", "attributes").alias("text")))
 
 
+def _ranked(q_: DataFrame, i: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` items of each term from vectors of terms and different texts."""
+    return cut(retrieval.to_members(retrieval.sparse_top_k(q_, i, k), members, k).withColumnRenamed("query_id", "term_id"))
+
+
+def _both(spark: SparkSession, sf: str, k: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The pools of ``_lexical`` and ``_second``, whose different texts are found once."""
+    t, catalog = _sides(spark, sf)
+    texts, members = retrieval.distinct_texts(catalog)
+    return tuple(_ranked(*retrieval.fit_sides(t, texts, f), members, k) for f in (_grams, _chars))
+
+
 def _lexical(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
     return cut(retrieval.tfidf_top_k(*_sides(spark, sf), _grams, k, repeats=True).withColumnRenamed("query_id", "term_id"))
 
@@ -218,7 +230,7 @@ def _band_sql(family: str, pool: str, before: str, n: int) -> str:
 
 @register(f"{_base}, {_lex}, {_emb}, {_facts}, {uniform_sql('u0', 'positives', 5, 'mine-uniform', near=True, steps=400)}, u1 AS (SELECT term_id, item_id, 'uniform' AS negative_source, 0 AS source_rank, 0.0::DOUBLE AS source_score FROM u0), {_band_sql('lexical', 'lex', 'u1', 10)}, {_band_sql('embedding', 'emb', 'lexical', 10)} SELECT * FROM embedding")
 def rank_band_negatives(spark: SparkSession, sf: str) -> DataFrame:
-    return negatives.rank_band_negatives(_lexical(spark, sf), _second(spark, sf), positives(spark, sf), _item_facts(spark, sf), 21, 60, 10, uniform_rows=5)
+    return negatives.rank_band_negatives(*_both(spark, sf), positives(spark, sf), _item_facts(spark, sf), 21, 60, 10, uniform_rows=5)
 
 
 @register()
@@ -230,13 +242,13 @@ def tfidf_band_negatives_300(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def contrastive_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """N7's contrastive recipe: 10 rows of each family from ranks 101 to 500."""
-    return negatives.rank_band_negatives(_lexical(spark, sf, 500), _second(spark, sf, 500), positives(spark, sf), _item_facts(spark, sf), 101, 500, 10)
+    return negatives.rank_band_negatives(*_both(spark, sf, 500), positives(spark, sf), _item_facts(spark, sf), 101, 500, 10)
 
 
 @register()
 def reranker_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """N7's reranker recipe: 20 uniform rows, then 15 of each family from ranks 21 to 200."""
-    return negatives.rank_band_negatives(_lexical(spark, sf, 500), _second(spark, sf, 500), positives(spark, sf), _item_facts(spark, sf), 21, 200, 15, uniform_rows=20)
+    return negatives.rank_band_negatives(*_both(spark, sf, 500), positives(spark, sf), _item_facts(spark, sf), 21, 200, 15, uniform_rows=20)
 
 
 _slate_rows = """x AS (SELECT coalesce(l.query_id, p.term_id) AS term_id, coalesce(l.item_id, p.item_id) AS item_id, CAST(p.term_id IS NOT NULL AS INTEGER) AS label, coalesce(l.rank, 0) AS retrieval_rank, coalesce(l.score, 0.0) AS retrieval_score, CAST(l.rank IS NOT NULL AS INTEGER) AS is_retrieved FROM lex l FULL JOIN positives p ON p.term_id = l.query_id AND p.item_id = l.item_id)
@@ -262,42 +274,58 @@ def hybrid_slate(spark: SparkSession, sf: str) -> DataFrame:
     p, (t, catalog) = positives(spark, sf), _sides(spark, sf)
     texts, members = retrieval.distinct_texts(catalog)
     q, i = retrieval.fit_sides(t, texts, _chars)
-    second = cut(retrieval.to_members(retrieval.sparse_top_k(q, i, 100), members, 100).withColumnRenamed("query_id", "term_id"))
+    lexical, second = _ranked(*retrieval.fit_sides(t, texts, _grams), members, 100), _ranked(q, i, members, 100)
     cosine = lambda pairs: retrieval.member_similarity(pairs, q, i, members)
-    out = slates.hybrid_slate(_lexical(spark, sf), second, p, items(spark, sf), splits.term_folds(p), cosine)
+    out = slates.hybrid_slate(lexical, second, p, items(spark, sf), splits.term_folds(p), cosine)
     return out.withColumn("semantic_rank_pct", F.round("semantic_rank_pct", 9))
 
 
+def _spaces(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Terms and different texts in the items' n-gram space (long form, of texts what terms ask for), which text an item has, and
+    terms and texts encoded by the truncated SVD of that space; texts count as often as items have them, and those without features have no vector."""
+    t, catalog = _sides(spark, sf)
+    texts, members = retrieval.distinct_texts(catalog)
+    q_, i = retrieval.fit_sides(t, texts, _grams, every=True)
+    rows = cut(retrieval.gathered_vectors({"x": i}, "item_id").join(sorted_join(texts.select("item_id", "n")), "item_id"))
+    encoder = latent.fit_rows(rows)
+    asked = small_or_sorted(cut(q_.select("fid").distinct()))
+    return q_, i.join(asked, "fid", "left_semi"), members, cut(encoder.encode(q_, "query_id")), cut(encoder.encode_rows(rows, "item_id"))
+
+
 def _latent(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Terms and items encoded by the truncated SVD of the items' n-gram space."""
-    t, i = _sides(spark, sf)
-    space = retrieval.fit_tfidf([(t, "query_id"), (i, "item_id")], _grams)
-    x = cut(space.transform(i, "item_id"))
-    encoder = latent.fit(x, "item_id")
-    return cut(encoder.encode(space.transform(t, "query_id"), "query_id")), cut(encoder.encode(x, "item_id"))
+    """Terms and items encoded by ``_spaces``."""
+    _, _, members, terms_, texts = _spaces(spark, sf)
+    return terms_, members.join(sorted_join(texts.withColumnRenamed("item_id", "first")), "first").select("item_id", "vector")
+
+
+def _nearest(terms_: DataFrame, texts: DataFrame, members: DataFrame) -> DataFrame:
+    return retrieval.to_members(retrieval.dense_top_k(terms_, texts, 100), members, 100)
 
 
 @register()
 def latent_topk(spark: SparkSession, sf: str) -> DataFrame:
     """T10, T12 with an encoder that learns: the first 100 items of each term by cosine in its latent space."""
-    return retrieval.dense_top_k(*_latent(spark, sf), 100)
+    _, _, members, terms_, texts = _spaces(spark, sf)
+    return _nearest(terms_, texts, members)
 
 
 @register()
 def hybrid_slate_dense(spark: SparkSession, sf: str) -> DataFrame:
     """L2 with a dense pool of its own: lexical rows, the latent space's nearest, uniform rows, positives, and
     the latent cosine of every candidate."""
-    p, (q_, i_) = positives(spark, sf), _latent(spark, sf)
-    pool = cut(retrieval.dense_top_k(q_, i_, 100).withColumnRenamed("query_id", "term_id"))
-    cosine = lambda pairs: retrieval.pair_cosine(pairs, q_, i_).select("query_id", "item_id", F.col("cosine").alias("similarity"))
-    return slates.hybrid_slate(_lexical(spark, sf), pool, p, items(spark, sf), splits.term_folds(p), cosine)
+    p, (q_, i, members, terms_, texts) = positives(spark, sf), _spaces(spark, sf)
+    pool = cut(_nearest(terms_, texts, members).withColumnRenamed("query_id", "term_id"))
+    under = lambda pairs: retrieval.pair_cosine(pairs, terms_, texts).select("query_id", "item_id", F.col("cosine").alias("similarity"))
+    cosine = lambda pairs: retrieval.by_members(pairs, members, under)
+    return slates.hybrid_slate(_ranked(q_, i, members, 100), pool, p, items(spark, sf), splits.term_folds(p), cosine)
 
 
 @register()
 def latent_recall(spark: SparkSession, sf: str) -> DataFrame:
     """How many of each term's first 10 items of the sparse space are among the first 10, 50 and 100 of the latent one."""
-    wanted = _lexical(spark, sf, 10).select("term_id", "item_id")
-    pool = retrieval.dense_top_k(*_latent(spark, sf), 100).withColumnRenamed("query_id", "term_id")
+    q_, i, members, terms_, texts = _spaces(spark, sf)
+    wanted = _ranked(q_, i, members, 10).select("term_id", "item_id")
+    pool = _nearest(terms_, texts, members).withColumnRenamed("query_id", "term_id")
     return metrics.recall_at(pool, wanted, "rank", [10, 50, 100])
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from matchrank.operators import features, lineage, metrics, retrieval
+from matchrank.operators import draws, features, latent, lineage, metrics, negatives, retrieval
 
 SPLIT = lambda c: F.split(c, " ")
 
@@ -73,3 +73,38 @@ def test_counts_of_documents_are_a_row_each(spark):
     queries = spark.createDataFrame([(1, "a b")], "query_id int, text string")
     q, i = retrieval.fit_sides(queries, docs.unionByName(docs), SPLIT)
     assert i.select("item_id").distinct().count() == 2 and i.count() == 3
+
+
+def test_equal_items_are_compared_with_positives_once(spark):
+    """Items that differ in their id alone are one kind, null brands too; each of them is found."""
+    rows = [(k, f"red shoe {k % 3}", None if k % 2 else "x", ["red", "shoe", str(k % 3)]) for k in range(600)]
+    items = spark.createDataFrame(rows, "item_id long, title string, brand string, tokens array<string>")
+    near = negatives.NearCopies(spark.createDataFrame([("t", 0)], "term_id string, item_id long"), items)
+    assert near.kinds.count() == 6 and near.members.count() == 600
+    got = {r.item_id for r in near(items.select(F.lit("t").alias("term_id"), "item_id")).collect()}
+    assert got == {k for k in range(600) if k % 3 == 0}
+
+
+def test_draws_share_a_placed_catalog(spark, corpus):
+    terms = spark.createDataFrame([("a", 5), ("b", 40)], "term_id string, n long")
+    taken = corpus.select(F.lit("a").alias("term_id"), "item_id").where("item_id < 'i200'")
+    rows = lambda items: {tuple(r) for r in draws.draw(terms, taken, items, "x").collect()}
+    assert rows(draws.placed(corpus)) == rows(corpus) and len(rows(corpus)) == 45
+
+
+def test_repeated_texts_weigh_as_often_in_the_latent_space(spark, corpus, monkeypatch):
+    """Each text once with its number gives the factor of all items, in blocks of rows as in one."""
+    queries = spark.createDataFrame([("a", "w1 v1")], "query_id string, text string")
+    texts, members = retrieval.distinct_texts(corpus.where("item_id < 'i290'"))
+    monkeypatch.setattr(latent, "_ROWS", 7)
+    found = []
+    for items in (texts, corpus.where("item_id < 'i290'")):
+        _, i = retrieval.fit_sides(queries, items, SPLIT, every=True)
+        rows = retrieval.gathered_vectors({"x": i}, "item_id").join(items.drop("text"), "item_id")
+        found.append(latent.fit_rows(lineage.cut(rows), rank=3, passes=8))
+    assert found[0].features.tolist() == found[1].features.tolist() and len(found[0].features) == 48
+    assert abs(found[0].components.T @ found[1].components).round(6).tolist() == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
+    pairs = members.select(F.lit("a").alias("query_id"), "item_id")
+    score = lambda p: p.withColumn("similarity", F.length("item_id"))
+    met = []
+    assert retrieval.by_members(pairs, members, lambda p: met.append(p.count()) or score(p)).count() == 290 and met == [280]
