@@ -187,7 +187,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float | None = None, i
     """The rows whose id is their component's; all columns stay.
 
     Links are fingerprints within 4 bits or, where ``similarity`` is given, texts whose sets of word
-    shingles have that Jaccard similarity or more, most of which lie beyond 4 bits (``similar.py``).
+    shingles have that Jaccard similarity or more: of these the grid proposes what its radius reaches, and
+    MinHash the rest, most of which lies beyond 4 bits (``similar.py``); the sets decide.
     Null text counts as empty, and texts without words are alike. Rows with a null id stay; of rows
     that repeat an id all stay if any does. An empty table stays empty; columns may have any names. The
     ids that go are written first, so that a short list of them meets the texts without a shuffle of the texts.
@@ -196,7 +197,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float | None = None, i
     if similarity is None:
         of = near_duplicates(docs, words, id_col, text_col, spent)
     else:
-        of = similar.classes(docs, words, similarity, id_col, text_col, spent)
+        of = similar.classes(docs, words, similarity, id_col, text_col, spent, lambda nodes, used: links(nodes, spent=used))
     gone = of.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone")
     gone = materialize(gone.select(F.col("doc_id").alias(id_col)), "simhash-gone", drop=spent)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -1,9 +1,10 @@
 """Near copies by the Jaccard similarity of their word-shingle sets: what SimHash's radius can't reach.
 
 Texts at Jaccard 0.8 differ in about 10 of 64 SimHash bits, a radius at which a pigeonhole grid has
-a single block of a few bits left and finds everything. So candidates come from MinHash instead: 24
-bands of 5 minima, which a pair at similarity s shares with probability 1 - (1 - s^5)^24, 0.9999 at
-0.8. Fingerprints of 64 bits then drop pairs far beyond 0.8, and the sets themselves decide.
+a single block of a few bits left and finds everything. So what the grid links within its radius (``near``
+of ``classes``) comes first, and what lies beyond comes from MinHash: 24 bands of 5 minima, which a
+pair at similarity s shares with probability 1 - (1 - s^5)^24, 0.9999 at 0.8. Fingerprints of 64 bits
+then drop pairs far beyond 0.8. The sets themselves decide on both.
 
 Copies of a set collapse first. A band's bucket never gives pairs, only links from its members to one
 of them; where verified links leave a bucket in several classes, further rounds link it from other
@@ -131,9 +132,12 @@ def _possible(similarity: float) -> F.Column:
     return (F.least(n, m) >= F.greatest(n, m) * similarity - _SLACK) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre.fp"))) <= FAR_BITS)
 
 
-def classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", spent: list[str] | None = None) -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", spent: list[str] | None = None, near: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> DataFrame:
     """Per row with an id ``doc_id, component_id``, the least id that similar texts lead to.
 
+    ``near`` maps nodes ``fp, rep`` of different fingerprints to links ``a, b`` (``simhash.links``) and adds the paths of tables
+    that these read to its second argument. Its links, and those of sets with equal fingerprints, are verified first.
+
     Null text counts as empty; texts without words are alike. Rows that repeat an id are one document
     of several texts, similar to what any of them is similar to. An empty table gives no rows. ``spent`` receives the paths
     of tables that the result reads and nothing needs after it.
@@ -146,8 +150,22 @@ def classes(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, id_
     spread = own.select("rep", "n", "fp", F.explode("bands").alias("bucket"))
     several = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     members = materialize(spread.join(several.hint("merge"), "bucket"), "similar-buckets")
-    sets = materialize(_sets(rows, members.select(F.col("rep").alias("doc_id")).distinct(), words), "similar-sets")
+    wanted, close, used = members.select(F.col("rep").alias("doc_id")), None, []
+    if near is not None:
+        nodes = materialize(own.where("n > 0").groupBy("fp").agg(F.min("rep").alias("rep")), "similar-nodes")
+        equal = own.where("n > 0").select("fp", F.col("rep").alias("b")).join(nodes.withColumnRenamed("rep", "a"), "fp").where("a <> b").select("a", "b")
+        close = materialize(near(nodes, used).unionByName(equal), "similar-close")
+        for path in (*used, path_of(nodes)):
+            delete(spark, path)
+        wanted = wanted.unionByName(close.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    sets = materialize(_sets(rows, wanted.distinct(), words), "similar-sets")
     edges, found, k, quiet = None, None, 0, 0
+    if close is not None:
+        edges = verified(close, sets, similarity)
+        used = [path_of(close)]
+        found = materialize(components(edges, spent=used), "similar-classes")
+        for path in used:
+            delete(spark, path)
     while quiet < QUIET:
         # from the least members first, which gives each pair once; then only in buckets of several classes
         now = members.withColumn("class", F.col("rep"))

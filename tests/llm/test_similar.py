@@ -81,3 +81,18 @@ def test_empty_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a b c", 1), (1, "x y z", 2), (2, "x y z", 3), (3, None, 4), (4, " ", 5), (None, "a b c", 6)], "doc_id long, text string, n int")
     assert simhash.keep_one(df.where("false"), similarity=0.8).count() == 0
     assert sorted(r.n for r in simhash.keep_one(df, similarity=0.8).collect()) == [1, 2, 4, 6]
+
+
+def test_stage_goes_through_the_grid(spark, monkeypatch):
+    """Without bands the grid's links alone join near copies within 4 bits; links that the sets refuse join nothing."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    texts = {3: " ".join(base), 5: " ".join([*base[:-1], "last"]), 8: " ".join([*base[:-1], "end"]), 9: " ".join(f"u{k}" for k in range(300)), 11: "a b", 12: ""}
+    monkeypatch.setattr(similar, "bands", lambda s: similar.np.empty(0, "<i8"))
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    asked = []
+    monkeypatch.setattr(simhash, "links", lambda nodes, spent=None, real=simhash.links: asked.append(nodes.count()) or real(nodes, spent=spent))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {3, 9, 11, 12} and asked[0] >= 3
+    every = lambda nodes, used: nodes.crossJoin(nodes.withColumnRenamed("rep", "b").drop("fp")).where("rep < b").selectExpr("rep a", "b")
+    of = {r.doc_id: r.component_id for r in similar.classes(df, near=every).collect()}
+    assert [of[k] for k in (3, 5, 8, 9, 11, 12)] == [3, 3, 3, 9, 11, 12]
