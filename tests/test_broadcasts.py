@@ -33,6 +33,7 @@ def broadcasts(spark, after):
     "query",
     [
         "hybrid_slate",
+        "latent_topk",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
