@@ -35,6 +35,7 @@ def broadcasts(spark, after):
         "hybrid_slate",
         "latent_topk",
         "lexical_slate",
+        "near_duplicate_filter",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
