@@ -36,6 +36,7 @@ def broadcasts(spark, after):
         "latent_topk",
         "lexical_slate",
         "near_duplicate_filter",
+        "recall_variants",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
