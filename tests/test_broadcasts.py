@@ -37,6 +37,7 @@ def broadcasts(spark, after):
         "lexical_slate",
         "near_duplicate_filter",
         "recall_variants",
+        "reranker_negatives",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
