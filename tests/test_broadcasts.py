@@ -38,6 +38,7 @@ def broadcasts(spark, after):
         "near_duplicate_filter",
         "recall_variants",
         "reranker_negatives",
+        "slate_rate_decision",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
