@@ -39,6 +39,7 @@ def broadcasts(spark, after):
         "recall_variants",
         "reranker_negatives",
         "slate_rate_decision",
+        "tfidf_band_negatives",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
