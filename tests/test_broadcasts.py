@@ -40,6 +40,7 @@ def broadcasts(spark, after):
         "reranker_negatives",
         "slate_rate_decision",
         "tfidf_band_negatives",
+        "tfidf_band_negatives_300",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
