@@ -41,6 +41,7 @@ def broadcasts(spark, after):
         "slate_rate_decision",
         "tfidf_band_negatives",
         "tfidf_band_negatives_300",
+        "two_space_similarity",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
