@@ -43,6 +43,7 @@ def broadcasts(spark, after):
         "tfidf_band_negatives_300",
         "two_space_similarity",
         "vector_features",
+        "rank_band_negatives",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
