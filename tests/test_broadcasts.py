@@ -44,6 +44,7 @@ def broadcasts(spark, after):
         "two_space_similarity",
         "vector_features",
         "rank_band_negatives",
+        "hybrid_slate_dense",
     ],
 )
 def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch, query):
